@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import text as tx
 from fleetlens.functions.ordered import asof_latest, latest_so_far
+from fleetlens.session import cut
 from fleetlens.operators.backup import DB, MEDIA, last_full_backup
 
 GUID = ["server_name", "database_guid"]
@@ -28,6 +29,14 @@ def _line(df: DataFrame, keys: list[str], order: str, text: Column, seq: Column
     )
 
 
+def _fixed_lines(df: DataFrame, keys: list[str], lines: list[tuple[str, Column]]) -> DataFrame:
+    """Lines that need only the row itself, in one pass; NULL texts are left out."""
+    rows = F.array(*[
+        F.struct(_order(n), F.lit(0).cast("bigint").alias("seq"), text.alias("command")) for n, text in lines
+    ])
+    return df.select(*keys, F.inline(F.filter(rows, lambda x: x["command"].isNotNull())))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -35,8 +44,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _disk_lines(sets: DataFrame, files: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One DISK line per file; a comma follows unless the file has the top number."""
+def _disk_lines(sets: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """One DISK line per file; a comma follows unless the file has the top number.
+
+    ``sets`` holds (keys, cmd_order, media_set_id); the media are read once.
+    """
+    keys = [*keys, "cmd_order"]
     rows = sets.join(files, MEDIA)
     last = rows.groupBy(*keys).agg(F.max("family_sequence_number").alias("_last"))
     text = F.concat(
@@ -44,7 +57,7 @@ def _disk_lines(sets: DataFrame, files: DataFrame, keys: list[str], order: str)
         F.when(F.col("family_sequence_number") == F.col("_last"), F.lit("")).otherwise(F.lit(",")),
     )
     seq = F.col("media_set_id") * 1000 + F.col("family_sequence_number")
-    return _line(rows.join(last, keys), keys, order, text, seq)
+    return rows.join(last, keys).select(*keys, seq.cast("bigint").alias("seq"), text.alias("command"))
 
 
 def _move_target(data_path: str, log_path: str) -> Column:
@@ -81,18 +94,22 @@ def restore_commands(
         last, [*DB, "backup_finish_date"]
     )
     disks = media if device_types is None else media.where(F.col("device_type").isin(*device_types))
+    full = backup_type == "D"
     parts = [
-        _line(last, DB, "1", F.concat(F.lit("RESTORE DATABASE "), F.col("database_name"))),
-        _line(last, DB, "2", F.lit("FROM")),
-        _disk_lines(sets.select(*DB, "media_set_id"), disks, DB, "3"),
-        _line(last, DB, "4", F.lit("WITH ")),
-        _line(last, DB, "6", F.lit(tx.TAB + "REPLACE, NORECOVERY " + tx.CRLF + tx.CRLF)),
+        _fixed_lines(last, DB, [
+            ("1", F.concat(F.lit("RESTORE DATABASE "), F.col("database_name"))),
+            ("2", F.lit("FROM")),
+            ("4", F.lit("WITH ")),
+            ("4.5", F.lit(MOVE_NOTE if full else None).cast("string")),
+            ("6", F.lit(tx.TAB + "REPLACE, NORECOVERY " + tx.CRLF + tx.CRLF)),
+        ]),
+        _disk_lines(sets.select(*DB, _order("3"), "media_set_id"), disks, DB),
     ]
-    if backup_type == "D":
+    if full:
         moved = sets.join(backupfile, ["server_name", "backup_set_id"])
         target = _move_target(tx.with_backslash(data_path), tx.with_backslash(log_path))
         text = F.concat(F.lit(tx.TAB + "MOVE '"), F.col("logical_name"), F.lit("' TO '"), target, F.lit("',"))
-        parts += [_line(last, DB, "4.5", F.lit(MOVE_NOTE)), _line(moved, DB, "5", text, F.col("backup_set_id"))]
+        parts.append(_line(moved, DB, "5", text, F.col("backup_set_id")))
     return _union(parts)
 
 
@@ -196,13 +213,29 @@ def restore_chain_asof(
 ) -> DataFrame:
     """Lines of the point-in-time script for every (database, as_of) request."""
     keys = [*DB, "as_of"]
-    points = restore_points(backupset, databases, requests)
-    with_diff = points.where(F.col("diff_finish").isNotNull())
+    # one row per request, used four times below
+    points = cut(restore_points(backupset, databases, requests))
     name = F.concat(F.lit("RESTORE DATABASE "), F.col("database_name"))
     go = "GO" + tx.CRLF + tx.CRLF
 
-    def sets(df: DataFrame, column: str) -> DataFrame:
-        return df.select(*keys, F.col(column).alias("media_set_id"))
+    def if_diff(text: Column) -> Column:
+        return F.when(F.col("diff_finish").isNotNull(), text)
+
+    fixed = _fixed_lines(points, keys, [
+        ("1", name),
+        ("2", F.lit("FROM")),
+        ("4", F.lit("WITH ")),
+        ("4.5", F.lit(MOVE_NOTE)),
+        ("6", F.lit(tx.TAB + "REPLACE, NORECOVERY ")),
+        ("7", F.lit(go)),
+        ("8", if_diff(name)),
+        ("9", if_diff(F.lit("FROM"))),
+        ("11", if_diff(F.lit("WITH REPLACE, NORECOVERY" + tx.CRLF + go))),
+    ])
+    sets = points.select(*keys, F.inline(F.array(
+        F.struct(_order("3"), F.col("full_media_set_id").alias("media_set_id")),
+        F.struct(_order("10"), F.col("diff_media_set_id").alias("media_set_id")),
+    )))
 
     full_sets = backupset.select(*GUID, "backup_set_id", F.col("backup_finish_date").alias("full_finish"))
     moved = points.join(full_sets, [*GUID, "full_finish"]).join(backupfile, ["server_name", "backup_set_id"])
@@ -219,18 +252,9 @@ def restore_chain_asof(
     # the finish leads the order of the log lines; files of one log follow its sequence
     log_seq = F.unix_seconds(F.col("backup_finish_date").cast("timestamp")) * 100000 + F.col("family_sequence_number")
     return _union([
-        _line(points, keys, "1", name),
-        _line(points, keys, "2", F.lit("FROM")),
-        _disk_lines(sets(points, "full_media_set_id"), media, keys, "3"),
-        _line(points, keys, "4", F.lit("WITH ")),
-        _line(points, keys, "4.5", F.lit(MOVE_NOTE)),
+        fixed,
+        _disk_lines(sets, media, keys),
         _line(moved, keys, "5", move, F.col("backup_set_id")),
-        _line(points, keys, "6", F.lit(tx.TAB + "REPLACE, NORECOVERY ")),
-        _line(points, keys, "7", F.lit(go)),
-        _line(with_diff, keys, "8", name),
-        _line(with_diff, keys, "9", F.lit("FROM")),
-        _disk_lines(sets(with_diff, "diff_media_set_id"), media, keys, "10"),
-        _line(with_diff, keys, "11", F.lit("WITH REPLACE, NORECOVERY" + tx.CRLF + go)),
         _line(logs, keys, "12", log_text, log_seq),
     ])
 
