@@ -70,7 +70,7 @@ FROM {lineitem} GROUP BY l_orderkey, l_linenumber
 VIEWS["fx_databases"] = f"""
 SELECT concat('srv', cast(k % 3 AS varchar(10))) AS server_name, {_db('k % 50')} AS database_name,
   cast(k % 3 * 100 + k % 50 AS int) AS database_guid,
-  CASE WHEN k % 19 = 7 THEN 'OFFLINE' WHEN k % 23 = 11 THEN 'RESTORING' ELSE 'ONLINE' END AS state_desc,
+  CASE WHEN k % 19 = 7 THEN 'OFFLINE' WHEN k % 11 = 2 THEN 'RESTORING' ELSE 'ONLINE' END AS state_desc,
   CASE WHEN k % 5 = 0 THEN 'SIMPLE' ELSE 'FULL' END AS recovery_model_desc,
   CASE WHEN k % 8 = 7 THEN 1 ELSE 0 END AS is_read_only,
   CASE WHEN k % 31 = 5 THEN 1 ELSE 0 END AS is_in_standby,
@@ -197,7 +197,7 @@ SELECT concat('srv', cast(event_id % 3 AS varchar(10))) AS server_name, event_id
   CASE event_id % 5 WHEN 0 THEN 'ALTER DATABASE x SET RECOVERY SIMPLE' WHEN 1 THEN 'ALTER INDEX i ON t REBUILD' WHEN 2 THEN 'dbcc show_statistics'
     WHEN 3 THEN CASE WHEN event_id % 2 = 0 THEN 'RESTORE DATABASE x WITH NORECOVERY' ELSE 'restore database x' END
     ELSE 'CREATE INDEX i ON t(a) WITH (PAD_INDEX = OFF)' END AS command_text,
-  cast(event_id % 2 AS int) AS success, CASE WHEN event_id % 7 = 6 THEN 1 ELSE 0 END AS is_system, cast(1 + event_id % 3 AS int) AS event_subclass
+  cast(cast(floor(event_id / 4) AS bigint) % 2 AS int) AS success, CASE WHEN event_id % 7 = 6 THEN 1 ELSE 0 END AS is_system, cast(1 + event_id % 3 AS int) AS event_subclass
 FROM {events}
 """
 

@@ -21,6 +21,15 @@ def parse(xml: Column | str, schema: T.StructType, **options: str) -> Column:
     return F.from_xml(xml, schema, {**_OPTIONS, **options})
 
 
+def with_document(df: DataFrame, xml: str, schema: T.StructType, **options: str) -> DataFrame:
+    """Add the parsed document as ``_doc``, parsed exactly once per row.
+
+    A filter on parsed fields would otherwise be pushed below the projection and
+    parse the text a second time; a one-element ``explode`` keeps it above.
+    """
+    return df.select("*", F.explode(F.array(parse(xml, schema, **options))).alias("_doc"))
+
+
 def cast_to(text: Column, kind: str) -> Column:
     """Typed value of an attribute text; NULL when it does not fit."""
     if kind == "string":
@@ -36,14 +45,16 @@ def blocked_process_shred(reports: DataFrame, databases: DataFrame | None = None
     ``databases`` (server_name, database_id, database_name) gives the name; the
     post time is rounded to the minute, the duration goes from µs to ms.
     """
-    doc = reports.withColumn("_doc", parse("text_data", s.BLOCKED_PROCESS)["blocked-process-report"])
+    doc = with_document(reports, "text_data", s.BLOCKED_PROCESS)
     if databases is not None:
         doc = doc.join(databases, ["server_name", "database_id"], "left")
     else:
         doc = doc.withColumn("database_name", F.lit(None).cast("string"))
 
+    report = F.col("_doc")["blocked-process-report"]
+
     def side(path: str, fields: dict[str, str], prefix: str) -> list[Column]:
-        process = F.col("_doc")[path]["process"]
+        process = report[path]["process"]
         columns = [cast_to(process[f"_{n}"], kind).alias(f"{prefix}_{n.lower()}") for n, kind in fields.items()]
         return [*columns, process["inputbuf"].alias(f"{prefix}_inputbuf")]
 
@@ -51,7 +62,7 @@ def blocked_process_shred(reports: DataFrame, databases: DataFrame | None = None
         "blocked_process_id", round_to_minute(F.col("post_time")).alias("post_time"), "database_name",
         int_div(F.col("duration_us"), 1000).alias("duration_ms"), "index_id", "is_system", "server_name",
         "session_login_name", "text_data",
-        cast_to(F.col("_doc")["_monitorLoop"], "bigint").alias("monitor_loop"),
+        cast_to(report["_monitorLoop"], "bigint").alias("monitor_loop"),
         *side("blocking-process", s.BLOCKER_FIELDS, "blk"),
         *side("blocked-process", s.VICTIM_FIELDS, "vic"),
     )
@@ -70,12 +81,12 @@ def blocked_edges(reports: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("blocked-process-report", T.StructType([
         T.StructField("_monitorLoop", T.StringType()), only("blocked-process"), only("blocking-process"),
     ]))])
-    doc = reports.withColumn("_doc", parse("text_data", schema)["blocked-process-report"])
-    return doc.select(
+    report = F.col("_doc")["blocked-process-report"]
+    return with_document(reports, "text_data", schema).select(
         "server_name", "blocked_process_id", "post_time",
-        cast_to(F.col("_doc")["_monitorLoop"], "bigint").alias("monitor_loop"),
-        cast_to(F.col("_doc")["blocking-process"]["process"]["_spid"], "bigint").alias("blk_spid"),
-        cast_to(F.col("_doc")["blocked-process"]["process"]["_spid"], "bigint").alias("vic_spid"),
+        cast_to(report["_monitorLoop"], "bigint").alias("monitor_loop"),
+        cast_to(report["blocking-process"]["process"]["_spid"], "bigint").alias("blk_spid"),
+        cast_to(report["blocked-process"]["process"]["_spid"], "bigint").alias("vic_spid"),
         int_div(F.col("duration_us"), 1000).alias("duration_ms"),
     )
 
@@ -102,7 +113,7 @@ ERROR_FIELDS = {
 
 def error_event_shred(events: DataFrame) -> DataFrame:
     """Error event documents as 19 typed columns."""
-    doc = events.withColumn("_doc", parse("event_data", s.EVENT))
+    doc = with_document(events, "event_data", s.EVENT)
     columns = [cast_to(F.col("_doc._timestamp"), "timestamp").alias("timestamp")]
     for name, (nodes, child, kind) in ERROR_FIELDS.items():
         columns.append(cast_to(_named(F.col(f"_doc.{nodes}"), name, child), kind).alias(name))
@@ -138,23 +149,19 @@ def deadlock_shred(events: DataFrame, *, zone: str = "UTC") -> DataFrame:
     The event time is moved from UTC into ``zone``, daylight saving included.  A
     report with one process leaves the second side NULL.
     """
-    report = F.get(F.filter(parse("event_data", s.DEADLOCK)["data"], lambda n: n["_name"] == "xml_report"), F.lit(0))
-    doc = events.select(
-        "server_name", "event_id", "ts", "object_name",
-        parse("event_data", s.DEADLOCK)["_timestamp"].alias("_at"),
-        report["value"]["deadlock"]["process-list"]["process"].alias("_p"),
-        "event_data",
-    )
+    doc = with_document(events, "event_data", s.DEADLOCK)
+    report = F.get(F.filter(F.col("_doc.data"), lambda n: n["_name"] == "xml_report"), F.lit(0))
+    process = report["value"]["deadlock"]["process-list"]["process"]
 
     def side(i: int, suffix: str) -> list[Column]:
-        p = F.get("_p", F.lit(i))
+        p = F.get(process, F.lit(i))
         return [
             cast_to(p["_spid"], "bigint").alias(f"spid_{suffix}"), p["_clientapp"].alias(f"clientapp_{suffix}"),
             p["_hostname"].alias(f"hostname_{suffix}"), p["_loginname"].alias(f"loginname_{suffix}"),
             p["inputbuf"].alias(f"inputbuf_{suffix}"),
         ]
 
-    at = F.from_utc_timestamp(F.col("_at").try_cast("timestamp"), zone).cast("timestamp_ntz")
+    at = F.from_utc_timestamp(F.col("_doc._timestamp").try_cast("timestamp"), zone).cast("timestamp_ntz")
     return doc.select(
         "server_name", "event_id", "object_name", at.alias("timestamp"), deadlock_xml(F.col("event_data")).alias("xml_deadlock_report"),
         *side(0, "vic"), *side(1, "win"),
@@ -168,8 +175,8 @@ def deadlock_xml(event_data: Column) -> Column:
 
 def server_event_shred(messages: DataFrame) -> DataFrame:
     """Server and DDL events as flat columns; unreadable documents keep ``corrupt``."""
-    doc = messages.withColumn("_e", parse("message_body", s.SERVER_EVENT, columnNameOfCorruptRecord="_corrupt"))
-    e = F.col("_e")
+    doc = with_document(messages, "message_body", s.SERVER_EVENT, columnNameOfCorruptRecord="_corrupt")
+    e = F.col("_doc")
     return doc.select(
         *[c for c in messages.columns if c not in ("message_body", "server_name")],
         F.coalesce(F.col("server_name"), e["ServerName"]).alias("server_name"),
@@ -181,5 +188,5 @@ def server_event_shred(messages: DataFrame) -> DataFrame:
         cast_to(e["Success"], "int").alias("success"), cast_to(e["IsSystem"], "int").alias("is_system"),
         cast_to(e["EventSubClass"], "int").alias("event_subclass"),
         (e.isNull() | e["_corrupt"].isNotNull() | e["EventType"].isNull()).alias("corrupt"),
-        "message_body",
+        "message_body", e.alias("event"),
     )
