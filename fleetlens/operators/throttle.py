@@ -29,6 +29,8 @@ BLOCK_DELAYS = 256  # block length in delays
 
 def last_responses(instants: np.ndarray, delay: int) -> np.ndarray:
     """Index of the last response when the chain starts at each instant."""
+    if len(instants) == 1:
+        return np.zeros(1, dtype=np.int64)
     following = np.searchsorted(instants, instants + delay)
     last = np.arange(len(instants))
     for i in range(len(instants) - 1, -1, -1):
@@ -47,50 +49,57 @@ def respond(instants: np.ndarray, delay: int, open_from: int) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def _steps(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Step function of one block: up to ``entry`` the last response is ``exit``."""
-    instants = np.sort(pdf["_us"].to_numpy())
-    delay = int(pdf["_delay"].iat[0])
-    start = int(pdf["_block"].iat[0]) * delay * BLOCK_DELAYS
+def _steps(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Step function of one block of a key: up to ``entry`` the last response is ``exit``."""
+    instants = np.sort(rows["_us"])
+    delay, block = int(rows["_delay"][0]), int(rows["_block"][0])
     last = instants[last_responses(instants, delay)]
-    # entries later than start + delay cannot happen, except in the first block of
-    # the key, whose entry is its very first instant
-    reach = min(int(np.searchsorted(instants, start + delay)) + 1, len(instants))
+    # an entry lies before the block's start + delay, or is the first instant after
+    # it; in the first block of a key it is the very first instant
+    reach = min(int(np.searchsorted(instants, block * delay * BLOCK_DELAYS + delay)) + 1, len(instants))
     entry, end = instants[:reach], last[:reach]
     edge = np.append(end[1:] != end[:-1], True)
-    return pd.DataFrame({"_block": pdf["_block"].iat[0], "_delay": delay, "entry": entry[edge], "exit": end[edge]})
+    entry, end = entry[edge], end[edge]
+    return np.full(len(entry), block), np.full(len(entry), delay), entry, end
 
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
+def _chain(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     """Time from which each block of one key is open."""
-    delay = int(pdf["_delay"].iat[0])
+    order = np.lexsort((rows["entry"], rows["_block"]))
+    block, entry, end = (rows[c][order] for c in ("_block", "entry", "exit"))
+    delay = int(rows["_delay"][0])
+    starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    opens = np.empty(len(starts), dtype=np.int64)
     open_from = np.iinfo(np.int64).min
-    blocks, opens = [], []
-    for block, steps in pdf.sort_values(["_block", "entry"]).groupby("_block"):
-        blocks.append(block)
-        opens.append(open_from)
-        at = int(np.searchsorted(steps["entry"].to_numpy(), open_from))
-        if at < len(steps):
-            open_from = int(steps["exit"].iat[at]) + delay
-    return pd.DataFrame({"_block": blocks, "_open": opens})
+    for i, (lo, hi) in enumerate(zip(starts, np.append(starts[1:], len(block)))):
+        opens[i] = open_from
+        at = lo + int(np.searchsorted(entry[lo:hi], open_from))
+        if at < hi:
+            open_from = int(end[at]) + delay
+    return block[starts], opens
 
 
-def _emit(pdf: pd.DataFrame) -> pd.DataFrame:
-    instants = np.sort(pdf["_us"].to_numpy())
-    hits = respond(instants, int(pdf["_delay"].iat[0]), int(pdf["_open"].iat[0]))
-    return pd.DataFrame({"_us": hits})
+def _emit(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    return (respond(np.sort(rows["_us"]), int(rows["_delay"][0]), int(rows["_open"][0])),)
 
 
 def _per_key(fn, keys: list[str], columns: list[str]):
-    """Apply ``fn`` to every key of a pack and put the key back in front."""
+    """Apply ``fn`` to the columns of every key of a pack, and put the key in front."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for key, rows in pdf.groupby(keys, sort=False):
-            part = fn(rows)
-            for at, (name, value) in enumerate(zip(keys, key)):
-                part.insert(at, name, value)
-            parts.append(part)
-        return pd.concat(parts) if parts else pd.DataFrame(columns=[*keys, *columns])
+        code = pdf.groupby(keys, sort=False).ngroup().to_numpy()
+        order = np.argsort(code, kind="stable")
+        pdf, code = pdf.iloc[order], code[order]
+        values = {c: pdf[c].to_numpy() for c in pdf.columns if c not in keys}
+        starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        found = [
+            fn({c: v[lo:hi] for c, v in values.items()})
+            for lo, hi in zip(starts, np.append(starts[1:], len(code)))
+        ]
+        rows = np.repeat(starts, [len(part[0]) for part in found])
+        out = pdf[keys].iloc[rows].reset_index(drop=True)
+        for i, name in enumerate(columns):
+            out[name] = np.concatenate([part[i] for part in found])
+        return out
 
     return run
 

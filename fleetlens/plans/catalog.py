@@ -1,6 +1,6 @@
 """All registered queries; importing a family registers its queries."""
 
-from fleetlens.plans import alerts, backup, blocking, events, restore  # noqa: F401
+from fleetlens.plans import alerts, backup, blocking, events, indexes, restore  # noqa: F401
 from fleetlens.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
