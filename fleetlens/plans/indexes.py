@@ -76,8 +76,8 @@ SELECT server_name, database_name, schema_name || '.' || table_name AS table_nam
     CASE WHEN is_primary_key = 1 THEN 'ALTER TABLE ' || {_TWO} || ' ADD CONSTRAINT ' || {_q('index_name')} || ' PRIMARY KEY ' || CASE WHEN index_id > 1 THEN 'NON' ELSE '' END || 'CLUSTERED '
       ELSE 'CREATE ' || CASE WHEN is_unique = 1 THEN 'UNIQUE ' ELSE '' END || CASE WHEN index_id > 1 THEN 'NON' ELSE '' END || 'CLUSTERED INDEX ' || {_q('index_name')} || ' ON ' || {_TWO} || ' ' END
     || '(' || index_keys || ')' || coalesce(' INCLUDE (' || include_keys || ')', '') || coalesce(' WHERE ' || filter_definition, '')
-    || CASE WHEN row_list IS NULL AND page_list IS NULL THEN '' ELSE ' WITH (' || coalesce('DATA_COMPRESSION = ROW ' || CASE WHEN partition_scheme IS NULL THEN '' ELSE ' ON PARTITIONS (' || row_list || ')' END, '')
-      || CASE WHEN row_list IS NOT NULL AND page_list IS NOT NULL THEN ', ' ELSE '' END || coalesce('DATA_COMPRESSION = PAGE ' || CASE WHEN partition_scheme IS NULL THEN '' ELSE ' ON PARTITIONS (' || page_list || ')' END, '') || ')' END
+    || CASE WHEN row_list IS NULL AND page_list IS NULL THEN '' ELSE ' WITH (' || CASE WHEN row_list IS NULL THEN '' ELSE 'DATA_COMPRESSION = ROW ' || CASE WHEN partition_scheme IS NULL THEN '' ELSE ' ON PARTITIONS (' || row_list || ')' END END
+      || CASE WHEN row_list IS NOT NULL AND page_list IS NOT NULL THEN ', ' ELSE '' END || CASE WHEN page_list IS NULL THEN '' ELSE 'DATA_COMPRESSION = PAGE ' || CASE WHEN partition_scheme IS NULL THEN '' ELSE ' ON PARTITIONS (' || page_list || ')' END END || ')' END
     || ' ON ' || CASE WHEN partition_scheme IS NULL THEN coalesce({_q('filegroup')}, '') ELSE partition_scheme || ' (' || partition_column || ')' END || ';' END AS create_statement,
   'DROP INDEX ' || {_q('index_name')} || ' ON ' || {_TWO} || ';' AS drop_statement, CASE WHEN row_list IS NOT NULL THEN 'ROW' WHEN page_list IS NOT NULL THEN 'PAGE' ELSE '' END AS data_compression_desc,
   reserved_in_row_gb, reserved_lob_gb, row_count, partition_count, cast(user_seeks AS bigint) AS user_seeks, cast(user_scans AS bigint) AS user_scans, cast(user_lookups AS bigint) AS user_lookups, user_updates AS queries_that_modified,

@@ -442,7 +442,7 @@ FROM {orders}
 VIEWS["fx_assessment"] = """
 SELECT r_name AS database_name, concat('Compat', cast(100 + r_regionkey * 10 AS varchar(10))) AS compatibility_level, n_name AS title,
   concat('sev', cast(n_nationkey % 3 AS varchar(10))) AS severity, CASE WHEN n_nationkey % 8 = 5 THEN NULL ELSE concat('imp ', n_name) END AS impact,
-  cast(100 + n_nationkey % 5 * 10 AS varchar(10)) AS migrating_to, s_name AS object_name, 'Table' AS object_type, concat('bal ', cast(cast(floor(s_acctbal) AS bigint) AS varchar(20))) AS impact_detail
+  cast(100 + n_nationkey % 5 * 10 AS varchar(10)) AS migrating_to, s_name AS object_name, 'Table' AS object_type, cast(floor(s_suppkey / 50) AS bigint) AS document_id, concat('bal ', cast(cast(floor(s_acctbal) AS bigint) AS varchar(20))) AS impact_detail
 FROM {region} JOIN {nation} ON n_regionkey = r_regionkey JOIN {supplier} ON s_nationkey = n_nationkey
 """
 
@@ -476,13 +476,25 @@ FROM {conversations}
 # --- snapshots, configuration, history -------------------------------------
 
 VIEWS["fx_database_file"] = """
-SELECT concat('srv', cast(l_suppkey % 3 AS varchar(10))) AS server_name, CASE WHEN l_suppkey % 50 = 1 THEN 'master' ELSE concat('db', cast(l_suppkey AS varchar(10))) END AS database_name, l_suppkey AS database_guid,
+SELECT concat('srv', cast(l_suppkey % 3 AS varchar(10))) AS server_name, concat('db', cast(l_suppkey AS varchar(10))) AS database_name,
   concat('log_', cast(l_linenumber AS varchar(10))) AS logical_name, cast(l_linenumber AS int) AS file_id, CASE WHEN l_linenumber = 2 THEN 'LOG' ELSE 'ROWS' END AS type_desc,
-  concat('C:', chr(92), 'data', chr(92), 'f', cast(l_suppkey AS varchar(10)), '_', cast(l_linenumber AS varchar(10)), '.mdf') AS physical_name,
-  min(l_shipdate) + INTERVAL '1' SECOND * cast(l_suppkey * 863 % 86400 AS int) AS now_ts
+  TIMESTAMP '2001-06-01 00:00:00' + INTERVAL '1' SECOND * cast(l_suppkey * 863 % 86400 AS int) AS now_ts
 FROM {lineitem} GROUP BY l_suppkey, l_linenumber
 """
 
+VIEWS["fx_file_database"] = """
+SELECT concat('srv', cast(s_suppkey % 3 AS varchar(10))) AS server_name, concat('db', cast(s_suppkey AS varchar(10))) AS database_name,
+  CASE WHEN s_suppkey % 9 = 4 THEN 'OFFLINE' ELSE 'ONLINE' END AS state_desc, CASE WHEN s_suppkey % 8 = 3 THEN cast(s_suppkey AS int) ELSE NULL END AS source_database_guid
+FROM {supplier}
+"""
+
+VIEWS["fx_log_listing"] = """
+SELECT concat('srv', cast(event_id % 3 AS varchar(10))) AS server_name,
+  concat('C:', chr(92), 'Logs', chr(92), event_type, CASE WHEN event_id % 4 = 0 THEN '' ELSE concat('_', cast(20240000 + event_id % 1231 AS varchar(10))) END, '_', cast(100000 + event_id AS varchar(10)), CASE WHEN event_id % 5 = 0 THEN '.log' ELSE '.txt' END) AS path,
+  ts AS modified
+FROM {events}
+"""
+
 # settings reported by each server: customers are servers here
 VIEWS["fx_setting"] = """
 SELECT o_custkey AS server_id, concat('srv', cast(o_custkey AS varchar(10)), CASE WHEN o_custkey % 6 = 0 THEN '-OS' ELSE '' END) AS server_name,
