@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import text as tx
+from fleetlens.functions.joins import small_side
 from fleetlens.functions.numbers import int_div, seconds_between
 from fleetlens.functions.ordered import asof_latest, latest_so_far
 from fleetlens.operators.throttle import throttle
+from fleetlens.session import cut
 
 RULE_SCHEMA = "alert_name string, severity int, message_id int, keyword string, event_class string, delay_seconds int"
 # fixed values: the standard alert rules
@@ -51,8 +53,10 @@ DRIVE = ["server_name", "drive"]
 ALERT = ["server_name", "alert_name"]
 
 
-def standard_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, RULE_SCHEMA)
+def standard_rules(spark: SparkSession, rules: list[tuple] = RULES) -> DataFrame:
+    """Rules as a literal relation, so that the optimizer knows how small they are."""
+    row = F.array(*[F.struct(*[F.lit(v) for v in rule]) for rule in rules])
+    return spark.sql("SELECT 1").select(F.inline(row.cast(f"array<struct<{RULE_SCHEMA.replace(' ', ':').replace(',:', ',')}>>")))
 
 
 def alert_rule_match(events: DataFrame, rules: DataFrame) -> DataFrame:
@@ -60,7 +64,10 @@ def alert_rule_match(events: DataFrame, rules: DataFrame) -> DataFrame:
 
     Severity, message id and event class are three equi joins, so the rules can
     grow; the description keyword is checked on the matches of the message id.
+    The rules are broadcast when their measured size allows it, since a severity is
+    no key to shuffle events on.
     """
+    rules = small_side(rules)
     keep = [*events.columns, "alert_name", "delay_seconds"]
     by_severity = events.join(rules.where("severity is not null").drop("message_id", "keyword", "event_class"), "severity")
     by_message = events.join(
@@ -78,7 +85,7 @@ def alert_throttle(alerts: DataFrame) -> DataFrame:
     with the lowest event id responds.
     """
     free = alerts.where("delay_seconds = 0")
-    held = (
+    held = cut(
         alerts.where("delay_seconds > 0")
         .groupBy(*ALERT, "ts", "delay_seconds").agg(F.min("event_id").alias("event_id"))
         .withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
@@ -166,9 +173,12 @@ def free_space_updates(
     changed = F.col("_before").isNull() | (F.col("_before") != F.col("mb_free"))
     rows = rows.where("_order = 1").withColumn("_start", F.when(changed, F.col("sample_time")))
     rows = latest_so_far(rows, DRIVE, "sample_time", "_start", "_run", block="DAY")
-    rows = rows.withColumn("_at", F.unix_micros(F.col("sample_time").cast("timestamp"))).withColumn(
-        "_run_at", F.unix_micros(F.col("_run").cast("timestamp"))
-    ).withColumn("_delay_us", F.lit(repeat_minutes * 60_000_000 + 1))
+    rows = cut(rows.select(
+        *DRIVE, "sample_time", "mb_free",
+        F.unix_micros(F.col("sample_time").cast("timestamp")).alias("_at"),
+        F.unix_micros(F.col("_run").cast("timestamp")).alias("_run_at"),
+        F.lit(repeat_minutes * 60_000_000 + 1).cast("bigint").alias("_delay_us"),
+    ))
     hits = throttle(rows, [*DRIVE, "_run_at"], "_at", "_delay_us").withColumn("_hit", F.lit(True))
     return rows.join(hits, [*DRIVE, "_run_at", "_at"], "left").select(
         *DRIVE, "sample_time", "mb_free", F.coalesce("_hit", F.lit(False)).alias("updated")

@@ -4,7 +4,8 @@ A key responds at its first instant, then at the first instant that is at least
 ``delay`` later, and so on; every response restarts the clock, so the answer at
 one time depends on all earlier times of the key.  The work is still split:
 
-1. equal instants of a key collapse to one row (partial aggregate);
+1. the caller collapses equal instants of a key to one row (partial aggregate) and
+   materialises them, because they are read twice;
 2. each (key, time block) computes, on its own, how it maps the time from which
    the key is open again to its last response - a step function that only has
    steps for entries inside the first ``delay`` of the block;
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_DELAYS = 256  # block length in delays
+BLOCK_DELAYS = 128  # block length in delays
 
 
 def last_responses(instants: np.ndarray, delay: int) -> np.ndarray:
@@ -112,7 +113,7 @@ def throttle(df: DataFrame, keys: list[str], time_us: str, delay_us: str) -> Dat
     """
     packs = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     instants = (
-        df.groupBy(*keys, F.col(time_us).alias("_us")).agg(F.max(delay_us).alias("_delay"))
+        df.select(*keys, F.col(time_us).alias("_us"), F.col(delay_us).alias("_delay"))
         .withColumn("_block", F.floor(F.col("_us") / (F.col("_delay") * BLOCK_DELAYS)).cast("bigint"))
         .withColumn("_pack", F.pmod(F.xxhash64(*keys), F.lit(packs)))
     )
@@ -122,8 +123,14 @@ def throttle(df: DataFrame, keys: list[str], time_us: str, delay_us: str) -> Dat
         schema = T.StructType([*kept, *[T.StructField(n, T.LongType()) for n in extra]])
         return groups.applyInPandas(_per_key(fn, [f.name for f in kept], list(extra)), schema)
 
-    steps = apply(instants.groupBy("_pack", "_delay", "_block"), _steps, "_block", "_delay", "entry", "exit")
+    def grouped(rows: DataFrame, *by: str):
+        # the fixed number keeps AQE from merging the groups into a few tasks: the
+        # Python work per row is far above what their bytes suggest
+        return rows.repartition(packs, *by).groupBy(*by)
+
+    block = ["_pack", "_delay", "_block"]
+    steps = apply(grouped(instants, *block), _steps, "_block", "_delay", "entry", "exit")
     steps = steps.withColumn("_pack", F.pmod(F.xxhash64(*keys), F.lit(packs)))
-    opens = apply(steps.groupBy("_pack"), _chain, "_block", "_open")
+    opens = apply(grouped(steps, "_pack"), _chain, "_block", "_open")
     entered = instants.join(opens, [*keys, "_block"])
-    return apply(entered.groupBy("_pack", "_delay", "_block"), _emit, "_us").withColumnRenamed("_us", time_us)
+    return apply(grouped(entered, *block), _emit, "_us").withColumnRenamed("_us", time_us)

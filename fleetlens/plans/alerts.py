@@ -43,8 +43,8 @@ def alert_rule_match(t):
 
 def _throttled(seconds: int) -> str:
     return f"""{_MATCHED},
-inst AS (SELECT server_name, alert_name, ts, min(event_id) AS event_id FROM matched WHERE delay_seconds > 0 GROUP BY 1, 2, 3),
-nxt AS (SELECT x.server_name, x.alert_name, x.ts, y.ts AS following FROM inst x ASOF JOIN inst y ON y.server_name = x.server_name AND y.alert_name = x.alert_name AND x.ts + INTERVAL '{seconds}' SECOND <= y.ts),
+inst AS MATERIALIZED (SELECT server_name, alert_name, ts, min(event_id) AS event_id FROM matched WHERE delay_seconds > 0 GROUP BY 1, 2, 3),
+nxt AS MATERIALIZED (SELECT x.server_name, x.alert_name, x.ts, y.ts AS following FROM inst x ASOF JOIN inst y ON y.server_name = x.server_name AND y.alert_name = x.alert_name AND x.ts + INTERVAL '{seconds}' SECOND <= y.ts),
 walk AS (SELECT server_name, alert_name, min(ts) AS ts FROM inst GROUP BY 1, 2 UNION ALL SELECT n.server_name, n.alert_name, n.following FROM walk w JOIN nxt n ON n.server_name = w.server_name AND n.alert_name = w.alert_name AND n.ts = w.ts),
 held AS (SELECT i.server_name, i.alert_name, i.event_id, i.ts FROM inst i JOIN walk w ON w.server_name = i.server_name AND w.alert_name = i.alert_name AND w.ts = i.ts),
 responses AS (SELECT * FROM held UNION ALL SELECT server_name, alert_name, event_id, ts FROM matched WHERE delay_seconds = 0)

@@ -100,8 +100,8 @@ def purge_log_files(t):
 
 
 @query("deadlock_export", """
-SELECT server_name, strftime(at, '%Y-%m-%d') AS day, event_id, strftime(at, '%Y-%m-%d ~ %H_%M_%S.000') AS name, regexp_extract(event_data, '<deadlock>.*</deadlock>') AS document
-FROM (SELECT *, cast(cast(ts AS date) AS timestamp) + INTERVAL '1' HOUR * cast(event_id % 10 AS int) + INTERVAL '30' MINUTE - INTERVAL '5' HOUR AS at FROM fx_deadlock_xml)
+SELECT server_name, strftime(shifted, '%Y-%m-%d') AS day, event_id, strftime(shifted, '%Y-%m-%d ~ %H_%M_%S.000') AS name, regexp_extract(event_data, '<deadlock>.*</deadlock>') AS document
+FROM (SELECT *, cast(cast(ts AS date) AS timestamp) + INTERVAL '1' HOUR * cast(event_id % 10 AS int) + INTERVAL '30' MINUTE - INTERVAL '5' HOUR AS shifted FROM fx_deadlock_xml)
 """)
 def deadlock_export(t):
     reports = shred.deadlock_shred(t("fx_deadlock_xml"), zone="America/New_York")

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.sources.tables import read_table, spread_small_scan
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -558,7 +560,9 @@ class Fixtures:
     def __call__(self, name: str) -> DataFrame:
         if name not in self._seen:
             if name in TABLES:
-                df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                df = read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
+            elif name.endswith("_xml"):
+                df = self.derive(name, {"events": spread_small_scan(self("events"))})
             else:
                 df = self.derive(name, {})
             self._seen[name] = df
