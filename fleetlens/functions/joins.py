@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.session import cut
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -25,3 +27,12 @@ def small_side(df: DataFrame, *, limit: int = BROADCAST_BYTES) -> DataFrame:
     measuring reads it.
     """
     return F.broadcast(df) if measured_bytes(df) <= limit else df
+
+
+def reduced_side(df: DataFrame, *, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A side that an aggregate has cut down to about one row per database.
+
+    The optimizer cannot know how few rows are left and would shuffle the big
+    other side.  The rows are materialised once, measured, and broadcast if small.
+    """
+    return small_side(cut(df), limit=limit)

@@ -9,20 +9,12 @@ key; the carry table has one row per (key, block).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "_block"
 
 
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """Null-safe equality on several columns."""
-    out = F.lit(True)
-    for name in names:
-        out = out & left[name].eqNullSafe(right[name])
-    return out
-
-
 def _carry(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Last non-null value of all earlier blocks, per (key, block)."""
     per_block = df.groupBy(*keys, BLOCK).agg(
@@ -30,8 +22,8 @@ def _carry(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     )
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     return per_block.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col(BLOCK).alias("_k_block"),
+        *keys,
+        BLOCK,
         F.last("_last", ignorenulls=True).over(earlier).alias("_carry"),
     )
 
@@ -50,7 +42,8 @@ def latest_so_far(
     """Add ``out``: the last non-null ``value`` at or before the row.
 
     With ``strict`` the row itself is left out, which is the classic LAG that
-    skips NULLs.  ``order`` must be a timestamp; ``ties`` settles equal times.
+    skips NULLs.  ``order`` must be a timestamp; ``ties`` settles equal times.  Keys
+    must not be NULL.
     """
     rows = df.withColumn(BLOCK, F.date_trunc(block, F.col(order)))
     inside = (
@@ -62,13 +55,9 @@ def latest_so_far(
     ranked = F.struct(F.col(order), *[F.col(t) for t in ties or []])
     carry = _carry(rows.withColumn("_rank", ranked), keys, "_rank", value)
     here = rows.withColumn("_here", F.last(value, ignorenulls=True).over(inside))
-    on = F.lit(True)
-    for k in keys:
-        on = on & here[k].eqNullSafe(carry[f"_k_{k}"])
-    joined = here.join(carry, on & here[BLOCK].eqNullSafe(carry["_k_block"]), "left")
-    return joined.select(
-        *[here[c] for c in df.columns], F.coalesce("_here", "_carry").alias(out)
-    )
+    # the join key is the window's partition key, so the rows are shuffled once
+    joined = here.join(carry, [*keys, BLOCK], "left")
+    return joined.select(*df.columns, F.coalesce("_here", "_carry").alias(out))
 
 
 def asof_latest(

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import text as tx
+from fleetlens.functions.joins import reduced_side, small_side
+from fleetlens.session import cut
 
 DB = ["server_name", "database_name"]
 MEDIA = ["server_name", "media_set_id"]
@@ -83,7 +85,7 @@ def baseline_full_backups(
 
     ``inclusive=False`` makes both comparisons strict.
     """
-    last = _last_full_by_guid(backupset, media, databases, device_types)
+    last = reduced_side(_last_full_by_guid(backupset, media, databases, device_types))
     finish = F.col("backup_finish_date")
     if inclusive:
         early = (finish <= cutoff) & (finish <= F.col("last_full"))
@@ -121,8 +123,8 @@ def backup_files_retention(
     A file may go when its latest finish lies before the baseline of its
     database.  Archive sets are left out, sets without a name stay.
     """
-    base = baseline_full_backups(
-        backupset, media, databases, cutoff=cutoff, device_types=device_types
+    base = reduced_side(
+        baseline_full_backups(backupset, media, databases, cutoff=cutoff, device_types=device_types)
     )
     sets = backupset.where(
         F.col("type").isin("D", "I", "L")
@@ -183,7 +185,7 @@ def last_backups_report(backupset: DataFrame, media: DataFrame, databases: DataF
     """
     details = ["backup_set_id", "media_set_id", "backup_finish_date", "name", "user_name", "backup_size", "compressed_backup_size"]
     ranked = F.struct("backup_finish_date", "backup_set_id", *[c for c in details if c not in ("backup_finish_date", "backup_set_id")])
-    newest = (
+    newest = cut(
         backupset.where(
             ((F.col("type") == "D") & (F.col("is_copy_only") == 0)) | (F.col("type") == "I")
         )
@@ -201,9 +203,10 @@ def last_backups_report(backupset: DataFrame, media: DataFrame, databases: DataF
             ).otherwise(F.col("i")),
         )
     )
-    chosen = newest.select(
-        "server_name", F.explode(F.array("f.media_set_id", "i.media_set_id")).alias("media_set_id")
-    ).where(F.col("media_set_id").isNotNull()).distinct()
+    chosen = small_side(
+        newest.select("server_name", F.explode(F.array("f.media_set_id", "i.media_set_id")).alias("media_set_id"))
+        .where(F.col("media_set_id").isNotNull()).distinct()
+    )
     # only the media of the chosen sets are aggregated
     wanted = media.join(chosen, MEDIA, "left_semi")
     facts = wanted.groupBy(*MEDIA).agg((F.max("mirror") + 1).alias("copies")).join(
@@ -254,7 +257,7 @@ def latest_backup_media(
     )
     if backup_type == "L":
         candidates = candidates.where(F.col("recovery_model_desc") != "SIMPLE")
-    latest = (
+    latest = reduced_side(
         backupset.where(F.col("type") == backup_type)
         .join(candidates.select(*DB), DB, "left_semi")
         .groupBy(*DB)

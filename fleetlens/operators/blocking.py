@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.joins import small_side
 from fleetlens.functions.numbers import int_div
 from fleetlens.session import cut
 
@@ -41,13 +42,18 @@ def lead_blockers(edges: DataFrame) -> DataFrame:
     """Flag rows whose blocker is no victim in the same loop.
 
     An unknown victim in a loop leaves no row of that loop flagged, as NOT IN
-    with a NULL does.
+    with a NULL does.  The rows are read three times and therefore materialised
+    first: the reports behind them are parsed once.
     """
+    edges = cut(edges)
     victims = (
         edges.where(F.col("vic_spid").isNotNull())
         .select(*LOOP, F.col("vic_spid").alias("blk_spid"), F.lit(True).alias("_blocked")).distinct()
     )
-    unknown = edges.where(F.col("vic_spid").isNull()).select(*LOOP, F.lit(True).alias("_unknown")).distinct()
+    # loops with an unknown victim are rare, which the measured size decides
+    unknown = small_side(
+        edges.where(F.col("vic_spid").isNull()).select(*LOOP, F.lit(True).alias("_unknown")).distinct()
+    )
     lead = F.col("_blocked").isNull() & F.col("_unknown").isNull() & F.col("blk_spid").isNotNull()
     return (
         edges.join(victims, [*LOOP, "blk_spid"], "left")

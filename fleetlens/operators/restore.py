@@ -6,12 +6,12 @@ database with any number of files or logs stays a set of rows.  Nothing runs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import text as tx
+from fleetlens.functions.joins import reduced_side
 from fleetlens.functions.ordered import asof_latest, latest_so_far
-from fleetlens.session import cut
 from fleetlens.operators.backup import DB, MEDIA, last_full_backup
 
 GUID = ["server_name", "database_guid"]
@@ -50,14 +50,15 @@ def _disk_lines(sets: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame
     ``sets`` holds (keys, cmd_order, media_set_id); the media are read once.
     """
     keys = [*keys, "cmd_order"]
-    rows = sets.join(files, MEDIA)
-    last = rows.groupBy(*keys).agg(F.max("family_sequence_number").alias("_last"))
+    # a window is safe here: its group is the files of one backup, 64 at most per set
+    top = F.max("family_sequence_number").over(Window.partitionBy(*keys))
+    rows = sets.join(files, MEDIA).withColumn("_last", top)
     text = F.concat(
         F.lit(tx.TAB + "DISK = '"), F.col("physical_device_name"), F.lit("'"),
         F.when(F.col("family_sequence_number") == F.col("_last"), F.lit("")).otherwise(F.lit(",")),
     )
     seq = F.col("media_set_id") * 1000 + F.col("family_sequence_number")
-    return rows.join(last, keys).select(*keys, seq.cast("bigint").alias("seq"), text.alias("command"))
+    return rows.select(*keys, seq.cast("bigint").alias("seq"), text.alias("command"))
 
 
 def _move_target(data_path: str, log_path: str) -> Column:
@@ -87,11 +88,11 @@ def restore_commands(
     Sets that share the chosen finish are all used, whatever their type, as the
     script is keyed by the finish date.
     """
-    last = last_full_backup(
+    last = reduced_side(last_full_backup(
         backupset, media, databases, backup_type=backup_type, database=database, device_types=device_types
-    )
-    sets = backupset.select(*DB, "media_set_id", "backup_set_id", "backup_finish_date").join(
-        last, [*DB, "backup_finish_date"]
+    ))
+    sets = reduced_side(
+        backupset.select(*DB, "media_set_id", "backup_set_id", "backup_finish_date").join(last, [*DB, "backup_finish_date"])
     )
     disks = media if device_types is None else media.where(F.col("device_type").isin(*device_types))
     full = backup_type == "D"
@@ -118,7 +119,7 @@ def restore_log_commands(
 ) -> DataFrame:
     """Commands for every set that finished after the last full or differential."""
     scope = databases if database is None else databases.where(F.col("database_name") == database)
-    last = (
+    last = reduced_side(
         backupset.where(F.col("type").isin("D", "I") & (F.col("is_copy_only") == 0))
         .join(scope.select(*DB), DB, "left_semi")
         .groupBy(*DB)
@@ -214,7 +215,7 @@ def restore_chain_asof(
     """Lines of the point-in-time script for every (database, as_of) request."""
     keys = [*DB, "as_of"]
     # one row per request, used four times below
-    points = cut(restore_points(backupset, databases, requests))
+    points = reduced_side(restore_points(backupset, databases, requests))
     name = F.concat(F.lit("RESTORE DATABASE "), F.col("database_name"))
     go = "GO" + tx.CRLF + tx.CRLF
 

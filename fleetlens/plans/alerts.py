@@ -88,10 +88,10 @@ _OPERATORS = ["DBA team", "Pager"]
 @query("alert_notification_routing", f"""
 WITH {_MATCHED},
 wanted AS (SELECT s.server_name, n.alert_name, o.operator_name FROM (SELECT DISTINCT server_name FROM fx_alert_event) s, (VALUES {', '.join(f"('{n}')" for n in _NAMES)}) n(alert_name), (VALUES ('DBA team'), ('Pager')) o(operator_name))
-SELECT * FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.server_name = w.server_name AND m.alert_name = w.alert_name AND w.operator_name = CASE WHEN m.description LIKE 'x CLIENT%' THEN 'Pager' ELSE 'DBA team' END AND m.event_id % 4 = 1)
+SELECT * FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.server_name = w.server_name AND m.alert_name = w.alert_name AND w.operator_name = CASE WHEN m.description LIKE 'x CLIENT%' THEN 'Pager' ELSE 'DBA team' END AND m.event_class = 'DATA_FILE_AUTO_GROW')
 """)
 def alert_notification_routing(t):
-    existing = _matched(t).where("event_id % 4 = 1").select(
+    existing = _matched(t).where("event_class = 'DATA_FILE_AUTO_GROW'").select(
         "server_name", "alert_name", F.when(F.col("description").like("x CLIENT%"), "Pager").otherwise("DBA team").alias("operator_name")
     ).distinct()
     return a.alert_notification_routing(t("fx_alert_event"), existing, _NAMES, _OPERATORS)

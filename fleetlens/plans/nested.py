@@ -55,13 +55,10 @@ def dependency_union(t):
 @query("referenced_entities_collect", """
 SELECT server_name, database_name, schema_name, object_name, referenced_entity_name, referenced_database_name FROM fx_dependency d
 WHERE NOT EXISTS (SELECT 1 FROM fx_databases b WHERE b.is_read_only = 1 AND b.server_name = d.server_name AND b.database_name = d.database_name)
-  AND NOT EXISTS (SELECT 1 FROM fx_dependency f WHERE f.err_msg IS NOT NULL AND f.server_name = d.server_name AND f.database_name = d.database_name AND f.object_name = d.object_name AND f.referenced_entity_name = d.referenced_entity_name)
+  AND NOT EXISTS (SELECT 1 FROM fx_dependency f WHERE f.err_msg IS NOT NULL AND f.server_name = d.server_name AND f.database_name = d.database_name AND f.object_name = d.object_name)
 """)
 def referenced_entities_collect(t):
-    # every object of the sample has some failed row, so a reference is the unit here
-    rows = t("fx_dependency").withColumn("schema_name", F.concat("schema_name", F.lit("|"), "referenced_entity_name"))
-    out = n.referenced_entities_collect(rows, t("fx_databases").where("is_read_only = 1"))
-    return out.withColumn("schema_name", F.substring_index("schema_name", "|", 1))
+    return n.referenced_entities_collect(t("fx_dependency"), t("fx_databases").where("is_read_only = 1"))
 
 
 @query("invalid_module_report", """

@@ -14,8 +14,8 @@ _EXISTS = "EXISTS (SELECT 1 FROM fx_mediafamily m WHERE m.server_name = bs.serve
 def _script(kind: str, p: str) -> str:
     """CTEs <p>lines for one backup type with data path D:\\ and log path L:\\logs."""
     move = f"""
-  UNION ALL SELECT server_name, database_name, 4.5, 0, '{_NOTE}' FROM {p}last
-  UNION ALL SELECT s.server_name, s.database_name, 5, s.backup_set_id, chr(9) || 'MOVE ''' || f.logical_name || ''' TO ''' ||
+  UNION ALL SELECT server_name, database_name, cast(4.5 AS decimal(3,1)), 0, '{_NOTE}' FROM {p}last
+  UNION ALL SELECT s.server_name, s.database_name, cast(5 AS decimal(3,1)), s.backup_set_id, chr(9) || 'MOVE ''' || f.logical_name || ''' TO ''' ||
     CASE WHEN f.file_type = 'L' THEN 'L:\\logs\\' ELSE 'D:\\' END || split_part(f.physical_name, '\\', -1) || ''',' FROM {p}sets s JOIN fx_backupfile f ON f.server_name = s.server_name AND f.backup_set_id = s.backup_set_id
 """ if kind == "D" else ""
     return f"""
@@ -25,10 +25,10 @@ def _script(kind: str, p: str) -> str:
 {p}files AS (SELECT s.server_name, s.database_name, m.*, max(m.family_sequence_number) OVER (PARTITION BY s.server_name, s.database_name) AS top FROM {p}sets s JOIN fx_mediafamily m ON m.server_name = s.server_name AND m.media_set_id = s.media_set_id AND m.device_type = 2),
 {p}lines AS (
   SELECT server_name, database_name, cast(1 AS decimal(3,1)) AS cmd_order, cast(0 AS bigint) AS seq, 'RESTORE DATABASE ' || database_name AS command FROM {p}last
-  UNION ALL SELECT server_name, database_name, 2, 0, 'FROM' FROM {p}last
-  UNION ALL SELECT server_name, database_name, 3, media_set_id * 1000 + family_sequence_number, chr(9) || 'DISK = ''' || physical_device_name || '''' || CASE WHEN family_sequence_number = top THEN '' ELSE ',' END FROM {p}files
-  UNION ALL SELECT server_name, database_name, 4, 0, 'WITH ' FROM {p}last
-  UNION ALL SELECT server_name, database_name, 6, 0, chr(9) || 'REPLACE, NORECOVERY ' || {_CRLF} || {_CRLF} FROM {p}last
+  UNION ALL SELECT server_name, database_name, cast(2 AS decimal(3,1)), 0, 'FROM' FROM {p}last
+  UNION ALL SELECT server_name, database_name, cast(3 AS decimal(3,1)), media_set_id * 1000 + family_sequence_number, chr(9) || 'DISK = ''' || physical_device_name || '''' || CASE WHEN family_sequence_number = top THEN '' ELSE ',' END FROM {p}files
+  UNION ALL SELECT server_name, database_name, cast(4 AS decimal(3,1)), 0, 'WITH ' FROM {p}last
+  UNION ALL SELECT server_name, database_name, cast(6 AS decimal(3,1)), 0, chr(9) || 'REPLACE, NORECOVERY ' || {_CRLF} || {_CRLF} FROM {p}last
   {move})"""
 
 
@@ -60,7 +60,7 @@ _ORIGINAL = _script("D", "d").replace("CASE WHEN f.file_type = 'L' THEN 'L:\\log
 WITH {_ORIGINAL}, {_script('I', 'i')}, {_LOGS}
 SELECT server_name, database_name, cmd_order, seq, command, 1 AS section, cast(NULL AS timestamp) AS at FROM dlines
 UNION ALL SELECT server_name, database_name, cmd_order, seq, command, 2, NULL FROM ilines
-UNION ALL SELECT server_name, database_name, 1, media_set_id * 1000 + family_sequence_number, command, 3, backup_finish_date FROM logs
+UNION ALL SELECT server_name, database_name, cast(1 AS decimal(3,1)), media_set_id * 1000 + family_sequence_number, command, 3, backup_finish_date FROM logs
 """)
 def restore_script_all(t):
     return r.restore_script_all(t("fx_backupset"), t("fx_mediafamily"), t("fx_backupfile"), t("fx_databases"))
@@ -86,7 +86,7 @@ def restore_points(t):
 
 def _disks(column: str, order: int) -> str:
     return f"""
-SELECT p.server_name, p.database_name, p.as_of, {order}, m.media_set_id * 1000 + m.family_sequence_number, chr(9) || 'DISK = ''' || m.physical_device_name || '''' ||
+SELECT p.server_name, p.database_name, p.as_of, cast({order} AS decimal(3,1)), m.media_set_id * 1000 + m.family_sequence_number, chr(9) || 'DISK = ''' || m.physical_device_name || '''' ||
   CASE WHEN m.family_sequence_number = max(m.family_sequence_number) OVER (PARTITION BY p.server_name, p.database_name, p.as_of) THEN '' ELSE ',' END
 FROM points p JOIN fx_mediafamily m ON m.server_name = p.server_name AND m.media_set_id = p.{column}"""
 
@@ -99,19 +99,19 @@ WITH {_POINTS},
 prevs AS (SELECT bs.*, (SELECT max(p.backup_finish_date) FROM fx_backupset p WHERE p.server_name = bs.server_name AND p.database_guid = bs.database_guid AND p.type = 'L' AND p.backup_finish_date < bs.backup_finish_date) AS prev_finish
   FROM fx_backupset bs WHERE bs.type = 'L')
 SELECT {_KEYS}, cast(1 AS decimal(3,1)) AS cmd_order, cast(0 AS bigint) AS seq, 'RESTORE DATABASE ' || database_name AS command FROM points
-UNION ALL SELECT {_KEYS}, 2, 0, 'FROM' FROM points
+UNION ALL SELECT {_KEYS}, cast(2 AS decimal(3,1)), 0, 'FROM' FROM points
 UNION ALL {_disks('full_media_set_id', 3)}
-UNION ALL SELECT {_KEYS}, 4, 0, 'WITH ' FROM points
-UNION ALL SELECT {_KEYS}, 4.5, 0, '{_NOTE}' FROM points
-UNION ALL SELECT p.server_name, p.database_name, p.as_of, 5, bs.backup_set_id, chr(9) || 'MOVE ''' || f.logical_name || ''' TO ''' || f.physical_name || ''','
+UNION ALL SELECT {_KEYS}, cast(4 AS decimal(3,1)), 0, 'WITH ' FROM points
+UNION ALL SELECT {_KEYS}, cast(4.5 AS decimal(3,1)), 0, '{_NOTE}' FROM points
+UNION ALL SELECT p.server_name, p.database_name, p.as_of, cast(5 AS decimal(3,1)), bs.backup_set_id, chr(9) || 'MOVE ''' || f.logical_name || ''' TO ''' || f.physical_name || ''','
   FROM points p JOIN fx_backupset bs ON bs.server_name = p.server_name AND bs.database_guid = p.database_guid AND bs.backup_finish_date = p.full_finish JOIN fx_backupfile f ON f.server_name = bs.server_name AND f.backup_set_id = bs.backup_set_id
-UNION ALL SELECT {_KEYS}, 6, 0, chr(9) || 'REPLACE, NORECOVERY ' FROM points
-UNION ALL SELECT {_KEYS}, 7, 0, 'GO' || {_CRLF} || {_CRLF} FROM points
-UNION ALL SELECT {_KEYS}, 8, 0, 'RESTORE DATABASE ' || database_name FROM points WHERE diff_finish IS NOT NULL
-UNION ALL SELECT {_KEYS}, 9, 0, 'FROM' FROM points WHERE diff_finish IS NOT NULL
+UNION ALL SELECT {_KEYS}, cast(6 AS decimal(3,1)), 0, chr(9) || 'REPLACE, NORECOVERY ' FROM points
+UNION ALL SELECT {_KEYS}, cast(7 AS decimal(3,1)), 0, 'GO' || {_CRLF} || {_CRLF} FROM points
+UNION ALL SELECT {_KEYS}, cast(8 AS decimal(3,1)), 0, 'RESTORE DATABASE ' || database_name FROM points WHERE diff_finish IS NOT NULL
+UNION ALL SELECT {_KEYS}, cast(9 AS decimal(3,1)), 0, 'FROM' FROM points WHERE diff_finish IS NOT NULL
 UNION ALL {_disks('diff_media_set_id', 10)}
-UNION ALL SELECT {_KEYS}, 11, 0, 'WITH REPLACE, NORECOVERY' || {_CRLF} || 'GO' || {_CRLF} || {_CRLF} FROM points WHERE diff_finish IS NOT NULL
-UNION ALL SELECT p.server_name, p.database_name, p.as_of, 12, cast(epoch(l.backup_finish_date) AS bigint) * 100000 + m.family_sequence_number,
+UNION ALL SELECT {_KEYS}, cast(11 AS decimal(3,1)), 0, 'WITH REPLACE, NORECOVERY' || {_CRLF} || 'GO' || {_CRLF} || {_CRLF} FROM points WHERE diff_finish IS NOT NULL
+UNION ALL SELECT p.server_name, p.database_name, p.as_of, cast(12 AS decimal(3,1)), cast(epoch(l.backup_finish_date) AS bigint) * 100000 + m.family_sequence_number,
   'RESTORE DATABASE ' || p.database_name || {_CRLF} || chr(9) || 'FROM DISK = ''' || m.physical_device_name || '''' || {_CRLF} || 'WITH REPLACE, NORECOVERY ' ||
   CASE WHEN l.backup_finish_date > p.as_of THEN ', STOPAT = ''' || strftime(p.as_of, '%Y-%m-%d %H:%M:%S') || '''' ELSE '' END || {_CRLF} || {_CRLF}
   FROM points p JOIN prevs l ON l.server_name = p.server_name AND l.database_guid = p.database_guid AND (l.first_lsn >= p.base_lsn OR l.last_lsn >= p.base_lsn) AND l.prev_finish < p.as_of

@@ -451,7 +451,7 @@ FROM {region} JOIN {nation} ON n_regionkey = r_regionkey JOIN {supplier} ON s_na
 VIEWS["fx_dependency"] = """
 SELECT concat('srv', cast(l_suppkey % 3 AS varchar(10))) AS server_name, concat('db', cast(l_suppkey % 5 AS varchar(10))) AS database_name, 'dbo' AS schema_name, concat('o', cast(l_suppkey AS varchar(10))) AS object_name,
   concat('r', cast(l_partkey % 40 AS varchar(10))) AS referenced_entity_name, CASE WHEN l_partkey % 7 = 0 THEN 'other' ELSE NULL END AS referenced_database_name,
-  CASE WHEN min(l_orderkey) % 9 = 0 THEN 'cannot resolve' ELSE NULL END AS err_msg
+  CASE WHEN l_suppkey % 9 = 4 AND l_partkey % 7 = 0 THEN 'cannot resolve' ELSE NULL END AS err_msg
 FROM {lineitem} GROUP BY l_suppkey, l_partkey % 40, l_partkey % 7
 """
 
