@@ -62,20 +62,23 @@ def standard_rules(spark: SparkSession, rules: list[tuple] = RULES) -> DataFrame
 def alert_rule_match(events: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per event and matching rule.
 
-    Severity, message id and event class are three equi joins, so the rules can
-    grow; the description keyword is checked on the matches of the message id.
-    The rules are broadcast when their measured size allows it, since a severity is
-    no key to shuffle events on.
+    An event offers its severity, message id and class as keys, a rule asks for one
+    of them, so the match is a single equi join over a single pass of the events;
+    the description keyword is checked on the matches of the message id.  The rules
+    are broadcast when their measured size allows it, since a severity is no key to
+    shuffle events on.
     """
-    rules = small_side(rules)
-    keep = [*events.columns, "alert_name", "delay_seconds"]
-    by_severity = events.join(rules.where("severity is not null").drop("message_id", "keyword", "event_class"), "severity")
-    by_message = events.join(
-        rules.where("message_id is not null").select("alert_name", "delay_seconds", "keyword", F.col("message_id").alias("error_number")),
-        "error_number",
-    ).where(F.col("keyword").isNull() | (F.instr(F.lower("description"), F.lower("keyword")) > 0))
-    by_class = events.join(rules.where("event_class is not null").drop("message_id", "keyword", "severity"), "event_class")
-    return by_severity.select(*keep).unionByName(by_message.select(*keep)).unionByName(by_class.select(*keep))
+    def keys(message: str) -> Column:
+        return F.array(*[
+            F.struct(F.lit(kind).alias("_kind"), F.col(column).cast("string").alias("_value"))
+            for kind, column in (("severity", "severity"), ("message", message), ("class", "event_class"))
+        ])
+
+    asked = rules.select("alert_name", "delay_seconds", F.col("keyword").alias("_keyword"), F.inline(keys("message_id")))
+    asked = small_side(asked.where(F.col("_value").isNotNull()))
+    offered = events.select("*", F.inline(keys("error_number"))).where(F.col("_value").isNotNull())
+    found = (F.col("_kind") != "message") | F.col("_keyword").isNull() | F.contains(F.lower("description"), F.lower("_keyword"))
+    return offered.join(asked, ["_kind", "_value"]).where(found).select(*events.columns, "alert_name", "delay_seconds")
 
 
 def alert_throttle(alerts: DataFrame) -> DataFrame:

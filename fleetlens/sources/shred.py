@@ -35,7 +35,8 @@ def cast_to(text: Column, kind: str) -> Column:
     if kind == "string":
         return text
     if kind == "timestamp":
-        return text.try_cast("timestamp").cast("timestamp_ntz")
+        # the wall clock of the document, whatever the session's time zone
+        return text.try_cast("timestamp_ntz")
     return text.try_cast(kind)
 
 
@@ -161,7 +162,7 @@ def deadlock_shred(events: DataFrame, *, zone: str = "UTC") -> DataFrame:
             p["inputbuf"].alias(f"inputbuf_{suffix}"),
         ]
 
-    at = F.from_utc_timestamp(F.col("_doc._timestamp").try_cast("timestamp"), zone).cast("timestamp_ntz")
+    at = F.convert_timezone(F.lit("UTC"), F.lit(zone), cast_to(F.col("_doc._timestamp"), "timestamp"))
     return doc.select(
         "server_name", "event_id", "object_name", at.alias("timestamp"), deadlock_xml(F.col("event_data")).alias("xml_deadlock_report"),
         *side(0, "vic"), *side(1, "win"),
