@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_DELAYS = 128  # block length in delays
+PACK_ROWS = 100_000  # rows that are worth a pack of their own
 
 
 def last_responses(instants: np.ndarray, delay: int) -> np.ndarray:
@@ -105,13 +106,22 @@ def _per_key(fn, keys: list[str], columns: list[str]):
     return run
 
 
+def _pack_count(df: DataFrame) -> int:
+    """Packs for the rows at hand: every core busy, no more tasks than a shuffle has."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    most = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return min(most, max(cores, df.count() // PACK_ROWS + 1))
+
+
 def throttle(df: DataFrame, keys: list[str], time_us: str, delay_us: str) -> DataFrame:
     """Distinct (keys, time_us) that respond.
 
     ``time_us`` and ``delay_us`` are microseconds; the delay is positive and the
-    same for all rows of a key.  Keys must not be NULL.
+    same for all rows of a key.  Keys must not be NULL.  ``df`` should be
+    materialised, since it is counted once and read twice.
     """
-    packs = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packs = _pack_count(df)
     instants = (
         df.select(*keys, F.col(time_us).alias("_us"), F.col(delay_us).alias("_delay"))
         .withColumn("_block", F.floor(F.col("_us") / (F.col("_delay") * BLOCK_DELAYS)).cast("bigint"))
