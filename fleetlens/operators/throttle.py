@@ -19,12 +19,18 @@ functions instead of events.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# executors need not have this package: the task functions travel by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_DELAYS = 128  # block length in delays
 PACK_ROWS = 100_000  # rows that are worth a pack of their own
 

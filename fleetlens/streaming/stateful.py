@@ -8,15 +8,20 @@ holds at most the distinct instants of one watermark span.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetlens.operators.alerts import ALERT, DRIVE
 
+# executors need not have this package: the task functions travel by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _watermark_us(state: GroupState) -> int:
     return max(state.getCurrentWatermarkMs(), 0) * 1000

@@ -1,5 +1,9 @@
+import subprocess
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from fleetlens.operators import alerts as a
 from fleetlens.operators import throttle as th
@@ -65,3 +69,9 @@ def test_reset_names(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string")
     got = {r.n for r in df.where(a.resettable(df.n)).collect()}
     assert got == {"17-x", "25-Fatal Error", "26", "Error 823"}
+
+
+def test_task_functions_need_no_package_on_the_executor(tmp_path):
+    payload = cloudpickle.dumps(th._per_key(th._steps, ["k"], ["_block", "_delay", "entry", "exit"]))
+    code = "import pickle, sys; pickle.loads(sys.stdin.buffer.read()); assert 'fleetlens' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], input=payload, cwd=tmp_path, check=True)
