@@ -1,6 +1,6 @@
 """All queries of this subpackage; importing a module registers its query."""
 
-from fleetlens.llm import line_rules, mixing, sharding  # noqa: F401
+from fleetlens.llm import line_rules, mixing, quality, sharding, toxicity  # noqa: F401
 from fleetlens.llm.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
