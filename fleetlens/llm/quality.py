@@ -24,9 +24,11 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.joins import small_side
 from fleetlens.llm.labelled import held_out, labelled_sample
 from fleetlens.llm.registry import query, table
 from fleetlens.llm.textbytes import PIECE, WordHasher, column_bytes, mixed, shingle_hashes
+from fleetlens.session import cut
 
 # executors need not have this package: the task functions travel by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -128,6 +130,7 @@ def log_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"), FOLDS, FOLD))
         .groupBy("doc_id").agg(F.max("quality").alias("y"))
     )
+    ids = small_side(cut(ids))  # measured: beyond the limit the texts are shuffled
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").select("y", "text")
     counts = rows.mapInArrow(count_indicators, "f bigint, zero bigint, one bigint")
     found = counts.groupBy("f").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).toPandas()
