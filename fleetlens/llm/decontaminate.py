@@ -30,8 +30,10 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.joins import small_side
 from fleetlens.llm.registry import query, table
 from fleetlens.llm.textbytes import WordHasher, column_bytes, shingle_hashes
+from fleetlens.session import cut
 
 # executors need not have this package: the task functions travel by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -206,7 +208,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, part_items: int = PART_ITEMS
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leaked item; columns as given."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
+    bad = small_side(cut(leaks(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
 
 

@@ -277,14 +277,19 @@ def near_equal(docs: DataFrame, *, k: int = 4, percent: int = 85) -> DataFrame:
 def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one of each component kept, the one of the smallest doc_id.
 
-    Rows of a repeated doc_id that stand for the same set are repeats too: the first text
-    in order stays.  Documents without words stay.  Columns as given.
+    Documents without words stay.  Rows of a repeated doc_id stay or go together, and of
+    equal rows among them one stays.  Columns as given.
     """
-    found = near_equal(docs, k=k, percent=percent)
-    keep = found.where(F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id")
-    ).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
+    found = cut(near_equal(docs, k=k, percent=percent).select("doc_id", "node", "component_id"))
+    keep = found.where(F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = small_side(cut(keep.select(F.col("doc_id").alias("_id")).distinct()))
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
+    repeated = cut(found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
+    if repeated.isEmpty():
+        return kept
+    repeated = small_side(repeated)
+    again = kept["doc_id"].eqNullSafe(repeated["_id"])
+    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates())
 
 
 @query("op6_jaccard_join")

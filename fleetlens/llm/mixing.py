@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.functions.joins import small_side
 from fleetlens.llm.registry import query, table
 from fleetlens.llm.running import hash_key, range_of, ranges, running_before
 from fleetlens.session import cut
@@ -107,6 +108,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     # rows that agree in id, source and size are interchangeable: their copies are pooled
     key = ["_id", "_src", "_size"]
     pooled = taken.groupBy(*key).agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_same"))
+    pooled = small_side(cut(pooled.where("_copies > 0")))
     sized = docs.withColumn("_size", word_count(F.col("text")))
     same = (
         F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src"))
@@ -115,7 +117,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     each = F.ceil(F.col("_copies") / F.col("_same")).cast("int")
     return (
         sized.join(pooled, same)
-        .where("_copies > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), each)))
         .select(*[docs[c] for c in docs.columns])
     )
