@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.functions.joins import small_side
 from fleetlens.llm.registry import query, table
@@ -163,7 +164,6 @@ def write_archives(pages: DataFrame, folder: str) -> None:
     lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(folder, compression="gzip")
 
 
-@F.pandas_udf("binary")
 def http_payload(blocks: pd.Series) -> pd.Series:
     """The payload of HTTP messages; null where the framing is broken."""
     def one(block: bytes) -> bytes | None:
@@ -182,6 +182,7 @@ def read_archives(spark, folder: str) -> DataFrame:
     page_id), payload (binary; null for revisits) and intact: every length and the framing
     are as stated.
     """
+    decode = F.pandas_udf(http_payload, T.BinaryType())
     raw = spark.read.option("lineSep", "\r\n\r\n" + START.decode()).text(folder)
     # the first record of a file still has its version line; the others get a blank in its place
     value = F.when(F.col("value").startswith(START.decode()), F.col("value")).otherwise(F.concat(F.lit("\r\n"), F.col("value")))
@@ -218,7 +219,7 @@ def read_archives(spark, folder: str) -> DataFrame:
         ).alias("fits"),
     )
     revisit = F.col("type") == "revisit"
-    both = whole.unionByName(parts).withColumn("_payload", http_payload(F.col("block").cast("binary")))
+    both = whole.unionByName(parts).withColumn("_payload", decode(F.col("block").cast("binary")))
     return both.select(
         "record_id", F.col("type").alias("record_type"), "page_id", "url", "payload_digest", "refers_to",
         F.when(~revisit, F.col("_payload")).alias("payload"),
