@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import text as tx
-from fleetlens.sources.schemas import SERVER_EVENT_FIELDS
 
 # fixed values: login failures are reported elsewhere; statement events and the
 # duration from which they are slow
@@ -42,12 +41,27 @@ def error_html_rows(errors: DataFrame, cells: list[str], *, keep: list[str]) ->
     return errors.select(*keep, tx.html_row([cell(c) for c in cells]).alias("html"))
 
 
-def event_to_html(event: Column) -> Column:
-    """Name and value table of the children of an event, in document order."""
-    rows = []
-    for name in (*SERVER_EVENT_FIELDS, "TSQLCommand"):
-        value = event["TSQLCommand"]["CommandText"] if name == "TSQLCommand" else event[name]
-        row = F.concat(F.lit(f"<tr><td>{name}</td><td>"), tx.html_escape(value), F.lit("</td></tr>"))
-        rows.append(F.coalesce(row, F.lit("")))
-    table = F.concat(F.lit('<table border="1">'), *rows, F.lit("</table><br/>"))
+# an element, its name without prefix, and what is inside it
+_CHILD = r"(?s)<(?:[\w.-]+:)?([\w.-]+)(?:\s[^<>]*?)?(?:/>|>(.*?)</(?:[\w.-]+:)?\1\s*>)"
+_ROOT = r"(?s)<(?:[\w.-]+:)?EVENT_INSTANCE(?:\s[^<>]*)?>(.*)</(?:[\w.-]+:)?EVENT_INSTANCE\s*>"
+
+
+def event_to_html(body: Column) -> Column:
+    """Name and value table of all children of an event, in document order.
+
+    ``body`` is the text of a readable event document.  The value of a child is its text
+    with that of everything below it; the references for <, > and & stay as they are,
+    so the cells are escaped.
+    """
+    inner = F.regexp_extract(body, _ROOT, 1)
+    names = F.regexp_extract_all(inner, F.lit(_CHILD), F.lit(1))
+    values = F.regexp_extract_all(inner, F.lit(_CHILD), F.lit(2))
+
+    def row(name: Column, value: Column) -> Column:
+        text = F.regexp_replace(F.coalesce(value, F.lit("")), "<[^>]*>", "")
+        text = F.replace(F.replace(text, F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'"))
+        return F.concat(F.lit("<tr><td>"), name, F.lit("</td><td>"), text, F.lit("</td></tr>"))
+
+    rows = F.array_join(F.zip_with(names, values, row), "")
+    table = F.concat(F.lit('<table border="1">'), rows, F.lit("</table><br/>"))
     return F.replace(table, F.lit(tx.CRLF), F.lit("<br/>"))

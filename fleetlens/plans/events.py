@@ -71,11 +71,16 @@ def _row(name: str, value: str) -> str:
     return f"coalesce('<tr><td>{name}</td><td>' || {value} || '</td></tr>', '')"
 
 
+def _row_if(condition: str, name: str, value: str) -> str:
+    return f"CASE WHEN {condition} THEN {_row(name, value)} ELSE '' END"
+
+
 _HTML = " || ".join([
-    "'<table border=\"1\">'", _row("EventType", "event_type"), _row("PostTime", "cast(cast(post_time AS date) AS varchar) || 'T00:00:00'"), _row("ServerName", "server_name"),
-    _row("LoginName", "login_name"), _row("DatabaseName", "database_name"), _row("SchemaName", "schema_name"), _row("ObjectName", "object_name"), _row("TargetObjectType", "target_object_type"),
-    _row("RoleName", "role_name"), _row("TextData", "command_text"), _row("EventSubClass", "event_subclass"), _row("Success", "success"), _row("IsSystem", "is_system"), _row("TSQLCommand", "command_text"),
-    "'</table><br/>'",
+    "'<table border=\"1\">'", _row("EventType", "event_type"), _row("PostTime", "replace(cast(post_time AS varchar), ' ', 'T')"), _row_if("event_id % 4 = 1", "SPID", "event_id % 90"),
+    _row_if("event_id % 4 <> 2", "ServerName", "server_name"), _row("LoginName", "login_name"), _row_if("event_id % 4 = 2", "ServerName", "server_name"),
+    _row("DatabaseName", "database_name"), _row("SchemaName", "schema_name"), _row("ObjectName", "object_name"), _row("TargetObjectType", "target_object_type"),
+    _row("RoleName", "role_name"), _row("TextData", "command_text"), _row("EventSubClass", "event_subclass"), _row("Success", "success"), _row("IsSystem", "is_system"),
+    _row_if("event_id % 3 = 0", "HostName", "'h &amp; 1'"), _row_if("event_id % 3 = 0", "Empty", "''"), _row("TSQLCommand", "command_text"), "'</table><br/>'",
 ])
 _EV = f"ev AS (SELECT v.*, x.message_body, {_HTML.replace('event_id', 'v.event_id').replace('post_time', 'v.post_time').replace('server_name', 'v.server_name')} AS html FROM fx_server_event v JOIN fx_server_event_xml x ON x.event_id = v.event_id WHERE v.event_id % 97 <> 13)"
 _TRUSTED = "(login_name ILIKE '%DBA%' OR login_name ILIKE '%MSSqlAdmin%')"
@@ -92,7 +97,7 @@ def _events(t):
 
 @query("event_to_html", f"WITH {_EV} SELECT event_id, html FROM ev")
 def event_to_html(t):
-    return h.good_events(_events(t)).select("event_id", e.event_to_html(F.col("event")).alias("html"))
+    return h.good_events(_events(t)).select("event_id", e.event_to_html(F.col("message_body")).alias("html"))
 
 
 _SHRED = """

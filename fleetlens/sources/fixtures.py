@@ -206,12 +206,16 @@ FROM {events}
 VIEWS["fx_server_event_xml"] = """
 SELECT server_name, event_id, post_time,
   CASE WHEN event_id % 97 = 13 THEN '<EVENT_INSTANCE><EventType>BROKEN' ELSE
-  concat('<EVENT_INSTANCE><EventType>', event_type, '</EventType><PostTime>', cast(cast(post_time AS date) AS varchar(10)), 'T00:00:00</PostTime><ServerName>', server_name, '</ServerName>',
+  concat('<EVENT_INSTANCE><EventType>', event_type, '</EventType><PostTime>', replace(cast(post_time AS varchar(30)), ' ', 'T'), '</PostTime>',
+    CASE WHEN event_id % 4 = 1 THEN concat('<SPID>', cast(event_id % 90 AS varchar(10)), '</SPID>') ELSE '' END,
+    CASE WHEN event_id % 4 <> 2 THEN concat('<ServerName>', server_name, '</ServerName>') ELSE '' END,
     CASE WHEN login_name IS NULL THEN '' ELSE concat('<LoginName>', login_name, '</LoginName>') END,
+    CASE WHEN event_id % 4 = 2 THEN concat('<ServerName>', server_name, '</ServerName>') ELSE '' END,
     CASE WHEN database_name IS NULL THEN '' ELSE concat('<DatabaseName>', database_name, '</DatabaseName>') END,
     '<SchemaName>', schema_name, '</SchemaName><ObjectName>', object_name, '</ObjectName><TargetObjectType>', target_object_type, '</TargetObjectType><RoleName>', role_name,
     '</RoleName><TextData>', command_text, '</TextData><EventSubClass>', cast(event_subclass AS varchar(10)), '</EventSubClass><Success>', cast(success AS varchar(10)),
-    '</Success><IsSystem>', cast(is_system AS varchar(10)), '</IsSystem><TSQLCommand><CommandText>', command_text, '</CommandText></TSQLCommand></EVENT_INSTANCE>') END AS message_body
+    '</Success><IsSystem>', cast(is_system AS varchar(10)), '</IsSystem>', CASE WHEN event_id % 3 = 0 THEN '<HostName>h &amp; <b>1</b></HostName><Empty/>' ELSE '' END,
+    '<TSQLCommand><SetOptions ANSI_NULLS="ON"/><CommandText>', command_text, '</CommandText></TSQLCommand></EVENT_INSTANCE>') END AS message_body
 FROM {fx_server_event}
 """
 

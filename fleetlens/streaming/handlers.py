@@ -54,7 +54,7 @@ def _alert(events: DataFrame, subject: Column, reason: Column) -> DataFrame:
     """Alert rows; a reason leads the rendered event."""
     lead = F.when(reason.isNull(), F.lit("")).otherwise(F.concat(F.lit("<p>"), reason, F.lit("</p><br/>")))
     return events.select(
-        *ID, subject.alias("subject"), reason.alias("reason"), F.concat(lead, event_to_html(F.col("event"))).alias("body")
+        *ID, subject.alias("subject"), reason.alias("reason"), F.concat(lead, event_to_html(F.col("message_body"))).alias("body")
     )
 
 
@@ -153,7 +153,7 @@ def deadlock_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Alerts with the deadlock text attached, and audit rows: one output each."""
     rows = _of(events, "DEADLOCK_GRAPH")
     alerts = rows.select(
-        *ID, _subject("event_type").alias("subject"), event_to_html(F.col("event")).alias("body"),
+        *ID, _subject("event_type").alias("subject"), event_to_html(F.col("message_body")).alias("body"),
         F.col("command_text").alias("attachment"),
     )
     return alerts, audit_append(rows)
@@ -264,7 +264,7 @@ def alter_database_policy(
         .where(F.lit(not allow) & ~tx.listed_in_csv(F.col("login_name"), allowed_logins))
         .select(
             *ID, "login_name", "command_text", F.concat(F.col("server_name"), F.lit(" - Database Altered")).alias("subject"),
-            F.when(~excused, kind).alias("violation"), event_to_html(F.col("event")).alias("body"),
+            F.when(~excused, kind).alias("violation"), event_to_html(F.col("message_body")).alias("body"),
         )
     )
 
@@ -280,7 +280,7 @@ def drop_database_policy(
     barred = F.lit(not allow) & ~tx.listed_in_csv(F.col("login_name"), allowed_logins)
     return _of(events, "DROP_DATABASE").select(
         *ID, "login_name", F.concat(F.col("server_name"), F.lit(" - Database Dropped")).alias("subject"),
-        F.when(barred, text).alias("violation"), event_to_html(F.col("event")).alias("body"),
+        F.when(barred, text).alias("violation"), event_to_html(F.col("message_body")).alias("body"),
     )
 
 

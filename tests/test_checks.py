@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from fleetlens.plans import catalog
 from fleetlens.sources.fixtures import TABLES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry_point.queries()
-CHECKS = entry_point.oracle_sql()
+QUERIES = catalog.QUERIES
+CHECKS = catalog.CHECKS
 
 
 @pytest.fixture(scope="module")
@@ -38,5 +39,10 @@ def test_every_query_has_a_check():
     assert set(QUERIES) == set(CHECKS)
 
 
+def test_entry_point_has_them_all():
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(CHECKS) <= set(entry_point.oracle_sql())
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0

@@ -53,5 +53,5 @@ def test_deadlock_with_one_process_and_without_any(spark, at):
 def test_server_event_html_escapes_and_breaks_lines(spark, at):
     text = "<EVENT_INSTANCE><EventType>CREATE_TABLE</EventType><TextData>a &lt; b\r\nc</TextData></EVENT_INSTANCE>"
     df = spark.createDataFrame([("s", 1, at("2024-01-01 00:00:00"), text)], "server_name string, event_id bigint, post_time timestamp_ntz, message_body string")
-    row = h.good_events(shred.server_event_shred(df)).select(h.event_to_html(shred.F.col("event")).alias("html")).first()
+    row = h.good_events(shred.server_event_shred(df)).select(h.event_to_html(shred.F.col("message_body")).alias("html")).first()
     assert "<td>TextData</td><td>a &lt; b" in row.html and "\r\n" not in row.html
