@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.sources import schemas as s
-from fleetlens.sources.shred import with_document
-
 DB = ["server_name", "database_name"]
 PLAN = [*DB, "plan_id"]
 
@@ -29,28 +26,41 @@ def costly_plans(
     ).where(F.col("total_cpu_time_ms") >= min_cpu_ms)
 
 
+_SUGGESTION = r"<(?:[\w.-]+:)?MissingIndexes[\s>]"
+
+
+def _attribute(text: Column, element: str, name: str) -> Column:
+    """Value of the first attribute of that name on such an element, or NULL."""
+    pattern = rf"""<{element}\s(?:[^<>]*?\s)?{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    value = F.coalesce(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")), F.nullif(F.regexp_extract(text, pattern, 2), F.lit("")))
+    for reference, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(reference), F.lit(character))
+    return value
+
+
 def missing_index_plans(
     runtime: DataFrame, plans: DataFrame, queries: DataFrame, *, now: Column, hours: int = 24, min_cpu_ms: float = 10_000
 ) -> DataFrame:
     """Statements of costly plans that carry a missing-index suggestion.
 
-    Cheap plans go first and the text is tested for the node before it is parsed,
-    so the XML parser only sees plans that can qualify.  Every statement of such a
-    plan gives a row; one without a suggestion of its own has NULL names.
+    Cheap plans go first and the text is tested for the node.  Every simple
+    statement of such a plan, at any depth, gives a row; one without a suggestion of
+    its own has NULL names.  A statement's own query plan comes before the statements
+    nested in it, so the text up to the next statement border is all there is to read.
     """
     costly = costly_plans(runtime, now=now, hours=hours, min_cpu_ms=min_cpu_ms)
-    texts = plans.where(F.contains("query_plan", F.lit("<MissingIndexes"))).join(costly, PLAN)
-    parsed = with_document(texts, "query_plan", s.PLAN)
-    batches = F.flatten(F.transform(F.col("_doc.BatchSequence.Batch"), lambda b: b["Statements"]))
-    statements = F.flatten(F.transform(batches, lambda x: F.coalesce(x["StmtSimple"], F.array())))
-    rows = parsed.select(
-        *PLAN, "query_id", "count_executions", "total_duration_ms", "total_cpu_time_ms", F.explode(statements).alias("stmt")
+    texts = plans.where(F.col("query_plan").rlike(_SUGGESTION)).join(costly, PLAN)
+    plain = F.regexp_replace("query_plan", r"<(/?)[\w.-]+:", "<$1")  # names without prefix
+    # all that lies between the start of a statement and the next start or end of one
+    pieces = F.split(plain, r"<StmtSimple(?=[\s>])")
+    own = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda x: F.substring_index(x, "</StmtSimple", 1))
+    rows = texts.select(
+        *PLAN, "query_id", "count_executions", "total_duration_ms", "total_cpu_time_ms", F.explode(own).alias("stmt")
     )
-    group = F.get(F.col("stmt.QueryPlan.MissingIndexes.MissingIndexGroup"), F.lit(0))
-    index = F.get(group["MissingIndex"], F.lit(0))
+    found = F.regexp_extract("stmt", r"(?s)<MissingIndexes[\s>](.*?)</MissingIndexes", 1)
     return rows.join(queries, [*DB, "query_id"]).select(
-        *PLAN, "query_id", "object_name", "query_sql_text", index["_Database"].alias("missing_database"),
-        index["_Schema"].alias("missing_schema"), index["_Table"].alias("missing_table"),
-        group["_Impact"].try_cast("double").alias("impact"),
+        *PLAN, "query_id", "object_name", "query_sql_text", _attribute(found, "MissingIndex", "Database").alias("missing_database"),
+        _attribute(found, "MissingIndex", "Schema").alias("missing_schema"), _attribute(found, "MissingIndex", "Table").alias("missing_table"),
+        _attribute(found, "MissingIndexGroup", "Impact").try_cast("double").alias("impact"),
         "count_executions", "total_duration_ms", "total_cpu_time_ms",
     )

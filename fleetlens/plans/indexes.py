@@ -182,8 +182,8 @@ def tables_with_stats(t):
 @query("missing_index_plans", f"""
 WITH costly AS (SELECT server_name, database_name, plan_id, cast(sum(count_executions) AS bigint) AS count_executions, sum(cast(count_executions AS hugeint) * avg_duration_us) AS d, sum(cast(count_executions AS hugeint) * avg_cpu_us) AS c
   FROM fx_runtime_stats WHERE last_execution_time > TIMESTAMP '2001-06-01 00:00:00' - INTERVAL '720' HOUR GROUP BY 1, 2, 3 HAVING sum(cast(count_executions AS hugeint) * avg_cpu_us) >= 999995),
-stmt AS (SELECT p.server_name, p.database_name, p.plan_id, p.query_id, k.p_brand, k.p_size, unnest(CASE WHEN k.p_size % 3 = 0 THEN [1, 2] ELSE [1] END) AS n FROM fx_plan p JOIN part k ON k.p_partkey = p.plan_id WHERE p.plan_id % 13 <> 0 AND k.p_size % 2 = 0)
-SELECT s.server_name, s.database_name, s.plan_id, s.query_id, q.object_name, q.query_sql_text, CASE WHEN n = 1 THEN '[d]' END AS missing_database, CASE WHEN n = 1 THEN '[dbo]' END AS missing_schema, CASE WHEN n = 1 THEN '[' || s.p_brand || ']' END AS missing_table,
+stmt AS (SELECT p.server_name, p.database_name, p.plan_id, p.query_id, k.p_brand, k.p_size, unnest(list_concat([1], CASE WHEN k.p_size % 3 = 0 THEN [2] ELSE [] END, CASE WHEN k.p_partkey % 5 = 0 THEN [3] ELSE [] END)) AS n FROM fx_plan p JOIN part k ON k.p_partkey = p.plan_id WHERE p.plan_id % 13 <> 0 AND k.p_size % 2 = 0)
+SELECT s.server_name, s.database_name, s.plan_id, s.query_id, q.object_name, q.query_sql_text, CASE WHEN n = 1 THEN '[d]' END AS missing_database, CASE WHEN n = 1 THEN '[dbo]' END AS missing_schema, CASE WHEN n = 1 THEN '[' || s.p_brand || ' & co]' END AS missing_table,
   CASE WHEN n = 1 THEN cast(s.p_size AS double) + 0.5 END AS impact, c.count_executions, {_dec('c.d', '1000', 2, 'decimal(20,2)')} AS total_duration_ms, {_dec('c.c', '1000', 2, 'decimal(20,2)')} AS total_cpu_time_ms
 FROM costly c JOIN stmt s ON s.server_name = c.server_name AND s.database_name = c.database_name AND s.plan_id = c.plan_id JOIN fx_query_text q ON q.server_name = s.server_name AND q.database_name = s.database_name AND q.query_id = s.query_id
 """)

@@ -362,10 +362,13 @@ FROM {lineitem}
 
 VIEWS["fx_plan"] = """
 SELECT concat('srv', cast(p_partkey % 3 AS varchar(10))) AS server_name, concat('db', cast(p_partkey % 7 AS varchar(10))) AS database_name,
-  p_partkey AS plan_id, p_partkey AS query_id, CASE WHEN p_partkey % 13 = 0 THEN '<ShowPlanXML><Stmt' ELSE concat('<ShowPlanXML xmlns="http://schemas.microsoft.com/sqlserver/2004/07/showplan"><BatchSequence><Batch><Statements><StmtSimple><QueryPlan>',
-    CASE WHEN p_size % 2 = 0 THEN concat('<MissingIndexes><MissingIndexGroup Impact="', cast(p_size AS varchar(10)), '.5"><MissingIndex Database="[d]" Schema="[dbo]" Table="[', p_brand, ']"/></MissingIndexGroup></MissingIndexes>') ELSE '' END,
-    '</QueryPlan></StmtSimple>', CASE WHEN p_size % 3 = 0 THEN '<StmtSimple><QueryPlan></QueryPlan></StmtSimple>' ELSE '' END, '</Statements></Batch></BatchSequence></ShowPlanXML>') END AS query_plan
-FROM {part}
+  p_partkey AS plan_id, p_partkey AS query_id, CASE WHEN p_partkey % 13 = 0 THEN '<ShowPlanXML><Stmt' ELSE concat('<', pre, 'ShowPlanXML xmlns="http://schemas.microsoft.com/sqlserver/2004/07/showplan"><', pre, 'BatchSequence><', pre, 'Batch><', pre, 'Statements>',
+    CASE p_partkey % 4 WHEN 1 THEN '<StmtCond><Condition/><Then><Statements>' WHEN 2 THEN '<StmtCursor><CursorPlan><Operation>' ELSE '' END, '<', pre, 'StmtSimple StatementId="1"><', pre, 'QueryPlan>',
+    CASE WHEN p_size % 2 = 0 THEN concat('<', pre, 'MissingIndexes><', pre, 'MissingIndexGroup Impact="', cast(p_size AS varchar(10)), '.5"><', pre, 'MissingIndex Database="[d]" Schema="[dbo]" Table="[', p_brand, ' &amp; co]"/></', pre, 'MissingIndexGroup></', pre, 'MissingIndexes>') ELSE '' END,
+    '</', pre, 'QueryPlan>', CASE WHEN p_partkey % 5 = 0 THEN '<StoredProc><Statements><StmtSimple><QueryPlan></QueryPlan></StmtSimple></Statements></StoredProc>' ELSE '' END, '</', pre, 'StmtSimple>',
+    CASE p_partkey % 4 WHEN 1 THEN '</Statements></Then></StmtCond>' WHEN 2 THEN '</Operation></CursorPlan></StmtCursor>' ELSE '' END,
+    CASE WHEN p_size % 3 = 0 THEN '<StmtSimple><QueryPlan></QueryPlan></StmtSimple>' ELSE '' END, '</', pre, 'Statements></', pre, 'Batch></', pre, 'BatchSequence></', pre, 'ShowPlanXML>') END AS query_plan
+FROM (SELECT *, CASE WHEN p_partkey % 7 = 3 THEN 'p:' ELSE '' END AS pre FROM {part}) plans
 """
 
 VIEWS["fx_query_text"] = """

@@ -92,30 +92,6 @@ SERVER_EVENT = T.StructType([
     T.StructField("_corrupt", T.StringType()),
 ])
 
-_STATEMENT = T.StructType([
-    T.StructField("QueryPlan", T.StructType([
-        T.StructField("MissingIndexes", T.StructType([
-            T.StructField("MissingIndexGroup", T.ArrayType(T.StructType([
-                T.StructField("_Impact", T.StringType()),
-                T.StructField("MissingIndex", T.ArrayType(T.StructType([
-                    T.StructField("_Database", T.StringType()),
-                    T.StructField("_Schema", T.StringType()),
-                    T.StructField("_Table", T.StringType()),
-                ]))),
-            ])))
-        ]))
-    ]))
-])
-PLAN = T.StructType([
-    T.StructField("BatchSequence", T.StructType([
-        T.StructField("Batch", T.ArrayType(T.StructType([
-            T.StructField("Statements", T.ArrayType(T.StructType([
-                T.StructField("StmtSimple", T.ArrayType(_STATEMENT))
-            ])))
-        ])))
-    ]))
-])
-
 ASSESSMENT = T.StructType([
     T.StructField("Databases", T.ArrayType(T.StructType([
         T.StructField("Name", T.StringType()),
