@@ -18,7 +18,8 @@ Only the lowest tokens by hash are counted at first; a node that finds too few r
 ones among them is worked out from its whole set, and its tokens from further up are
 looked up among the others.
 
-Candidates are verified exactly.  First every index entry is compared with one hub per
+Candidates are verified exactly, after a bound from the counted tokens has ruled out most
+of the false ones.  First every index entry is compared with one hub per
 signature; then only nodes that share a signature and are still in different
 components are compared, so a group of copies costs one comparison a member.
 
@@ -153,6 +154,41 @@ def _signature_rows(percent: int):
     return rows
 
 
+def may_link(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int) -> bool:
+    """False if the lowest tokens of two sets already differ in too many places.
+
+    Up to the smaller of the two last hashes both lists are complete, so tokens that only
+    one of them has there are missing from the other set: with d of them the
+    intersection is at most (na + nb - d) / 2.
+    """
+    ends = [x[-1] for x, n in ((a, na), (b, nb)) if len(x) < n]
+    if ends:
+        a, b = a[a <= min(ends)], b[b <= min(ends)]
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    most = (na + nb - (len(a) + len(b) - 2 * common)) // 2
+    return 100 * most >= percent * (na + nb - most)
+
+
+def _plausible(percent: int):
+    """Task function: the pairs whose counted tokens do not rule a link out."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for c in ("ta", "tb"):
+                column = batch.column(c)
+                flat, at = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()
+                lists.append((flat, at - at[0]))
+            (fa, oa), (fb, ob) = lists
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            good = [
+                may_link(fa[oa[i] : oa[i + 1]], na[i], fb[ob[i] : ob[i + 1]], nb[i], percent) for i in range(batch.num_rows)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return rows
+
+
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -181,8 +217,8 @@ class _Join:
             F.col("node").alias("of"), "text"
         )
         sets = texts.mapInArrow(_set_rows(self.k, self.percent, True), "of bigint, n bigint, node bigint, tokens array<bigint>")
-        # a repeated doc_id brings other texts along
-        return sets.where("of = node").select("node", "n", "tokens").dropDuplicates(["node"])
+        # a repeated doc_id brings other texts along, and equal ones more than once
+        return sets.where("of = node").select("node", "n", "tokens")
 
     def index(self) -> DataFrame:
         """(sig, node, n): every signature that at least two nodes may share."""
@@ -216,15 +252,27 @@ class _Join:
         entries = easy.select(F.col("token").alias("sig"), "node", "n").union(hard_sigs.select("sig", "node", "n"))
         return entries.distinct()
 
+    def _beside(self, pairs: DataFrame, lists: DataFrame) -> DataFrame:
+        """Pairs with the sizes and token lists of both sides."""
+        left = lists.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+        right = lists.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+        return pairs.join(left, "a").join(right, "b")
+
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar enough, by exact intersection."""
+        """The pairs (a, b) whose sets are similar enough, by exact intersection.
+
+        The counted tokens rule most pairs out; whole sets are moved for the rest.
+        """
         pairs = cut(pairs)
-        sets = cut(self.whole_sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))))
-        left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-        right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+        ends = lambda df: df.select(F.col("a").alias("node")).union(df.select(F.col("b").alias("node"))).distinct()
+        counted_lists = self.heads.select("node", "n", "tokens").join(small_side(cut(ends(pairs))), "node", "left_semi")
+        pairs = cut(
+            self._beside(pairs, counted_lists).select("a", "b", "na", "nb", "ta", "tb")
+            .mapInArrow(_plausible(self.percent), "a bigint, b bigint").distinct()
+        )
+        both = self._beside(pairs, cut(self.whole_sets(ends(pairs))))
         common = F.size(F.array_intersect("ta", "tb"))
-        both = pairs.join(left, "a").join(right, "b")
-        return both.where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+        return both.where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct()
 
     def links(self) -> DataFrame:
         index = self.index()
