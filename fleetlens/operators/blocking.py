@@ -1,9 +1,9 @@
 """Blocking-chain analysis of blocked-process reports.
 
 All chain work is keyed by (server_name, monitor_loop, spid).  Chain metrics are
-counted from the ends of the chains towards their leads, one hop per round, over
-one row per blocking session; paths are never listed, so a session that blocks a
-third of the fleet costs one aggregated row.
+counted from the ends of the chains towards their leads, over one row per blocking
+session and hop; paths are never listed, so a session that blocks a third of the
+fleet costs one aggregated row.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from fleetlens.functions.numbers import int_div
 from fleetlens.session import cut
 
 LOOP = ["server_name", "monitor_loop"]
-MAX_DEPTH = 100
 
 
 def blocked_process_dedupe(edges: DataFrame, *, now: Column, hours: int = 48) -> DataFrame:
@@ -62,42 +61,53 @@ def lead_blockers(edges: DataFrame) -> DataFrame:
     )
 
 
-def blocking_chain_metrics(edges: DataFrame, *, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Sessions blocked, total and average duration for each lead row.
+def _chain_sums(chained: DataFrame) -> DataFrame:
+    """Per blocking session the number of paths below it and the sum of their last hops.
+
+    A session has the sum over its victims of one more than the victim's own count.  Every
+    round adds up the victims that are settled and, so that a long chain takes few
+    rounds, replaces a victim with a single open victim by that one.  While there is no
+    cycle, some session is settled in every round.
+    """
+    node = [*LOOP, "v"]
+    big = lambda x: F.lit(x).cast("bigint")
+    sessions = cut(
+        chained.groupBy(*LOOP, F.col("blk_spid").alias("v")).agg(F.count("*").alias("paths"), F.sum("duration_ms").alias("total"))
+    )
+    victims = sessions.select(*LOOP, F.col("v").alias("w"))
+    hops = chained.select(*LOOP, F.col("blk_spid").alias("v"), F.col("vic_spid").alias("w")).join(victims, [*LOOP, "w"], "left_semi")
+    hops = cut(hops.groupBy(*LOOP, "v", "w").agg(F.count("*").alias("m")))
+    while not hops.isEmpty():
+        out = hops.groupBy(*node).agg(F.count("*").alias("_open"), F.first("w").alias("_next"), F.first("m").alias("_by"))
+        out = out.withColumnRenamed("v", "w")
+        below = sessions.select(*LOOP, F.col("v").alias("w"), F.col("paths").alias("_paths"), F.col("total").alias("_total"))
+        seen = cut(hops.join(below, [*LOOP, "w"]).join(out, [*LOOP, "w"], "left"))
+        if seen.where("_open IS NULL").isEmpty():
+            raise ValueError("blocking chains with a cycle: " + str([tuple(r) for r in seen.select(*LOOP, "v", "w").limit(5).collect()]))
+        taken = seen.where("coalesce(_open, 1) = 1")
+        gained = taken.groupBy(*node).agg(F.sum(F.col("m") * F.col("_paths")).alias("_p"), F.sum(F.col("m") * F.col("_total")).alias("_t"))
+        sessions = cut(sessions.join(gained, node, "left").select(
+            *node, (F.col("paths") + F.coalesce("_p", big(0))).alias("paths"), (F.col("total") + F.coalesce("_t", big(0))).alias("total")
+        ))
+        kept = seen.where("_open > 1").select(*node, "w", "m")
+        jumped = seen.where("_open = 1").select(*node, F.col("_next").alias("w"), (F.col("m") * F.col("_by")).alias("m"))
+        hops = cut(kept.unionByName(jumped).groupBy(*LOOP, "v", "w").agg(F.sum("m").alias("m")))
+    return sessions.withColumnRenamed("v", "vic_spid")
+
+
+def blocking_chain_metrics(edges: DataFrame) -> DataFrame:
+    """Sessions blocked, total and average duration for each lead row, longest total first.
 
     The input is the flagged output of ``lead_blockers``.  A victim reached over
-    two paths counts twice.  Round k holds, per blocking session, the number of
-    paths of exactly k hops and the durations of their last hops; it is the sum of
-    round k-1 over the session's victims, so every round is one join and one
-    aggregate of at most one row per session.  A chain that is still growing after
-    ``max_depth`` rounds is a cycle and raises an error.
+    two paths counts twice; paths are counted, never listed.  A cycle, which leaves a
+    chain without end, raises an error that names sessions on or above it.
     """
-    node = [*LOOP, "blk_spid"]
-    edges = cut(edges)
     chained = edges.where(~F.col("is_lead_blocker")).select(*LOOP, "blk_spid", "vic_spid", "duration_ms")
-    level = cut(chained.groupBy(*node).agg(F.count("*").alias("paths"), F.sum("duration_ms").alias("total")))
-    levels = []
-    while not level.isEmpty():
-        if len(levels) >= max_depth:
-            raise ValueError(f"a blocking chain is longer than {max_depth} hops or has a cycle")
-        levels.append(level)
-        ends = level.withColumnRenamed("blk_spid", "vic_spid")
-        level = cut(
-            chained.drop("duration_ms").join(ends, [*LOOP, "vic_spid"])
-            .groupBy(*node).agg(F.sum("paths").alias("paths"), F.sum("total").alias("total"))
-        )
-    leads = edges.where("is_lead_blocker")
-    if levels:
-        below = levels[0]
-        for deeper in levels[1:]:
-            below = below.unionByName(deeper)
-        below = below.groupBy(*node).agg(F.sum("paths").alias("paths"), F.sum("total").alias("total"))
-    else:
-        below = level
-    below = below.withColumnRenamed("blk_spid", "vic_spid")
+    below = _chain_sums(chained)
     count = F.lit(1).cast("bigint") + F.coalesce("paths", F.lit(0).cast("bigint"))
     total = F.col("duration_ms") + F.coalesce("total", F.lit(0).cast("bigint"))
-    return leads.join(below, [*LOOP, "vic_spid"], "left").select(
+    leads = edges.where("is_lead_blocker").join(below, [*LOOP, "vic_spid"], "left").select(
         *edges.columns, count.alias("spids_blocked"), total.alias("total_duration_ms"),
         int_div(total, count).alias("avg_duration_ms"),
     )
+    return leads.orderBy(F.desc("total_duration_ms"), *LOOP, "blocked_process_id")

@@ -26,7 +26,25 @@ def test_leads_without_chains(spark, rows, at):
 def test_cycle_raises(spark, at):
     edges = _edges(spark, at, [(1, 1, 2, 1), (1, 2, 3, 1), (1, 3, 2, 1)])
     with pytest.raises(ValueError, match="cycle"):
-        k.blocking_chain_metrics(k.lead_blockers(edges), max_depth=5)
+        k.blocking_chain_metrics(k.lead_blockers(edges))
+
+
+def test_long_chain_needs_few_rounds(spark, rows, at):
+    pairs = [(1, i, i + 1, 1) for i in range(1, 1001)] + [(1, i, 5000 + i, 2) for i in range(2, 1001, 7)]
+    out = k.blocking_chain_metrics(k.lead_blockers(_edges(spark, at, pairs)))
+    assert rows(out, "blocked_process_id", "spids_blocked", "total_duration_ms") == [(0, 1143, 1286)]
+
+
+def test_leads_come_by_total_duration(spark, at):
+    edges = _edges(spark, at, [(1, 1, 2, 10), (1, 3, 4, 70), (1, 4, 5, 5)])
+    out = k.blocking_chain_metrics(k.lead_blockers(edges)).collect()
+    assert [(r.blocked_process_id, r.total_duration_ms) for r in out] == [(1, 75), (0, 10)]
+
+
+def test_cycle_away_from_any_lead_raises(spark, at):
+    edges = _edges(spark, at, [(1, 1, 2, 1), (2, 7, 8, 1), (2, 8, 9, 1), (2, 9, 7, 1)])
+    with pytest.raises(ValueError, match="cycle"):
+        k.blocking_chain_metrics(k.lead_blockers(edges))
 
 
 def test_unknown_victim_hides_every_lead_of_its_loop(spark, rows, at):
