@@ -7,7 +7,7 @@ has at most a few dozen columns and a few thousand partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import text as tx
@@ -51,13 +51,8 @@ def index_usage_report(indexes: DataFrame, partitions: DataFrame, usage: DataFra
     )
 
 
-def index_usage_rates(report: DataFrame, *, started: Column) -> DataFrame:
-    """Seeks and scans per second, minute and hour since the server started."""
-    seconds = F.nullif(seconds_between(started, F.col("stats_date")), F.lit(0).cast("bigint")).cast("decimal(20,0)")
-
-    def rate(column: str, scale: int) -> Column:
-        return (F.col(column).cast("decimal(20,0)") * scale / seconds).cast("decimal(30,10)")
-
+def _compression_commands() -> tuple[Column, Column]:
+    """Texts that estimate the savings of row compression and that compress an index."""
     target = F.when(F.col("index_id") == 0, F.lit("TABLE ")).otherwise(
         F.concat(F.lit("INDEX "), tx.quotename("index_name"), F.lit(" ON "))
     )
@@ -66,7 +61,17 @@ def index_usage_rates(report: DataFrame, *, started: Column) -> DataFrame:
         use, F.lit("EXEC sp_estimate_data_compression_savings '"), F.col("schema_name"), F.lit("', '"), F.col("table_name"),
         F.lit("', "), F.col("index_id").cast("string"), F.lit(", NULL, 'ROW';"),
     )
-    enable = F.concat(use, F.lit("ALTER "), target, _two_part(), F.lit(" REBUILD PARTITION = ALL WITH (DATA_COMPRESSION = ROW);"))
+    return estimate, F.concat(use, F.lit("ALTER "), target, _two_part(), F.lit(" REBUILD PARTITION = ALL WITH (DATA_COMPRESSION = ROW);"))
+
+
+def index_usage_rates(report: DataFrame, *, started: Column) -> DataFrame:
+    """Seeks and scans per second, minute and hour since the server started."""
+    seconds = F.nullif(seconds_between(started, F.col("stats_date")), F.lit(0).cast("bigint")).cast("decimal(20,0)")
+
+    def rate(column: str, scale: int) -> Column:
+        return (F.col(column).cast("decimal(20,0)") * scale / seconds).cast("decimal(30,10)")
+
+    estimate, enable = _compression_commands()
     return report.select(
         *DB, "table_name", "index_name", "index_id", "partition_number",
         *[rate(f"user_{kind}", scale).alias(f"{kind}_per_{unit}") for kind in ("seeks", "scans") for unit, scale in (("sec", 1), ("min", 60), ("hour", 3600))],
@@ -75,7 +80,7 @@ def index_usage_rates(report: DataFrame, *, started: Column) -> DataFrame:
 
 
 def index_script_out(indexes: DataFrame, columns: DataFrame, partitions: DataFrame, usage: DataFrame) -> DataFrame:
-    """One row per index: last read, key and include lists, sizes, CREATE and DROP text.
+    """One row per index of a table: last uses, key and include lists, sizes, options, commands.
 
     The column lists come out of one grouped aggregate and the partition figures
     out of another, both on the index key, so their shuffles line up for the joins.
@@ -127,16 +132,22 @@ def index_script_out(indexes: DataFrame, columns: DataFrame, partitions: DataFra
         F.when(options == "", F.lit("")).otherwise(F.concat(F.lit(" WITH ("), options, F.lit(")"))),
         F.lit(" ON "), place, F.lit(";"),
     ))
+    estimate, compress = _compression_commands()
     return (
-        indexes.where(F.col("type").isin(0, 1, 2, 5, 6))
+        indexes.where(F.col("type").isin(0, 1, 2, 5, 6) & (F.col("object_type") == "U"))
         .join(lists, INDEX, "left").join(sums, INDEX, "left").join(usage, INDEX, "left")
         .select(
             *DB, F.concat("schema_name", F.lit("."), "table_name").alias("table_name"), "index_id", "index_name", last_read.alias("last_user_read"),
+            "last_user_seek", "last_user_scan", "last_user_lookup", "last_user_update",
             "index_keys", "include_keys", create.alias("create_statement"),
             F.concat(F.lit("DROP INDEX "), tx.quotename("index_name"), F.lit(" ON "), _two_part(), F.lit(";")).alias("drop_statement"),
             F.when(F.col("row_list").isNotNull(), F.lit("ROW")).when(F.col("page_list").isNotNull(), F.lit("PAGE")).otherwise(F.lit("")).alias("data_compression_desc"),
             "reserved_in_row_gb", "reserved_lob_gb", "row_count", "partition_count", "user_seeks", "user_scans", "user_lookups",
             F.col("user_updates").alias("queries_that_modified"), "is_unique", "is_disabled",
+            "allow_page_locks", "allow_row_locks", "is_hypothetical",
+            F.col("filter_definition").isNotNull().cast("int").alias("has_filter"), "fill_factor",
+            estimate.alias("est_compression_savings"), compress.alias("compression_command"),
+            "table_created_date", "table_modify_date",
             F.coalesce("partition_function", F.lit("/* Not partitioned */")).alias("partition_function"),
             F.coalesce("partition_scheme", "filegroup").alias("partition_scheme_or_filegroup"),
         )
@@ -150,7 +161,7 @@ def nc_index_summary(indexes: DataFrame, table_columns: DataFrame, index_columns
     product of columns and indexes is never formed.  An index column counts when
     the table has it.
     """
-    nc = indexes.where("type = 2").select(*INDEX, "schema_name", "table_name", "index_name")
+    nc = indexes.where("type = 2 AND object_type = 'U'").select(*INDEX, "schema_name", "table_name", "index_name")
     names = nc.groupBy(*DB, "schema_name", "table_name", "object_id").agg(F.countDistinct("index_name").alias("index_count"))
     tables = table_columns.groupBy(*OBJECT).agg(F.countDistinct("column_name").alias("table_columns"))
     used = (
@@ -172,18 +183,19 @@ def nc_index_summary(indexes: DataFrame, table_columns: DataFrame, index_columns
 def heap_candidates(
     indexes: DataFrame, partitions: DataFrame, *, min_rows: int = 200_000, sample: int = 15, seed: int = 0
 ) -> DataFrame:
-    """A repeatable random sample of big heaps with their columnstore command.
+    """A repeatable random sample of the big heaps of each database, with their columnstore command.
 
     The order is a keyed hash, so the same seed gives the same heaps whatever the
-    partitioning.
+    partitioning.  Tables only: views have no heap.
     """
     rows = partitions.where("index_id = 0").groupBy(*INDEX).agg(F.sum("row_count").alias("row_count"))
     pick = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in OBJECT]))
     command = F.concat(F.lit("CREATE CLUSTERED COLUMNSTORE INDEX [Idx_cci_"), F.col("table_name"), F.lit("] ON "), _three_part(), F.lit(";"))
+    place = F.row_number().over(Window.partitionBy(*DB).orderBy("_pick", "table_name"))
     return (
-        indexes.where("index_id = 0").join(rows.where(F.col("row_count") >= min_rows), INDEX)
+        indexes.where("index_id = 0 AND object_type = 'U'").join(rows.where(F.col("row_count") >= min_rows), INDEX)
         .select(*DB, "schema_name", "table_name", "row_count", command.alias("command"), pick.alias("_pick"))
-        .orderBy("_pick", *DB, "table_name").limit(sample).drop("_pick")
+        .withColumn("_place", place).where(F.col("_place") <= sample).drop("_pick", "_place")
     )
 
 

@@ -70,18 +70,23 @@ WITH lists AS (SELECT {_KEYS}, string_agg({_q('column_name')} || CASE WHEN is_de
   string_agg({_q('column_name')}, ', ' ORDER BY column_name) FILTER (is_included_column = 1) AS include_keys, max({_q('column_name')}) FILTER (partition_ordinal = 1) AS partition_column FROM fx_index_column {_G}),
 sums AS (SELECT {_KEYS}, count(*) AS partition_count, cast(sum(row_count) AS bigint) AS row_count, {_dec('sum(in_row_page_count) * 8', '1048576', 2, 'decimal(32,2)')} AS reserved_in_row_gb, {_dec('sum(lob_page_count) * 8', '1048576', 2, 'decimal(32,2)')} AS reserved_lob_gb,
   string_agg(cast(partition_number AS varchar), ', ' ORDER BY partition_number) FILTER (data_compression_desc = 'ROW') AS row_list, string_agg(cast(partition_number AS varchar), ', ' ORDER BY partition_number) FILTER (data_compression_desc = 'PAGE') AS page_list FROM fx_index_partition {_G}),
-j AS (SELECT i.*, l.index_keys, l.include_keys, l.partition_column, s.* EXCLUDE ({_KEYS}), u.* EXCLUDE ({_KEYS}) FROM fx_index i LEFT JOIN lists l {_K} LEFT JOIN sums s {_K} LEFT JOIN fx_index_usage u {_K} WHERE i.type IN (0, 1, 2, 5, 6))
-SELECT server_name, database_name, schema_name || '.' || table_name AS table_name, index_id, index_name, greatest(last_user_seek, last_user_scan, last_user_lookup) AS last_user_read, index_keys, include_keys,
-  CASE WHEN index_id = 0 THEN '/* No create statement (Heap) */' ELSE
-    CASE WHEN is_primary_key = 1 THEN 'ALTER TABLE ' || {_TWO} || ' ADD CONSTRAINT ' || {_q('index_name')} || ' PRIMARY KEY ' || CASE WHEN index_id > 1 THEN 'NON' ELSE '' END || 'CLUSTERED '
-      ELSE 'CREATE ' || CASE WHEN is_unique = 1 THEN 'UNIQUE ' ELSE '' END || CASE WHEN index_id > 1 THEN 'NON' ELSE '' END || 'CLUSTERED INDEX ' || {_q('index_name')} || ' ON ' || {_TWO} || ' ' END
-    || '(' || index_keys || ')' || coalesce(' INCLUDE (' || include_keys || ')', '') || coalesce(' WHERE ' || filter_definition, '')
-    || CASE WHEN row_list IS NULL AND page_list IS NULL THEN '' ELSE ' WITH (' || CASE WHEN row_list IS NULL THEN '' ELSE 'DATA_COMPRESSION = ROW ' || CASE WHEN partition_scheme IS NULL THEN '' ELSE ' ON PARTITIONS (' || row_list || ')' END END
-      || CASE WHEN row_list IS NOT NULL AND page_list IS NOT NULL THEN ', ' ELSE '' END || CASE WHEN page_list IS NULL THEN '' ELSE 'DATA_COMPRESSION = PAGE ' || CASE WHEN partition_scheme IS NULL THEN '' ELSE ' ON PARTITIONS (' || page_list || ')' END END || ')' END
-    || ' ON ' || CASE WHEN partition_scheme IS NULL THEN coalesce({_q('filegroup')}, '') ELSE partition_scheme || ' (' || partition_column || ')' END || ';' END AS create_statement,
+compressed AS (SELECT {_KEYS}, array_to_string(list_transform(list_filter([{{'kind': 'ROW', 'on': row_list}}, {{'kind': 'PAGE', 'on': page_list}}], lambda x: x.on IS NOT NULL), lambda x: 'DATA_COMPRESSION = ' || x.kind || ' ' || CASE WHEN partitioned THEN ' ON PARTITIONS (' || x.on || ')' ELSE '' END), ', ') AS options
+  FROM (SELECT s.*, i.partition_scheme IS NOT NULL AS partitioned FROM sums s JOIN fx_index i {_K})),
+j AS (SELECT i.*, l.index_keys, l.include_keys, l.partition_column, nullif(o.options, '') AS options, s.* EXCLUDE ({_KEYS}), u.* EXCLUDE ({_KEYS}) FROM fx_index i LEFT JOIN lists l {_K} LEFT JOIN sums s {_K} LEFT JOIN compressed o {_K} LEFT JOIN fx_index_usage u {_K} WHERE i.type IN (0, 1, 2, 5, 6) AND i.object_type = 'U'),
+clauses AS (SELECT *, [
+    CASE is_primary_key WHEN 1 THEN 'ALTER TABLE ' || {_TWO} || ' ADD CONSTRAINT ' || {_q('index_name')} || ' PRIMARY KEY' ELSE CASE is_unique WHEN 1 THEN 'CREATE UNIQUE' ELSE 'CREATE' END END,
+    ' ' || CASE WHEN index_id > 1 THEN 'NONCLUSTERED ' ELSE 'CLUSTERED ' END, CASE is_primary_key WHEN 0 THEN 'INDEX ' || {_q('index_name')} || ' ON ' || {_TWO} || ' ' END,
+    '(' || index_keys || ')', ' INCLUDE (' || include_keys || ')', ' WHERE ' || filter_definition, ' WITH (' || options || ')',
+    ' ON ' || coalesce(partition_scheme || ' (' || partition_column || ')', {_q('filegroup')}, '') || ';'] AS parts FROM j)
+SELECT server_name, database_name, schema_name || '.' || table_name AS table_name, index_id, index_name, greatest(last_user_seek, last_user_scan, last_user_lookup) AS last_user_read,
+  last_user_seek, last_user_scan, last_user_lookup, last_user_update, index_keys, include_keys,
+  CASE WHEN index_id = 0 THEN '/* No create statement (Heap) */' WHEN index_keys IS NOT NULL AND (partition_scheme IS NULL OR partition_column IS NOT NULL) THEN array_to_string(list_filter(parts, lambda x: x IS NOT NULL), '') END AS create_statement,
   'DROP INDEX ' || {_q('index_name')} || ' ON ' || {_TWO} || ';' AS drop_statement, CASE WHEN row_list IS NOT NULL THEN 'ROW' WHEN page_list IS NOT NULL THEN 'PAGE' ELSE '' END AS data_compression_desc,
   reserved_in_row_gb, reserved_lob_gb, row_count, partition_count, cast(user_seeks AS bigint) AS user_seeks, cast(user_scans AS bigint) AS user_scans, cast(user_lookups AS bigint) AS user_lookups, user_updates AS queries_that_modified,
-  is_unique, is_disabled, coalesce(partition_function, '/* Not partitioned */') AS partition_function, coalesce(partition_scheme, filegroup) AS partition_scheme_or_filegroup FROM j
+  is_unique, is_disabled, allow_page_locks, allow_row_locks, is_hypothetical, cast(index_id = 3 AS int) AS has_filter, fill_factor,
+  'USE ' || {_q('database_name')} || '; EXEC sp_estimate_data_compression_savings ''dbo'', ''' || table_name || ''', ' || index_id || ', NULL, ''ROW'';' AS est_compression_savings,
+  'USE ' || {_q('database_name')} || '; ALTER ' || CASE WHEN index_id = 0 THEN 'TABLE ' ELSE 'INDEX ' || {_q('index_name')} || ' ON ' END || {_TWO} || ' REBUILD PARTITION = ALL WITH (DATA_COMPRESSION = ROW);' AS compression_command,
+  table_created_date, table_modify_date, coalesce(partition_function, '/* Not partitioned */') AS partition_function, coalesce(partition_scheme, filegroup) AS partition_scheme_or_filegroup FROM clauses
 """)
 def index_script_out(t):
     return ix.index_script_out(t("fx_index"), t("fx_index_column"), t("fx_index_partition"), t("fx_index_usage"))
@@ -92,19 +97,20 @@ SELECT i.server_name, i.database_name, i.schema_name, i.table_name, count(DISTIN
   cast(sum(1 - ic.is_included_column) AS bigint) AS key_columns, cast(sum(ic.is_included_column) AS bigint) AS included_columns
 FROM fx_index i JOIN fx_table_column c ON c.server_name = i.server_name AND c.database_name = i.database_name AND c.object_id = i.object_id
 LEFT JOIN fx_index_column ic ON ic.server_name = i.server_name AND ic.database_name = i.database_name AND ic.object_id = i.object_id AND ic.index_id = i.index_id AND ic.column_id = c.column_id
-WHERE i.type = 2 GROUP BY 1, 2, 3, 4
+WHERE i.type = 2 AND i.object_type = 'U' GROUP BY 1, 2, 3, 4
 """)
 def nc_index_summary(t):
     return ix.nc_index_summary(t("fx_index"), t("fx_table_column"), t("fx_index_column"))
 
 
 @query("heap_candidates", f"""
-SELECT server_name, database_name, schema_name, table_name, row_count, 'CREATE CLUSTERED COLUMNSTORE INDEX [Idx_cci_' || table_name || '] ON ' || {_THREE} || ';' AS command
-FROM fx_index i JOIN (SELECT {_KEYS}, cast(sum(row_count) AS bigint) AS row_count FROM fx_index_partition WHERE index_id = 0 {_G}) p {_K} WHERE row_count >= 10
-ORDER BY md5('7|' || server_name || '|' || database_name || '|' || object_id), server_name, database_name, table_name LIMIT 15
+SELECT * EXCLUDE (place) FROM (SELECT server_name, database_name, schema_name, table_name, row_count, 'CREATE CLUSTERED COLUMNSTORE INDEX [Idx_cci_' || table_name || '] ON ' || {_THREE} || ';' AS command,
+    row_number() OVER (PARTITION BY server_name, database_name ORDER BY md5('7|' || server_name || '|' || database_name || '|' || object_id), table_name) AS place
+  FROM fx_index i JOIN (SELECT {_KEYS}, cast(sum(row_count) AS bigint) AS row_count FROM fx_index_partition WHERE index_id = 0 {_G}) p {_K} WHERE row_count >= 10 AND object_type = 'U')
+WHERE place <= 2
 """)
 def heap_candidates(t):
-    return ix.heap_candidates(t("fx_index"), t("fx_index_partition"), min_rows=10, seed=7)
+    return ix.heap_candidates(t("fx_index"), t("fx_index_partition"), min_rows=10, sample=2, seed=7)
 
 
 @query("fragmentation_actions", f"""

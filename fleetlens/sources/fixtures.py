@@ -285,7 +285,10 @@ SELECT concat('srv', cast(l_suppkey % 3 AS varchar(10))) AS server_name, concat(
   CASE WHEN l_linenumber = 4 THEN '([c1]>(0))' ELSE NULL END AS filter_definition,
   CASE WHEN l_suppkey % 5 = 0 THEN 'ps_month' ELSE NULL END AS partition_scheme, CASE WHEN l_suppkey % 5 = 0 THEN 'pf_month' ELSE NULL END AS partition_function,
   CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE 'PRIMARY' END AS filegroup,
-  CASE WHEN l_suppkey % 9 = 0 THEN 'V' ELSE 'U' END AS object_type, CASE WHEN l_suppkey % 17 = 0 THEN 1 ELSE 0 END AS is_ms_shipped
+  CASE WHEN l_suppkey % 9 = 0 THEN 'V' ELSE 'U' END AS object_type, CASE WHEN l_suppkey % 17 = 0 THEN 1 ELSE 0 END AS is_ms_shipped,
+  CASE WHEN l_suppkey % 4 = 1 THEN 0 ELSE 1 END AS allow_page_locks, CASE WHEN l_linenumber = 5 THEN 0 ELSE 1 END AS allow_row_locks,
+  CASE WHEN l_suppkey % 19 = 7 AND l_linenumber = 4 THEN 1 ELSE 0 END AS is_hypothetical, cast(l_suppkey % 3 * 40 AS int) AS fill_factor,
+  min(l_shipdate) AS table_created_date, max(l_shipdate) AS table_modify_date
 FROM {lineitem} GROUP BY l_suppkey, l_linenumber
 """
 
