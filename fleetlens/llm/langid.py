@@ -120,12 +120,11 @@ def piece_ids(chars: np.ndarray, pieces: Pieces) -> np.ndarray:
     n, width = chars.shape
     ids = np.full((n, width, MAX_PIECE), pieces.n, np.int32)
     wide = chars.astype(np.uint64)
-    for k in range(MAX_PIECE):
-        code = np.zeros((n, max(width - k, 0)), np.uint64)
+    for k in range(min(MAX_PIECE, width)):
+        code = np.zeros((n, width - k), np.uint64)
         for i in range(k + 1):
             code = (code << np.uint64(8)) | wide[:, i : i + width - k]
-        if code.size:
-            ids[:, k:, k] = pieces.find(code.ravel()).reshape(code.shape)
+        ids[:, k:, k] = pieces.find(code.ravel()).reshape(code.shape)
     return ids
 
 

@@ -40,8 +40,8 @@ ORDERS = (3, 4, 5, 6)
 DIM = 8
 SPAN = 4  # words averaged together
 REFRESH = 64  # training steps between two choices of the scores that pick spans
-ROWS_PER_CLASS = 2000  # bound of the training sample
-MAX_TRAIN_BYTES = 32768  # longer texts are not trained on; all are scored
+ROWS_PER_CLASS = 1200  # bound of the training sample
+MAX_TRAIN_BYTES = 16384  # longer texts are not trained on; all are scored
 FOLDS, FOLD = 5, 0
 THRESHOLD = 0.5
 
@@ -129,9 +129,11 @@ def train(texts: list[str], y: list[int], *, seed: int = 1, steps: int = 24000,
     scalar = lambda: table_ @ (weights[:, 1] - weights[:, 0])
     if len(set(y)) < 2:
         return np.zeros(1 << BUCKET_BITS, np.float32), -30.0
-    fold, docs = folded(), []
-    for text in texts:
-        raw = np.frombuffer(text.encode(), np.uint8)
+    fold, docs, used = folded(), [], 0
+    raws = [np.frombuffer(text.encode(), np.uint8) for text in texts]
+    # one array for all n-grams: its memory goes back when it is done with
+    store = np.empty(len(ORDERS) * sum(len(raw) + 2 for raw in raws), np.int32)
+    for raw in raws:
         starts, ends, grams = word_grams(spread(raw, np.array([0, len(raw)]), fold)[0])
         ids, owner = [], []
         for n, (bucket, valid) in zip(ORDERS, grams, strict=True):
@@ -143,7 +145,10 @@ def train(texts: list[str], y: list[int], *, seed: int = 1, steps: int = 24000,
             owner.append(word[good])
         ids, owner = np.concatenate(ids), np.concatenate(owner)
         order = np.argsort(owner, kind="stable")
-        docs.append((ids[order].astype(np.int32), np.searchsorted(owner[order], np.arange(len(starts) + 1))))
+        mine = store[used : used + len(ids)]
+        mine[:] = ids[order]
+        used += len(ids)
+        docs.append((mine, np.searchsorted(owner[order], np.arange(len(starts) + 1)).astype(np.int32)))
     label = np.array(y)
 
     def step(ids: np.ndarray, share: np.ndarray, k: int, lr: float) -> None:
