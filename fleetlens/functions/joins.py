@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.session import cut
 
@@ -11,11 +12,16 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Rough in-memory size: text lengths plus 16 bytes per other column."""
+    """Rough in-memory size: lengths of text, binary and nested values, 16 bytes for the rest."""
     row = F.lit(0).cast("bigint")
     for field in df.schema:
-        text = field.dataType.simpleString() == "string"
-        row = row + (F.coalesce(F.octet_length(field.name), F.lit(0)) + 24 if text else F.lit(16))
+        kind, column = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            row = row + F.coalesce(F.octet_length(column), F.lit(0)) + 24
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            row = row + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 24
+        else:
+            row = row + 16
     return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
 
 

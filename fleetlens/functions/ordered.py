@@ -78,8 +78,8 @@ def asof_latest(
     row qualifies) to the requests.
     """
     event = F.struct(F.col(history_time).alias("at"), *[F.col(p) for p in payload])
-    order = [F.col(t).cast("string") for t in ties or []]
-    tie = F.concat_ws("|", *[F.lpad(o, 24, "0") for o in order]) if order else F.lit("")
+    # typed, so numbers and text of any length keep their own order
+    tie = F.struct(*[F.col(t) for t in ties]) if ties else F.lit("")
     past = history.select(
         *keys, F.col(history_time).alias("_at"), F.lit(0).alias("_kind"),
         tie.alias("_tie"), event.alias("_event"),
@@ -87,7 +87,7 @@ def asof_latest(
     )
     asked = requests.select(
         *keys, F.col(request_time).alias("_at"), F.lit(1).alias("_kind"),
-        F.lit("").alias("_tie"),
+        F.lit(None).cast(past.schema["_tie"].dataType).alias("_tie"),
         F.lit(None).cast(past.schema["_event"].dataType).alias("_event"),
         F.struct(*[F.col(c) for c in requests.columns]).alias("_request"),
     )
@@ -120,6 +120,6 @@ def number_rows(df: DataFrame, order: list[str], out: str, *, start: int = 1) ->
     inside = Window.partitionBy("_pid").orderBy(*order)
     return (
         ranged.join(F.broadcast(offsets), "_pid")
-        .withColumn(out, (F.row_number().over(inside) + F.col("_offset") + (start - 1)).cast("int"))
+        .withColumn(out, (F.row_number().over(inside) + F.col("_offset") + F.lit(start - 1)).cast("bigint"))
         .select(*df.columns, out)
     )

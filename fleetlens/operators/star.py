@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.functions.joins import BROADCAST_BYTES, small_side
+from fleetlens.functions.joins import BROADCAST_BYTES
 from fleetlens.functions.ordered import number_rows
 from fleetlens.session import cut
 
@@ -49,10 +49,11 @@ def dimension_summary(df: DataFrame, *, exclude: str = "") -> DataFrame:
 def _number(names: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """Keys 1, 2, 3, ... per dimension in name order, above ``start`` if given.
 
-    All dimensions are numbered in one global order and shifted to their own start;
-    the shift is one row per dimension.
+    All dimensions are numbered in one global order, in 64 bits, and shifted to their own
+    start; only then must a dimension fit its INT keys.  The shift is one row per
+    dimension.
     """
-    numbered = cut(number_rows(names, ["dimension", "name"], "_n"))
+    numbered = number_rows(names, ["dimension", "name"], "_n")
     shift = numbered.groupBy("dimension").agg((F.min("_n") - 1).alias("_shift"))
     if start is not None:
         shift = shift.join(start, "dimension", "left").select(
@@ -79,13 +80,23 @@ def dimension(dimensions: DataFrame, column: str) -> DataFrame:
     return dimensions.where(F.col("dimension") == column).select(F.col("key").alias(key_name(column)), F.col("name").alias("Name"))
 
 
+def _sides(dimensions: DataFrame, columns: list[str], limit: int) -> dict[str, DataFrame]:
+    """(key, name) of each dimension, marked for broadcast where its size allows it.
+
+    All sizes come out of one aggregate, one row per string column.
+    """
+    size = F.sum(F.coalesce(F.octet_length("name"), F.lit(0)) + 40)
+    sizes = {r.dimension: r.bytes for r in dimensions.groupBy("dimension").agg(size.alias("bytes")).collect()}
+    sides = {c: dimensions.where(F.col("dimension") == c).select("key", "name") for c in columns}
+    return {c: F.broadcast(side) if sizes.get(c, 0) <= limit else side for c, side in sides.items()}
+
+
 def build_fact(df: DataFrame, dimensions: DataFrame, *, exclude: str = "", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The table with each dimension column replaced by its nullable key."""
     out = df
     columns = dimension_columns(df, exclude=exclude)
-    for c in columns:
-        names = dimensions.where(F.col("dimension") == c).select(F.col("name").alias(c), F.col("key").alias(key_name(c)))
-        out = out.join(small_side(names, limit=broadcast_bytes), c, "left")
+    for c, side in _sides(dimensions, columns, broadcast_bytes).items():
+        out = out.join(side.select(F.col("name").alias(c), F.col("key").alias(key_name(c))), c, "left")
     return out.select(*[key_name(c) if c in columns else c for c in df.columns])
 
 
@@ -97,9 +108,8 @@ def star_view(fact: DataFrame, dimensions: DataFrame, columns: list[str], *, exc
     """
     dims = names if names is not None else [c for c in columns if c not in fact.columns and key_name(c) in fact.columns]
     out = fact
-    for c in dims:
-        side = dimensions.where(F.col("dimension") == c).select(F.col("key").alias(key_name(c)), F.col("name").alias(c))
-        out = out.join(small_side(side, limit=broadcast_bytes), key_name(c), "left")
+    for c, side in _sides(dimensions, dims, broadcast_bytes).items():
+        out = out.join(side.select(F.col("key").alias(key_name(c)), F.col("name").alias(c)), key_name(c), "left")
     return out.select(*columns)
 
 

@@ -48,3 +48,17 @@ def test_number_rows_is_dense_and_ordered(spark):
     names = [f"n{i * 7 % 500:03d}" for i in range(500)]
     numbered = number_rows(spark.createDataFrame([(n,) for n in names], "name string"), ["name"], "n").collect()
     assert [r.n for r in sorted(numbered, key=lambda r: r.name)] == list(range(1, 501))
+
+
+def test_asof_ties_keep_their_type(spark, at):
+    t = at("2024-01-01 00:00:00")
+    long = "x" * 30
+    history = spark.createDataFrame(
+        [("a", t, -5, long + "a", 1), ("a", t, -40, long + "z", 2), ("b", t, 9, long + "b", 3), ("b", t, 9, long + "a", 4), ("b", t, 10, "", 5)],
+        "k string, t timestamp_ntz, n int, s string, v int",
+    )
+    asked = spark.createDataFrame([("a", t), ("b", t)], "k string, at timestamp_ntz")
+    got = asof_latest(history, asked, ["k"], "t", "at", ["v"], ties=["n", "s"])
+    assert {r.k: r.asof.v for r in got.collect()} == {"a": 1, "b": 5}
+    got = asof_latest(history, asked, ["k"], "t", "at", ["v"], ties=["s"])
+    assert {r.k: r.asof.v for r in got.collect()} == {"a": 2, "b": 3}
