@@ -112,12 +112,16 @@ def _per_key(fn, keys: list[str], columns: list[str]):
     return run
 
 
-def _pack_count(df: DataFrame) -> int:
-    """Packs for the rows at hand: every core busy, no more tasks than a shuffle has."""
+def _pack_count(df: DataFrame) -> tuple[int, int]:
+    """Packs for the rows at hand, and the tasks that work on them.
+
+    The number of packs follows the rows without bound, so the groups that reach pandas
+    keep their size; every core is busy, and there are no more tasks than a shuffle has.
+    """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    most = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return min(most, max(cores, df.count() // PACK_ROWS + 1))
+    packs = max(cores, df.count() // PACK_ROWS + 1)
+    return packs, min(packs, max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def throttle(df: DataFrame, keys: list[str], time_us: str, delay_us: str) -> DataFrame:
@@ -127,7 +131,7 @@ def throttle(df: DataFrame, keys: list[str], time_us: str, delay_us: str) -> Dat
     same for all rows of a key.  Keys must not be NULL.  ``df`` should be
     materialised, since it is counted once and read twice.
     """
-    packs = _pack_count(df)
+    packs, tasks = _pack_count(df)
     instants = (
         df.select(*keys, F.col(time_us).alias("_us"), F.col(delay_us).alias("_delay"))
         .withColumn("_block", F.floor(F.col("_us") / (F.col("_delay") * BLOCK_DELAYS)).cast("bigint"))
@@ -142,7 +146,7 @@ def throttle(df: DataFrame, keys: list[str], time_us: str, delay_us: str) -> Dat
     def grouped(rows: DataFrame, *by: str):
         # the fixed number keeps AQE from merging the groups into a few tasks: the
         # Python work per row is far above what their bytes suggest
-        return rows.repartition(packs, *by).groupBy(*by)
+        return rows.repartition(tasks, *by).groupBy(*by)
 
     block = ["_pack", "_delay", "_block"]
     steps = apply(grouped(instants, *block), _steps, "_block", "_delay", "entry", "exit")
