@@ -81,7 +81,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
     sources = sources.withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     ).withColumn("_rest", (budget - F.col("epochs") * F.col("source_size")).cast("long"))
-    placed = rows.join(sources, ["_null", "_source"]).withColumn(
+    # one row per source: broadcast behind its measured size, so no source fills a task
+    placed = rows.join(small_side(cut(sources)), ["_null", "_source"]).withColumn(
         "_range", range_of(F.col("_key"), ranges(F.col("_rows")))
     )
     run = running_before(placed, ["_null", "_source"], "_range", ["_key", "doc_id", "size"], "size", "_before")
