@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.htmlblocks import blocks
+from fleetlens.llm.labelled import below_share
 from fleetlens.llm.registry import query, table
 from fleetlens.llm.textbytes import WordHasher, column_bytes
 
@@ -299,9 +300,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     Reads ``page_id``, ``url`` and ``html``.  Returns page_id, url, text, n_chars (code points) and
     n_blocks (of the page).
     """
+    h = F.xxhash64("page_id", "html")
     short = pages.select("page_id", "html").where(F.octet_length("html") <= MAX_TRAIN_BYTES)
     # a bounded sample in the order of a hash, collected to fit the labeller
-    sample = short.orderBy(F.xxhash64("page_id", "html"), "page_id").limit(TRAIN_PAGES).collect()
+    few = short.where(below_share(h, TRAIN_PAGES, pages.count()))
+    sample = few.orderBy(h, "page_id").limit(TRAIN_PAGES).collect()
     labeller = Labeller().train(training_pages([r.html for r in sample]))
     rows = pages.select("page_id", "url", "html").mapInArrow(
         extractor(labeller, ["page_id", "url"]), "page_id bigint, url string, text string, n_blocks bigint"
