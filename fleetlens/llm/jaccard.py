@@ -14,13 +14,17 @@ too, and too few of them can be missing to avoid a common rare token or a pair.
 small to get there index their whole set, and their single frequent tokens for each
 other.
 
+Entries carry their level, the prefix units before them.  Two sizes fix how many tokens a
+linked pair may lack on either side, mostly half of what one size alone allows; a
+signature of a higher level makes no candidate.
+
 Only the lowest tokens by hash are counted at first; a node that finds too few rare
 ones among them is worked out from its whole set, and its tokens from further up are
 looked up among the others.
 
 Candidates are verified exactly, after a bound from the counted tokens has ruled out most
 of the false ones.  First every index entry is compared with one hub per
-signature; then only nodes that share a signature and are still in different
+signature, the node with the fewest tokens of its own; then only nodes that share a signature and are still in different
 components are compared, so a group of copies costs one comparison a member.
 
 Defined cases: null, empty and blank texts have no set and no links (their own
@@ -104,14 +108,15 @@ def _set_rows(k: int, percent: int, whole: bool):
     return rows
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, place of its last token) of one whole set, sorted by hash.
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, place of its last token, level) of one whole set, sorted by hash.
 
-    Signatures of rare tokens are the tokens themselves.
+    Signatures of rare tokens are the tokens themselves.  The level counts the units of
+    the prefix (rare tokens, and tokens of a class after its first) before the last token.
     """
     need = allowed(len(tokens), percent) + 1
     rare, often = np.flatnonzero(~frequent), np.flatnonzero(frequent)
-    out, at = [tokens[rare[:need]]], [rare[:need]]
+    out, at, level = [tokens[rare[:need]]], [rare[:need]], [np.arange(min(len(rare), need))]
     short = need - min(len(rare), need)
     if short:
         kind = (tokens[often] >> np.uint64(32)) % np.uint64(CLASSES)
@@ -122,13 +127,16 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
         last = int(np.searchsorted(gained, short)) + 1 if reached else len(often)
         for c in range(CLASSES):
             mine = often[:last][kind[:last] == c]
+            units = gained[:last][kind[:last] == c]
             i, j = np.triu_indices(len(mine), 1)
             out.append(mixed(tokens[mine[i]] * np.uint64(3) + mixed(tokens[mine[j]])))
             at.append(mine[j])
+            level.append(len(rare) + units[j] - 1)
         if not reached:  # only sets of a few tokens: they meet each other on single ones
             out.append(mixed(tokens[often] ^ np.uint64(0x5555555555555555)))
             at.append(often)
-    return np.concatenate(out), np.concatenate(at)
+            level.append(np.zeros(len(often), np.int64))
+    return np.concatenate(out), np.concatenate(at), np.concatenate(level)
 
 
 def _signature_rows(percent: int):
@@ -139,16 +147,16 @@ def _signature_rows(percent: int):
             for i in range(batch.num_rows):
                 tokens = np.array(batch.column("tokens")[i].as_py(), np.int64).view(np.uint64)
                 frequent = np.isin(tokens, np.array(batch.column("often")[i].as_py() or [], np.int64).view(np.uint64))
-                sig, at = signatures(tokens, frequent, percent)
+                sig, at, level = signatures(tokens, frequent, percent)
                 m = len(sig)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(sig.view(np.int64)), pa.array(np.full(m, batch.column("node")[i].as_py(), np.int64)),
                         pa.array(np.full(m, len(tokens), np.int64)),
                         # rare tokens from beyond the counted ones must be looked up
-                        pa.array((at >= counted(len(tokens), percent)) & ~frequent[at]),
+                        pa.array((at >= counted(len(tokens), percent)) & ~frequent[at]), pa.array(level.astype(np.int64)),
                     ],
-                    names=["sig", "node", "n", "beyond"],
+                    names=["sig", "node", "n", "beyond", "level"],
                 )
 
     return rows
@@ -189,8 +197,14 @@ def _plausible(percent: int):
     return rows
 
 
-def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _candidates(na: Column, la: Column, nb: Column, lb: Column, percent: int) -> Column:
+    """Whether a common signature of levels ``la`` and ``lb`` makes two sets a candidate pair.
+
+    A linked pair has at least percent / (100 + percent) of both sizes in common; a set
+    lacks no more than the rest of it, and so many units and one of its prefix do.
+    """
+    common = F.ceil((na + nb) * percent / (100 + percent) - 1e-9)
+    return (la <= na - common) & (lb <= nb - common)
 
 
 class _Join:
@@ -221,7 +235,10 @@ class _Join:
         return sets.where("of = node").select("node", "n", "tokens")
 
     def index(self) -> DataFrame:
-        """(sig, node, n): every signature that at least two nodes may share."""
+        """(sig, node, n, level, solo): every signature that at least two nodes may share.
+
+        ``solo`` counts the node's counted tokens that no other node has counted.
+        """
         tokens = self.heads.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
         counts = tokens.groupBy("token").agg(F.count("*").alias("cnt")).where("cnt > 1")
         counts = cut(counts.select("token", (F.col("cnt") > FREQUENT).alias("often")))
@@ -237,7 +254,7 @@ class _Join:
             F.collect_list("token").alias("often")  # at most the tokens of one text
         )
         hard_sigs = cut(sets.join(found, "node", "left").mapInArrow(
-            _signature_rows(self.percent), "sig bigint, node bigint, n bigint, beyond boolean"
+            _signature_rows(self.percent), "sig bigint, node bigint, n bigint, beyond boolean, level bigint"
         ))
         # tokens that hard nodes index from beyond the counted part, in the others' counted parts
         far = hard_sigs.where("beyond").select(F.col("sig").alias("token")).distinct().join(counts, "token", "left_anti")
@@ -246,11 +263,13 @@ class _Join:
         # place among the rare tokens = place minus the frequent ones before it
         before = easy.where("often").groupBy("node").agg(F.collect_list("pos").alias("_often_at"))
         rank = F.col("pos") - F.coalesce(F.size(F.filter("_often_at", lambda p: p < F.col("pos"))), F.lit(0))
-        easy = easy.where(~F.col("often")).join(before, "node", "left").where(
-            F.when(F.col("_often_at").isNull(), F.col("pos")).otherwise(rank) < need
-        )
-        entries = easy.select(F.col("token").alias("sig"), "node", "n").union(hard_sigs.select("sig", "node", "n"))
-        return entries.distinct()
+        easy = easy.where(~F.col("often")).join(before, "node", "left").withColumn(
+            "level", F.when(F.col("_often_at").isNull(), F.col("pos")).otherwise(rank).cast("bigint")
+        ).where(F.col("level") < need)
+        entries = easy.select(F.col("token").alias("sig"), "node", "n", "level").union(hard_sigs.select("sig", "node", "n", "level"))
+        shares = small_side(cut(shared.groupBy("node").agg(F.count("*").alias("_shared"))))
+        solo = (held - F.coalesce("_shared", F.lit(0))).cast("bigint")
+        return entries.join(shares, "node", "left").select("sig", "node", "n", "level", solo.alias("solo"))
 
     def _beside(self, pairs: DataFrame, lists: DataFrame) -> DataFrame:
         """Pairs with the sizes and token lists of both sides."""
@@ -275,31 +294,31 @@ class _Join:
         return both.where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct()
 
     def links(self) -> DataFrame:
-        index = self.index()
-        hubs = index.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-        entries = cut(index.join(hubs, "sig").select("sig", "node", "n", "hub"))
+        """Links enough to connect all that is connected: not each one inside a component."""
+        index = cut(self.index())
+        # the hub of a signature is the node with the fewest tokens of its own
+        hubs = index.groupBy("sig").agg(F.min(F.struct("solo", "node", "n", "level")).alias("hub"), F.count("*").alias("m"))
+        entries = cut(index.join(hubs.where("m > 1"), "sig").select("sig", "node", "n", "level", "hub"))
+        near = _candidates(F.col("n"), F.col("level"), F.col("hub.n"), F.col("hub.level"), self.percent)
         tested = cut(
-            entries.where((F.col("node") != F.col("hub.node")) & _similar_sizes(F.col("n"), F.col("hub.n"), self.percent))
-            .select(F.col("node").alias("b"), F.col("hub.node").alias("a")).distinct()
+            entries.where((F.col("node") != F.col("hub.node")) & near)
+            .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         )
-        links = cut(self.verify(tested.select("a", "b")))
-        comps = components(links)
-        placed = entries.select("sig", "node", "n").join(
-            small_side(comps), "node", "left"
+        links = cut(self.verify(tested))
+        placed = entries.select("sig", "node", "n", "level").join(
+            small_side(components(links)), "node", "left"
         ).withColumn("comp", F.coalesce("comp", "node"))
-        # components that meet in a signature, then their members there
-        groups = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        open_ = cut(placed.join(groups.select("sig"), "sig"))
-        meet = open_.select("sig", "comp").distinct()
-        meet = meet.join(meet.select("sig", F.col("comp").alias("comp2")), "sig").where("comp < comp2")
-        one = open_.select("sig", "comp", F.col("node").alias("x"), F.col("n").alias("nx"))
-        two = open_.select("sig", F.col("comp").alias("comp2"), F.col("node").alias("y"), F.col("n").alias("ny"))
-        rest = meet.join(one, ["sig", "comp"]).join(two, ["sig", "comp2"]).where(
-            _similar_sizes(F.col("nx"), F.col("ny"), self.percent)
-        )
-        rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = cut(self.verify(rest.join(done, ["a", "b"], "left_anti")))
+        # components that meet in a signature, by size, at their lowest levels
+        open_ = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        open_ = cut(placed.join(open_.select("sig"), "sig"))
+        lowest = open_.groupBy("sig", "comp", "n").agg(F.min("level").alias("level"))
+        other = lambda df: df.select("sig", *[F.col(c).alias(f"{c}2") for c in df.columns if c != "sig"])
+        both = _candidates(F.col("n"), F.col("level"), F.col("n2"), F.col("level2"), self.percent)
+        meet = lowest.join(other(lowest), "sig").where((F.col("comp") < F.col("comp2")) & both).drop("level", "level2")
+        # then their members there
+        rest = meet.join(open_, ["sig", "comp", "n"]).join(other(open_), ["sig", "comp2", "n2"]).where(both)
+        rest = rest.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        more = cut(self.verify(rest.join(tested, ["a", "b"], "left_anti")))
         return cut(links.union(more))
 
 
