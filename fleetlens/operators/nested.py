@@ -55,11 +55,11 @@ def dma_issue_summary(documents: DataFrame) -> DataFrame:
 
 
 def dma_issue_details(documents: DataFrame, *, exclude: tuple[str, ...] = REPORT_DATABASES) -> DataFrame:
-    """One row per impacted object, in title order."""
+    """One row per impacted object, in title order, then by object."""
     return _issues(documents).where(~F.col("database_name").isin(*exclude)).select(
         "database_name", "compatibility_level", "migrating_to", "title", "object_name", "object_type",
         F.col("impact_detail").alias("more_info"),
-    ).orderBy("title")
+    ).orderBy("title", "database_name", "object_name", "object_type", "migrating_to", "more_info")
 
 
 def dma_summary_headers(documents: DataFrame, *, exclude: tuple[str, ...] = REPORT_DATABASES) -> DataFrame:

@@ -231,10 +231,16 @@ def role_policy_violations(t):
     return h.role_policy_violations(_events(t), allowed_logins=_ALLOWED)
 
 
+_KINDS = """
+('SET RECOVERY', 'the RECOVERY model'), ('MODIFY FILE', 'database files'), ('SET PAGE_VERIFY', 'PAGE_VERIFY'), ('SET AUTO_SHRINK', 'AUTO_SHRINK'), ('SET AUTO_CLOSE', 'AUTO_CLOSE'),
+('SET AUTO_UPDATE_STATISTICS', 'AUTO_UPDATE_STATISTICS (or AUTO_UPDATE_STATISTICS_ASYNC)'), ('SET AUTO_CREATE_STATISTICS', 'AUTO_CREATE_STATISTICS (or AUTO_CREATE_STATISTICS_ASYNC)')
+"""
+
+
 @query("alter_database_policy", f"""
 WITH {_EV}
 SELECT server_name, event_id, post_time, login_name, command_text, server_name || ' - Database Altered' AS subject,
-  CASE WHEN contains('u5', lower(login_name)) THEN NULL WHEN command_text ILIKE '%SET RECOVERY%' THEN 'Altering the RECOVERY model is not permitted in production environments.' END AS violation, html AS body
+  CASE WHEN contains('u5', lower(login_name)) THEN NULL ELSE (SELECT 'Altering ' || f.what || ' is not permitted in production environments.' || chr(13) || chr(10) || chr(13) || chr(10) || command_text FROM (VALUES {_KINDS}) f(word, what) WHERE contains(upper(command_text), f.word)) END AS violation, html AS body
 FROM ev WHERE event_type = 'ALTER_DATABASE' AND NOT {_LISTED}
 """)
 def alter_database_policy(t):

@@ -196,7 +196,8 @@ SELECT concat('srv', cast(event_id % 3 AS varchar(10))) AS server_name, event_id
   CASE event_id % 9 WHEN 0 THEN 'RSExecRole' WHEN 1 THEN 'SchemaCreator' ELSE concat('obj', cast(event_id % 40 AS varchar(10))) END AS object_name,
   CASE event_id % 8 WHEN 0 THEN 'Server' ELSE 'Table' END AS target_object_type,
   CASE event_id % 3 WHEN 0 THEN 'db_owner' WHEN 1 THEN 'db_datareader' ELSE 'sysadmin' END AS role_name,
-  CASE event_id % 5 WHEN 0 THEN 'ALTER DATABASE x SET RECOVERY SIMPLE' WHEN 1 THEN 'ALTER INDEX i ON t REBUILD' WHEN 2 THEN 'dbcc show_statistics'
+  CASE event_id % 5 WHEN 0 THEN concat('ALTER DATABASE x ', CASE cast(floor(event_id / 5) AS bigint) % 8 WHEN 0 THEN 'SET RECOVERY SIMPLE' WHEN 1 THEN 'MODIFY FILE (NAME = f)' WHEN 2 THEN 'SET PAGE_VERIFY NONE' WHEN 3 THEN 'SET AUTO_SHRINK ON'
+      WHEN 4 THEN 'set auto_close on' WHEN 5 THEN 'SET AUTO_UPDATE_STATISTICS OFF' WHEN 6 THEN 'SET AUTO_CREATE_STATISTICS OFF' ELSE 'SET READ_ONLY' END) WHEN 1 THEN 'ALTER INDEX i ON t REBUILD' WHEN 2 THEN 'dbcc show_statistics'
     WHEN 3 THEN CASE WHEN event_id % 2 = 0 THEN 'RESTORE DATABASE x WITH NORECOVERY' ELSE 'restore database x' END
     ELSE 'CREATE INDEX i ON t(a) WITH (PAD_INDEX = OFF)' END AS command_text,
   cast(cast(floor(event_id / 4) AS bigint) % 2 AS int) AS success, CASE WHEN event_id % 7 = 6 THEN 1 ELSE 0 END AS is_system, cast(1 + event_id % 3 AS int) AS event_subclass

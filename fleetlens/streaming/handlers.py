@@ -36,7 +36,7 @@ SECURITY_FAMILIES = {
 RISKY_SERVER_ROLES = ("sysadmin", "serveradmin", "securityadmin", "diskadmin", "dbcreator")
 RISKY_DATABASE_ROLES = ("db_owner", "db_accessadmin", "db_backupoperator", "db_securityadmin")
 EXEMPT_MEMBERS = ("RSExecRole", "NT SERVICE\\ReportServer", "SchemaCreator")
-# forbidden forms of ALTER DATABASE, first match wins
+# fixed values: forbidden forms of ALTER DATABASE and their messages; the first match wins
 FORBIDDEN_CHANGES = {
     "%SET RECOVERY%": "Altering the RECOVERY model",
     "%MODIFY FILE%": "Altering database files",
@@ -253,11 +253,11 @@ def alter_database_policy(
     allow: bool = False,
     environment: str = "production",
 ) -> DataFrame:
-    """Database changes by logins off the list, with a violation for forbidden kinds."""
+    """Database changes by logins off the list; forbidden kinds are violations, with the statement."""
     kind = F.lit(None).cast("string")
     for pattern, what in reversed(FORBIDDEN_CHANGES.items()):
-        text = f"{what} is not permitted in {environment} environments."
-        kind = F.when(F.col("command_text").ilike(pattern), F.lit(text)).otherwise(kind)
+        text = F.lit(f"{what} is not permitted in {environment} environments." + tx.CRLF + tx.CRLF)
+        kind = F.when(F.col("command_text").ilike(pattern), F.concat(text, F.col("command_text"))).otherwise(kind)
     excused = tx.listed_in_csv(F.col("login_name"), temporary_logins)
     return (
         _of(events, "ALTER_DATABASE")
