@@ -24,7 +24,8 @@ looked up among the others.
 
 Candidates are verified exactly, after a bound from the counted tokens has ruled out most
 of the false ones.  First every index entry is compared with one hub per
-signature, the node with the fewest tokens of its own; then only nodes that share a signature and are still in different
+signature, the node with the fewest tokens of its own; its difference from the hub is kept
+as a bit map, which tells two copies with different changes apart without comparing them; then only nodes that share a signature and are still in different
 components are compared, so a group of copies costs one comparison a member.
 
 Defined cases: null, empty and blank texts have no set and no links (their own
@@ -197,6 +198,59 @@ def _plausible(percent: int):
     return rows
 
 
+def _compare(percent: int):
+    """Task function: whole sets of pairs in; whether they link, and how they differ, out.
+
+    The tokens that only one side has are marked in a map of 256 bits; ``excess`` counts
+    those that share a bit with another.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for c in ("ta", "tb"):
+                column = batch.column(c)
+                flat, at = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()
+                lists.append((flat, at - at[0]))
+            (fa, oa), (fb, ob) = lists
+            linked, diff, excess, maps = [], [], [], np.zeros((batch.num_rows, 256), np.uint8)
+            for i in range(batch.num_rows):
+                a, b = fa[oa[i] : oa[i + 1]], fb[ob[i] : ob[i + 1]]
+                apart = np.setxor1d(a, b, assume_unique=True)
+                common = (len(a) + len(b) - len(apart)) // 2
+                linked.append(100 * common >= percent * (common + len(apart)))
+                maps[i, mixed(apart) >> np.uint64(56)] = 1
+                diff.append(len(apart))
+                excess.append(len(apart) - int(maps[i].sum()))
+            words = np.packbits(maps, axis=1).view(">i8").astype(np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(diff, pa.int64()),
+                    pa.array(excess, pa.int64()), *[pa.array(words[:, k]) for k in range(4)],
+                ],
+                names=["a", "b", "linked", "diff", "excess", "m0", "m1", "m2", "m3"],
+            )
+
+    return rows
+
+
+_COMPARED = "a bigint, b bigint, linked boolean, diff bigint, excess bigint, m0 bigint, m1 bigint, m2 bigint, m3 bigint"
+
+
+def _may_differ_little(x: Column, y: Column, nx: Column, ny: Column, percent: int) -> Column:
+    """False for two sets whose differences from one and the same hub rule a link out.
+
+    What two sets lack of each other is what either lacks of the hub or has beyond it, less
+    twice what their differences have in common; the bit maps bound that from above.
+    """
+    shared = F.least(x["excess"], y["excess"])
+    for k in range(4):
+        shared = shared + F.bit_count(x[f"m{k}"].bitwiseAND(y[f"m{k}"]))
+    most = nx + ny - 2 * F.ceil((nx + ny) * percent / (100 + percent) - 1e-9)
+    known = F.coalesce(x["home"] == y["home"], F.lit(False))
+    return ~known | (x["diff"] + y["diff"] - 2 * shared <= most)
+
+
 def _candidates(na: Column, la: Column, nb: Column, lb: Column, percent: int) -> Column:
     """Whether a common signature of levels ``la`` and ``lb`` makes two sets a candidate pair.
 
@@ -278,7 +332,7 @@ class _Join:
         return pairs.join(left, "a").join(right, "b")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar enough, by exact intersection.
+        """Exact comparison of the pairs (a, b) that may link: ``_COMPARED``.
 
         The counted tokens rule most pairs out; whole sets are moved for the rest.
         """
@@ -290,8 +344,8 @@ class _Join:
             .mapInArrow(_plausible(self.percent), "a bigint, b bigint").distinct()
         )
         both = self._beside(pairs, cut(self.whole_sets(ends(pairs))))
-        common = F.size(F.array_intersect("ta", "tb"))
-        return both.where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct()
+        compared = both.select("a", "b", "ta", "tb").mapInArrow(_compare(self.percent), _COMPARED)
+        return cut(compared.dropDuplicates(["a", "b"]))
 
     def links(self) -> DataFrame:
         """Links enough to connect all that is connected: not each one inside a component."""
@@ -300,26 +354,38 @@ class _Join:
         hubs = index.groupBy("sig").agg(F.min(F.struct("solo", "node", "n", "level")).alias("hub"), F.count("*").alias("m"))
         entries = cut(index.join(hubs.where("m > 1"), "sig").select("sig", "node", "n", "level", "hub"))
         near = _candidates(F.col("n"), F.col("level"), F.col("hub.n"), F.col("hub.level"), self.percent)
-        tested = cut(
+        pairs = cut(
             entries.where((F.col("node") != F.col("hub.node")) & near)
-            .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+            .select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("hub.solo").alias("solo")).distinct()
+        )
+        compared = self.verify(pairs.select("a", "b"))
+        links = compared.where("linked").select("a", "b")
+        # the difference of each node from the best hub it was compared with
+        facts = ["diff", "excess", "m0", "m1", "m2", "m3"]
+        homes = compared.join(pairs, ["a", "b"]).groupBy(F.col("a").alias("node")).agg(
+            F.min(F.struct("solo", F.col("b").alias("home"), *facts)).alias("d")
         )
-        links = cut(self.verify(tested))
         placed = entries.select("sig", "node", "n", "level").join(
             small_side(components(links)), "node", "left"
-        ).withColumn("comp", F.coalesce("comp", "node"))
+        ).withColumn("comp", F.coalesce("comp", "node")).join(small_side(cut(homes)), "node", "left")
         # components that meet in a signature, by size, at their lowest levels
         open_ = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         open_ = cut(placed.join(open_.select("sig"), "sig"))
-        lowest = open_.groupBy("sig", "comp", "n").agg(F.min("level").alias("level"))
+        lowest = open_.groupBy("sig", "comp", "n").agg(
+            F.min("level").alias("level"), F.when(F.count("*") == 1, F.first("d")).alias("d")
+        )
         other = lambda df: df.select("sig", *[F.col(c).alias(f"{c}2") for c in df.columns if c != "sig"])
-        both = _candidates(F.col("n"), F.col("level"), F.col("n2"), F.col("level2"), self.percent)
-        meet = lowest.join(other(lowest), "sig").where((F.col("comp") < F.col("comp2")) & both).drop("level", "level2")
+        both = _candidates(F.col("n"), F.col("level"), F.col("n2"), F.col("level2"), self.percent) & _may_differ_little(
+            F.col("d"), F.col("d2"), F.col("n"), F.col("n2"), self.percent
+        )
+        meet = lowest.join(other(lowest), "sig").where((F.col("comp") < F.col("comp2")) & both)
+        meet = meet.drop("level", "level2", "d", "d2")
         # then their members there
         rest = meet.join(open_, ["sig", "comp", "n"]).join(other(open_), ["sig", "comp2", "n2"]).where(both)
         rest = rest.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        more = cut(self.verify(rest.join(tested, ["a", "b"], "left_anti")))
-        return cut(links.union(more))
+        done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = self.verify(rest.join(done, ["a", "b"], "left_anti"))
+        return links.union(more.where("linked").select("a", "b"))
 
 
 def near_equal(docs: DataFrame, *, k: int = 4, percent: int = 85) -> DataFrame:
