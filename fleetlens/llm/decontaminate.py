@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash over item-sized windows, then exact similarity.
 
 For each benchmark item the windows of a document that are as long as the item are its
-candidates.  A window's fingerprint is a SimHash of its word shingles, each weighted by
+candidates; a document shorter than the item is one window as a whole.  A window's fingerprint is a SimHash of its word shingles, each weighted by
 how often it occurs; fingerprints are compared through a multi-index: cut into blocks, so that two
 fingerprints within the radius must be near in at least one block (if every block differed
 by more than its share, the sum would pass the radius).  What the index returns within
@@ -103,7 +103,7 @@ class Items:
         common = int(np.minimum(n[i], m[j]).sum())
         return common / (len(self.shingles[item]) + len(window) - common)
 
-    def _windows(self, part: np.ndarray, hits: np.ndarray, lo: int, size: int, lengths: list[int], best: dict) -> None:
+    def _windows(self, part: np.ndarray, hits: np.ndarray, lo: int, size: int, lengths: list[int], best: dict, whole: bool) -> None:
         """Compare the windows of a stretch that hold a hit with the items of their length."""
         known = np.zeros(len(part), bool)
         known[hits] = True
@@ -111,7 +111,8 @@ class Items:
         np.cumsum(bits_of(part), axis=0, out=sums[1:])
         held = np.concatenate([[0], np.cumsum(known)])
         for n in lengths:
-            inside, members = n - size + 1, np.array(self.by_words[n])
+            # a document shorter than the item comes as one stretch and is one window
+            inside, members = min(n - size + 1, len(part)) if whole else n - size + 1, np.array(self.by_words[n])
             if inside > len(part):
                 continue
             starts = np.flatnonzero(held[inside:] > held[:-inside])
@@ -136,7 +137,11 @@ class Items:
     def matches(self, words: np.ndarray) -> list[tuple[int, float, int]]:
         """(item, similarity, first word) of the best window of each item in one text."""
         best: dict[int, tuple[float, int]] = {}
-        lengths = [n for n in self.by_words if n <= len(words)]
+        # of two shingle multisets the smaller bounds the similarity: much longer items cannot match
+        lengths = [
+            n for n in self.by_words
+            if n <= len(words) or len(words) - (k := min(SHINGLE, n)) + 1 >= max(1, SIMILARITY * (n - k + 1))
+        ]
         for size in sorted({min(SHINGLE, n) for n in lengths}):
             shingles = shingle_hashes(words, size)
             at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
@@ -148,7 +153,7 @@ class Items:
             # hits near each other are worked on together, with room for the longest window
             for run in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * reach) + 1):
                 lo, hi = max(0, int(run[0]) - reach), min(len(shingles), int(run[-1]) + reach)
-                self._windows(shingles[lo:hi], run - lo, lo, size, mine, best)
+                self._windows(shingles[lo:hi], run - lo, lo, size, mine, best, hi - lo == len(shingles))
         return [(i, s, start) for i, (s, start) in sorted(best.items())]
 
 
@@ -172,7 +177,7 @@ def _find(items: Items):
                 out: list[tuple] = []
                 for i in picked.tolist():
                     for item, s, start in items.matches(h[bounds[i] : bounds[i + 1]]):
-                        out.append((i, items.ids[item], s, start, items.words[item]))
+                        out.append((i, items.ids[item], s, start, min(items.words[item], int(bounds[i + 1] - bounds[i]))))
                 cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -191,7 +196,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, part_items: int = PART_ITEMS
 
     Reads ``doc_id``, ``text`` of ``docs`` and ``item_id``, ``text`` of ``benchmark``.  Returns a row
     per document and item whose best window has a similarity of 0.8 or more: doc_id, item_id,
-    similarity, first_word (of the window) and n_words.
+    similarity, first_word and n_words (of the window).
     """
     parts = max(1, -(-benchmark.count() // part_items))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))

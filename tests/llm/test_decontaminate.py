@@ -75,3 +75,27 @@ def test_empty_tables_nulls_and_clashing_columns(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3}
     assert d.leaks(docs.limit(0), items).count() == 0
     assert d.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_documents_shorter_than_an_item_are_one_window(spark):
+    """A shortened item as a whole document: similarity of all its shingles to those of the item."""
+    rng = random.Random(5)
+    items = [(n, [f"v{rng.randrange(400)}" for _ in range(n)]) for n in (3, 4, 5, 9, 12, 24, 25, 50, 59)]
+    docs = [(100 * n + k, w[k // 2 : n - (k - k // 2)]) for n, w in items for k in range(min(n, 14))]
+    want = {}
+    for doc_id, words in docs:
+        for item_id, item in items:
+            size = min(5, len(item))
+            if 0 < len(words) < len(item):
+                a, b = shingles(item), shingles(words) if len(words) >= size else {}
+                low = sum(min(a[x], b.get(x, 0)) for x in a)
+                s = low / (sum(a.values()) + sum(b.values()) - low)
+            else:
+                s = 1.0 if words == item else 0
+            if s >= 0.8:
+                want[doc_id, item_id] = round(s, 9), 0, len(words)
+    assert want[5001, 50] == (round(45 / 46, 9), 0, 49) and len(want) > 20
+    d_, i_ = (spark.createDataFrame([(k, " ".join(w)) for k, w in x], f"{c} long, text string") for x, c in ((docs, "doc_id"), (items, "item_id")))
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word, r.n_words) for r in d.leaks(d_, i_).collect()}
+    assert got == want
+    assert {r.doc_id for r in d.decontaminated(d_, i_).collect()} == {k for k, _ in docs} - {k for k, _ in want}
