@@ -3,7 +3,8 @@
 The pieces of a fixed public vocabulary are cut out of words in every possible way.  A
 language gives each piece a probability, a segmentation multiplies those of its pieces,
 and a word's probability is the sum over all its segmentations, which a forward
-pass computes in time linear in the word.  Piece probabilities come from expectation
+pass computes in time linear in the word; a long word is passed in stretches that carry
+the last values on, scaled, so a word may have any length.  Piece probabilities come from expectation
 maximisation (expected piece counts from forward and backward passes) over a bounded
 sample of labelled texts per language.  A text is the product of its words, so the
 score reads the whole text; each distinct word of a batch is worked out once.
@@ -36,7 +37,6 @@ from fleetlens.llm.textbytes import WordHasher, column_bytes, lower_table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_PIECE = 8  # bytes; longer pieces of the vocabulary are left out
 MARK = 1  # byte before a word
 ROWS_PER_LANGUAGE = 300  # bound of the training sample, about
 MAX_TRAIN_BYTES = 16384  # longer texts are not trained on; all are scored
@@ -45,6 +45,7 @@ SMOOTHING = 0.05
 FOLDS, FOLD = 3, 1
 UNKNOWN = "und"
 WORD_BLOCK = 20000  # distinct words worked on together
+STRETCH = 32  # bytes of a word between two scalings; 32 single bytes do not underflow
 
 
 def vocabulary(path: str = VOCABULARY) -> list[bytes]:
@@ -59,9 +60,7 @@ def vocabulary(path: str = VOCABULARY) -> list[bytes]:
         text = model.id_to_piece(i)
         word = text.removeprefix("▁").lower()
         if word and word.isalpha():
-            piece = (bytes([MARK]) if text.startswith("▁") else b"") + word.encode()
-            if len(piece) <= MAX_PIECE:
-                pieces.add(piece)
+            pieces.add((bytes([MARK]) if text.startswith("▁") else b"") + word.encode())
     return sorted(pieces)
 
 
@@ -74,91 +73,132 @@ def letters_space() -> np.ndarray:
 
 
 class Pieces:
-    """Looks up pieces of at most 8 bytes, packed into one integer, in an open table."""
+    """Trie of the pieces: each prefix is a node, found by its parent and last byte."""
 
     def __init__(self, pieces: list[bytes]):
         self.n = len(pieces)
-        codes = np.array([int.from_bytes(p, "big") for p in pieces], np.uint64)
-        self.bits = max(4, int(np.ceil(np.log2(4 * self.n + 1))))
-        size = 1 << self.bits
-        self.key, self.value = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
-        self.probes = 1
-        for i, code in enumerate(codes.tolist()):
-            slot, step = (code * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - self.bits), 1
-            while self.value[slot] >= 0:
-                slot, step = (slot + 1) % size, step + 1
-            self.key[slot], self.value[slot] = code, i
-            self.probes = max(self.probes, step)
-
-    def find(self, codes: np.ndarray) -> np.ndarray:
-        """Ids, or the number of pieces where there is none."""
-        slot = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = np.full(len(codes), self.n, np.int32)
-        left = np.arange(len(codes))
-        for _ in range(self.probes):
-            value = self.value[slot]
-            hit = (self.key[slot] == codes[left]) & (value >= 0)
-            out[left[hit]] = value[hit]
-            more = ~hit & (value >= 0)
-            left, slot = left[more], (slot[more] + 1) % len(self.value)
-            if not len(left):
-                break
-        return out
-
-
-def word_matrix(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Marked words as rows of bytes, padded with 0."""
-    width = int(lengths.max()) if len(lengths) else 0
-    at = starts[:, None] + np.arange(width)
-    chars = data[np.minimum(at, len(data) - 1)]
-    chars[np.arange(width) >= lengths[:, None]] = 0
-    return np.concatenate([np.full((len(starts), 1), MARK, np.uint8), chars], 1)
+        lengths = np.array([len(x) for x in pieces])
+        self.longest = int(lengths.max())
+        chars = np.zeros((self.n, self.longest), np.int64)
+        chars[np.arange(self.longest) < lengths[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
+        node, edges, self.piece = np.zeros(self.n, np.int64), [], [np.array([self.n])]
+        size = 1
+        for k in range(self.longest):
+            inside = np.flatnonzero(lengths > k)
+            edge, number = np.unique(node[inside] << 8 | chars[inside, k], return_inverse=True)
+            node[inside] = size + number
+            self.piece.append(np.full(len(edge), self.n))
+            ends = inside[lengths[inside] == k + 1]
+            self.piece[-1][node[ends] - size] = ends
+            size += len(edge)
+            edges.append(edge)
+        # parents of a level come after those of the level before, so all edges are in order
+        self.edges = np.concatenate(edges)
+        self.piece = np.concatenate(self.piece).astype(np.int32)
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The child by that byte, or 0 where there is none."""
+        edge = node << 8 | byte
+        at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+        return np.where(self.edges[at] == edge, at + 1, 0)
+
+
+def word_matrix(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, a: int = 0, b: int | None = None) -> np.ndarray:
+    """Marked words as rows of bytes, padded with 0: their bytes from a to b, all if not given."""
+    width = int(lengths.max()) + 1 if len(lengths) else 1
+    place = np.arange(a, width if b is None else min(b, width))
+    chars = data[np.clip(starts[:, None] + place - 1, 0, max(len(data) - 1, 0))]
+    chars[place > lengths[:, None]] = 0
+    chars[:, place == 0] = MARK
+    return chars
 
 
 def piece_ids(chars: np.ndarray, pieces: Pieces) -> np.ndarray:
     """ids[w, j, k]: the piece of word w that ends before byte j + 1 and has k + 1 bytes."""
     n, width = chars.shape
-    ids = np.full((n, width, MAX_PIECE), pieces.n, np.int32)
-    wide = chars.astype(np.uint64)
-    for k in range(min(MAX_PIECE, width)):
-        code = np.zeros((n, width - k), np.uint64)
-        for i in range(k + 1):
-            code = (code << np.uint64(8)) | wide[:, i : i + width - k]
-        ids[:, k:, k] = pieces.find(code.ravel()).reshape(code.shape)
+    ids = np.full((n, width, min(pieces.longest, width)), pieces.n, np.int32)
+    word, at = np.nonzero(chars)
+    node = np.zeros(len(word), np.int64)
+    for k in range(ids.shape[2]):
+        node = pieces.step(node, chars[word, at].astype(np.int64))
+        word, at, node = word[node > 0], at[node > 0], node[node > 0]
+        ids[word, at, k] = pieces.piece[node]
+        more = at + 1 < width
+        word, at, node = word[more], at[more] + 1, node[more]
     return ids
 
 
-def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha[w, j, l]: probability in language l of the first j bytes; p has a last row of 0."""
-    n, width, _ = ids.shape
-    alpha = np.zeros((n, width + 1, p.shape[1]))
-    alpha[:, 0] = 1
-    for j in range(1, width + 1):
-        for k in range(min(j, MAX_PIECE)):
-            alpha[:, j] += alpha[:, j - k - 1] * p[ids[:, j - 1, k]]
-    return alpha
+def forward(ids: np.ndarray, p: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """alpha[w, j, l]: probability in language l of the first j bytes; p has a last row of 0.
+
+    ``before`` holds the values of the bytes before, the last of them for no byte of ids.
+    """
+    n, width, most = ids.shape
+    back = 0 if before is None else before.shape[1] - 1
+    alpha = np.zeros((n, back + width + 1, p.shape[1]))
+    alpha[:, : back + 1] = 1 if before is None else before
+    held = (ids < len(p) - 1).any(0)
+    for j in range(width):
+        for k in np.flatnonzero(held[j, : min(back + j + 1, most)]).tolist():
+            alpha[:, back + j + 1] += alpha[:, back + j - k] * p[ids[:, j, k]]
+    return alpha[:, back:]
+
+
+def log_forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Logarithms of the values of ``forward`` for words of any length."""
+    n, width, most = ids.shape
+    out = np.full((n, width + 1, p.shape[1]), -np.inf)
+    out[:, 0] = 0
+    for a in range(0, width, STRETCH):
+        b, first = min(a + STRETCH, width), max(0, a - most + 1)
+        scale = np.where(np.isfinite(out[:, a]), out[:, a], 0)  # behind a word's end all is 0
+        part = forward(ids[:, a:b], p, np.exp(out[:, first : a + 1] - scale[:, None]))
+        with np.errstate(divide="ignore"):
+            out[:, a + 1 : b + 1] = np.log(part[:, 1:]) + scale[:, None]
+    return out
 
 
 def expected_counts(ids: np.ndarray, lengths: np.ndarray, weights: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Expected uses of each piece per language over words with weights[w, l]."""
-    n, width, _ = ids.shape
-    alpha = forward(ids, p)
-    beta = np.zeros_like(alpha)
+    n, width, most = ids.shape
     rows = np.arange(n)
-    beta[rows, lengths] = 1
-    for j in range(width - 1, -1, -1):
-        for k in range(min(MAX_PIECE, width - j)):
-            beta[:, j] += p[ids[:, j + k, k]] * beta[:, j + k + 1]
-    scale = weights / np.maximum(alpha[rows, lengths], 1e-300)
+    alpha = log_forward(ids, p)
+    # the backward pass is the forward pass of the words read from their ends
+    back, k = np.arange(width)[:, None], np.arange(most)
+    at = lengths[:, None, None] - 1 - back + k
+    ok = (k <= back) & (back < lengths[:, None, None])
+    beta = log_forward(np.where(ok, ids[rows[:, None, None], np.clip(at, 0, width - 1), k], len(p) - 1), p)
+    left = lengths[:, None] - np.arange(width + 1)
+    beta = np.where(left[..., None] >= 0, beta[rows[:, None], np.maximum(left, 0)], -np.inf)
+    beta -= alpha[rows, lengths][:, None]
     counts = np.zeros_like(p)
+    held = (ids < len(p) - 1).any(0)
     for j in range(width):
-        for k in range(min(j + 1, MAX_PIECE)):
-            used = alpha[:, j - k] * p[ids[:, j, k]] * beta[:, j + 1] * scale
+        for k in np.flatnonzero(held[j, : j + 1]).tolist():
+            used = np.exp(alpha[:, j - k] + beta[:, j + 1]) * p[ids[:, j, k]] * weights
             for lang in range(p.shape[1]):
                 counts[:, lang] += np.bincount(ids[:, j, k], used[:, lang], len(p))
     return counts
 
 
+def log_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table_: Pieces, p: np.ndarray) -> np.ndarray:
+    """Logarithm of the probability of each word per language, a stretch of all words at a time."""
+    out = np.zeros((len(starts), p.shape[1]))
+    on, before = np.arange(len(starts)), np.ones((len(starts), 1, p.shape[1]))
+    for a in range(0, int(lengths.max()) + 1, STRETCH):
+        first = max(0, a - table_.longest + 1)
+        ids = piece_ids(word_matrix(data, starts[on], lengths[on], first, a + STRETCH), table_)[:, a - first :]
+        alpha = forward(ids, p, before)
+        last = alpha[np.arange(len(on)), np.minimum(lengths[on] + 1 - a, STRETCH)]
+        out[on] += np.log(last)
+        more = lengths[on] + 1 > a + STRETCH
+        before = np.concatenate([before[more, :-1], alpha[more]], 1)[:, -table_.longest :] / last[more, None]
+        on = on[more]
+        if not len(on):
+            break
+    return out
+
+
 def blocks(lengths: np.ndarray) -> Iterator[np.ndarray]:
     """Words of similar length together, at most about WORD_BLOCK * 12 bytes."""
     order, a = np.argsort(lengths, kind="stable"), 0
@@ -170,25 +210,13 @@ def blocks(lengths: np.ndarray) -> Iterator[np.ndarray]:
         a = b
 
 
-MAX_WORD = 64  # bytes; a longer run of letters counts as several words of this length
-
-
-def cut_long(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(starts) or (ends - starts).max() <= MAX_WORD:
-        return starts, ends
-    parts = (ends - starts + MAX_WORD - 1) // MAX_WORD
-    step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    first = np.repeat(starts, parts) + step * MAX_WORD
-    return first, np.minimum(first + MAX_WORD, np.repeat(ends, parts))
-
-
 def distinct_words(texts: pa.Array, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, first byte and length of the distinct words; words of the texts by number, bounds."""
     data, offsets = column_bytes(texts)
     hashes, firsts, lasts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b, edges in hasher.pieces(data, offsets):
         if a < b:
-            first, last = cut_long(*hasher.spans(data[a:b], edges))
+            first, last = hasher.spans(data[a:b], edges)
             hashes.append(hasher.hash_spans(data[a:b], first, last))
             firsts.append(first + a)
             lasts.append(last + a)
@@ -207,11 +235,11 @@ def train(texts: list[str], langs: list[str], path: str = VOCABULARY) -> tuple[l
         np.add.at(weights[:, names.index(lang)], number[bounds[i] : bounds[i + 1]], 1)
     p = np.full((len(pieces) + 1, len(names)), 1 / len(pieces))
     p[-1] = 0
-    parts = []
-    for rows in blocks(lengths):
-        parts.append((piece_ids(word_matrix(data, starts[rows], lengths[rows]), table_), lengths[rows] + 1, weights[rows]))
     for _ in range(ROUNDS):
-        counts = sum(expected_counts(*part, p) for part in parts)
+        counts = np.zeros_like(p)
+        for rows in blocks(lengths):
+            ids = piece_ids(word_matrix(data, starts[rows], lengths[rows]), table_)
+            counts += expected_counts(ids, lengths[rows] + 1, weights[rows], p)
         p[:-1] = (counts[:-1] + SMOOTHING) / (counts[:-1].sum(0) + SMOOTHING * len(pieces))
     return names, pieces, p
 
@@ -224,10 +252,8 @@ def scorer(names: list[str], pieces: list[bytes], p: np.ndarray):
         for batch in batches:
             data, starts, lengths, number, bounds = distinct_words(batch.column("text"), hasher)
             logs = np.zeros((len(starts), len(names)))
-            for rows in blocks(lengths):
-                ids = piece_ids(word_matrix(data, starts[rows], lengths[rows]), table_)
-                alpha = forward(ids, p)[np.arange(len(rows)), lengths[rows] + 1]
-                logs[rows] = np.log(np.maximum(alpha, 1e-300))
+            for rows in blocks(np.minimum(lengths, STRETCH + table_.longest)):
+                logs[rows] = log_words(data, starts[rows], lengths[rows], table_, p)
             totals = np.zeros((len(bounds) - 1, len(names)))
             for lang in range(len(names)):
                 sums = np.concatenate([[0.0], np.cumsum(logs[number, lang])])

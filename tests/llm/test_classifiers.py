@@ -104,6 +104,37 @@ def test_word_probability_sums_all_segmentations():
     assert np.allclose((counts[:-1] * lengths[:, None]).sum(0), 6)  # every byte is in one piece
 
 
+def test_long_pieces_and_long_words_are_summed_whole():
+    """Pieces of any length, words of any length: equal to a plain recursion in logarithms."""
+    assert {b"\x01information", b"springframework", b"\x01responsibility"} <= set(langid.vocabulary())
+    rng = np.random.default_rng(2)
+    singles = {bytes([b]) for b in range(1, 256)}
+    longer = {b"\x01abcabcabcabc", b"bcabcabca", b"cab", "語言語言".encode(), "言語".encode(), ("言" * 8).encode()}
+    pieces = sorted(singles | longer)
+    p = rng.random((len(pieces) + 1, 2)) * 1e-6
+    p[[*map(pieces.index, longer)]] = rng.random((len(longer), 2))
+    p[-1] = 0
+    words = ["abcabcabcabc", "言語言語", "abc" * 200, "語言" * 300, "x" + "言" * 4001, "a", "b" * 31, "b" * 32, "b" * 33]
+    number = {x: i for i, x in enumerate(pieces)}
+    want = []
+    for word in words:
+        marked = bytes([langid.MARK]) + word.encode()
+        la = [np.zeros(2)]
+        for j in range(1, len(marked) + 1):
+            ways = [la[j - k] + np.log(p[number[marked[j - k : j]]]) for k in range(1, min(j, 24) + 1) if marked[j - k : j] in number]
+            la.append(np.logaddexp.reduce(ways))
+        want.append(la[-1])
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    lengths = np.array([len(w.encode()) for w in words])
+    trie = langid.Pieces(pieces)
+    got = langid.log_words(data, np.cumsum(lengths) - lengths, lengths, trie, p)
+    assert np.allclose(got, want, rtol=1e-9)
+    ids = langid.piece_ids(langid.word_matrix(data, np.cumsum(lengths) - lengths, lengths), trie)
+    counts = langid.expected_counts(ids, lengths + 1, np.ones((len(words), 2)), p)
+    sizes = np.array([len(x) for x in pieces])
+    assert np.allclose((counts[:-1] * sizes[:, None]).sum(0), (lengths + 1).sum())
+
+
 def test_empty_tables_and_missing_labels(spark, tables):
     docs, labels = tables
     none, few = labels.limit(0), docs.limit(20)
