@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import alerts as a
 from fleetlens.plans.backup import ts
 from fleetlens.plans.registry import query
+from fleetlens.session import stage_path
 from fleetlens.sources import shred
 from fleetlens.streaming import handlers as h
 from fleetlens.streaming import stateful
@@ -61,13 +62,25 @@ def alert_throttle_12h(t):
     return a.alert_throttle(_slower(_matched(t), 43200))
 
 
-@query("alert_throttle_stream", f"WITH RECURSIVE {_throttled(43200)} SELECT * FROM held WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10' MINUTE FROM matched WHERE delay_seconds > 0)")
-def alert_throttle_stream(t):
-    """Keyed state over a file stream; rows past the last watermark still wait."""
+def _throttle_stream(t):
     source = read_files(t.spark, f"{t.sf_dir}/events.parquet")
     events = t.derive("fx_alert_event", {"events": source})
     alerts = _slower(a.alert_rule_match(events, a.standard_rules(t.spark)), 43200)
-    return run_to_parquet(stateful.alert_throttle_stream(alerts), "throttle")
+    return stateful.alert_throttle_stream(alerts)
+
+
+@query("alert_throttle_stream", f"WITH RECURSIVE {_throttled(43200)} SELECT * FROM held WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10' MINUTE FROM matched WHERE delay_seconds > 0)")
+def alert_throttle_stream(t):
+    """Keyed state over a file stream; rows past the last watermark still wait."""
+    return run_to_parquet(_throttle_stream(t), "throttle")
+
+
+@query("alert_throttle_stream_whole", f"WITH RECURSIVE {_throttled(43200)} SELECT * FROM held")
+def alert_throttle_stream_whole(t):
+    """The stream with the responses that wait behind its last watermark."""
+    checkpoint = stage_path(t.spark, "throttle-offsets")
+    passed = run_to_parquet(_throttle_stream(t), "throttle", checkpoint=checkpoint)
+    return passed.unionByName(stateful.throttle_tail(t.spark, checkpoint))
 
 
 @query("alert_occurrence_counter", f"""

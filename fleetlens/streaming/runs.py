@@ -7,6 +7,7 @@ exactly one place in the output, whatever executor is lost on the way.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetlens.session import stage_path
 
@@ -41,3 +42,16 @@ def run_to_parquet(stream: DataFrame, name: str, *, path: str | None = None, che
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def waiting_state(spark: SparkSession, checkpoint: str, schema: str) -> DataFrame:
+    """Keys and keyed state that a run of one stateful operator left in ``checkpoint``.
+
+    ``schema`` is that of the key and the state; a run that never had a file left none.
+    """
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/state")
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], schema)
+    names = spark.createDataFrame([], schema).columns
+    state = spark.read.format("statestore").load(checkpoint).select("key.*", "value.*")
+    return state.select("*", "groupState.*").select(*[F.col(n) for n in names])

@@ -13,16 +13,20 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fleetlens.operators.alerts import ALERT, DRIVE
+from fleetlens.operators.alerts import ALERT, DRIVE, alert_throttle
+from fleetlens.streaming.runs import waiting_state
 
 # executors need not have this package: the task functions travel by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+_THROTTLE_STATE = "last bigint, times array<bigint>, ids array<bigint>, delay bigint"
+
+
 def _watermark_us(state: GroupState) -> int:
     return max(state.getCurrentWatermarkMs(), 0) * 1000
 
@@ -70,12 +74,32 @@ def alert_throttle_stream(alerts: DataFrame, *, lateness: str = "10 minutes") ->
     fired = held.groupBy(*ALERT).applyInPandasWithState(
         _throttle,
         "server_name string, alert_name string, event_id bigint, _at bigint",
-        "last bigint, times array<bigint>, ids array<bigint>, delay bigint",
+        _THROTTLE_STATE,
         "append", GroupStateTimeout.EventTimeTimeout,
     )
     return fired.select(*ALERT, "event_id", F.timestamp_micros("_at").cast("timestamp_ntz").alias("ts"))
 
 
+def throttle_tail(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Responses among the alerts that still wait behind the watermark after a run.
+
+    With what the sink holds they are the responses to every row read so far.  The state
+    stays as it is, and a later run emits these rows itself unless earlier rows still come.
+    """
+    kept = waiting_state(spark, checkpoint, f"server_name string, alert_name string, {_THROTTLE_STATE}")
+    # the last response suppresses as an alert of its own, without an id
+    pairs = F.arrays_zip(F.col("times").alias("_at"), F.col("ids").alias("event_id"))
+    last = F.array(F.struct(F.col("last").alias("_at"), F.lit(None).cast("bigint").alias("event_id")))
+    rows = kept.where(F.size("times") > 0).select(
+        *ALERT, (F.col("delay") / 1_000_000).cast("bigint").alias("delay_seconds"),
+        F.explode(F.when(F.col("last").isNull(), pairs).otherwise(F.concat(pairs, last))).alias("row"),
+    )
+    alerts = rows.select(
+        *ALERT, "delay_seconds", "row.event_id", F.timestamp_micros("row._at").cast("timestamp_ntz").alias("ts")
+    )
+    return alert_throttle(alerts).where("event_id IS NOT NULL")
+
+
 def undelayed(alerts: DataFrame) -> DataFrame:
     """Alerts that always respond."""
     return alerts.where("delay_seconds = 0").select(*ALERT, "event_id", "ts")

@@ -104,6 +104,25 @@ def test_throttle_stream_equals_batch(spark, t, rows, at, shuffled):
     assert rows(run()) == rows(a.alert_throttle(alerts))
 
 
+def test_throttle_tail_completes_each_run(spark, t, rows):
+    """No closing alert: after every run the sink and the tail are the batch result of what was read."""
+    alerts = a.alert_rule_match(t("fx_alert_event"), a.standard_rules(spark)).withColumn("delay_seconds", F.lit(43200))
+    files, path = _write_in_files(alerts, "ts", 4, shuffled=False), tempfile.mkdtemp(prefix="tail-")
+    offsets, out = stage_path(spark, "offsets"), stage_path(spark, "out")
+    names = sorted((f for f in os.listdir(files) if f.endswith(".parquet")), key=lambda f: os.path.getmtime(f"{files}/{f}"))
+    for part in (names[:2], names[2:]):
+        for name in part:
+            shutil.copy(f"{files}/{name}", path)
+            second = 1_700_000_000 + names.index(name)  # the source takes files by their time
+            os.utime(f"{path}/{name}", (second, second))
+        stream = stateful.alert_throttle_stream(read_files(spark, path, files_per_trigger=1), lateness="2 days")
+        passed = run_to_parquet(stream, "throttle", path=out, checkpoint=offsets)
+        whole = a.alert_throttle(spark.read.parquet(path))
+        assert passed.count() < whole.count()
+        assert rows(passed.unionByName(stateful.throttle_tail(spark, offsets))) == rows(whole)
+    assert stateful.throttle_tail(spark, stage_path(spark, "never-run")).count() == 0
+
+
 @pytest.mark.parametrize("shuffled", [False, True])
 def test_free_space_stream_equals_batch(spark, t, rows, at, shuffled):
     samples = t("fx_drive_sample")
