@@ -9,8 +9,8 @@ from fleetlens.plans.backup import ts
 from fleetlens.plans.registry import query
 from fleetlens.session import stage_path
 from fleetlens.sources import shred
+from fleetlens.streaming import batches, stateful
 from fleetlens.streaming import handlers as h
-from fleetlens.streaming import stateful
 from fleetlens.streaming.runs import read_files, run_to_parquet
 
 
@@ -62,25 +62,69 @@ def alert_throttle_12h(t):
     return a.alert_throttle(_slower(_matched(t), 43200))
 
 
-def _throttle_stream(t):
-    source = read_files(t.spark, f"{t.sf_dir}/events.parquet")
+def _throttle_stream(t, seconds: int):
+    """Responses of a file stream in the sink, and those that wait behind its last watermark."""
+    source = read_files(t.spark, f"{t.sf_dir}/events.parquet", files_per_trigger=4)
     events = t.derive("fx_alert_event", {"events": source})
-    alerts = _slower(a.alert_rule_match(events, a.standard_rules(t.spark)), 43200)
-    return stateful.alert_throttle_stream(alerts)
+    alerts = _slower(a.alert_rule_match(events, a.standard_rules(t.spark)), seconds)
+    checkpoint = stage_path(t.spark, "throttle-offsets")
+    passed = run_to_parquet(stateful.alert_throttle_stream(alerts), "throttle", checkpoint=checkpoint)
+    return passed.unionByName(stateful.throttle_tail(t.spark, checkpoint))
 
 
-@query("alert_throttle_stream", f"WITH RECURSIVE {_throttled(43200)} SELECT * FROM held WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10' MINUTE FROM matched WHERE delay_seconds > 0)")
+@query("alert_throttle_stream", f"WITH RECURSIVE {_throttled(600)} SELECT * FROM held")
 def alert_throttle_stream(t):
-    """Keyed state over a file stream; rows past the last watermark still wait."""
-    return run_to_parquet(_throttle_stream(t), "throttle")
+    """Keyed state over a file stream, with the standard delay."""
+    return _throttle_stream(t, 600)
 
 
 @query("alert_throttle_stream_whole", f"WITH RECURSIVE {_throttled(43200)} SELECT * FROM held")
 def alert_throttle_stream_whole(t):
-    """The stream with the responses that wait behind its last watermark."""
-    checkpoint = stage_path(t.spark, "throttle-offsets")
-    passed = run_to_parquet(_throttle_stream(t), "throttle", checkpoint=checkpoint)
-    return passed.unionByName(stateful.throttle_tail(t.spark, checkpoint))
+    """The same with a delay of 12 hours."""
+    return _throttle_stream(t, 43200)
+
+
+def _walked(rows: str, out: str, seconds: int) -> str:
+    """CTE ``out``: the responses among the alerts of ``rows``, step by step."""
+    return f"""
+{out}_i AS MATERIALIZED (SELECT server_name, alert_name, ts, min(event_id) AS event_id FROM {rows} GROUP BY 1, 2, 3),
+{out}_n AS MATERIALIZED (SELECT x.server_name, x.alert_name, x.ts, y.ts AS following FROM {out}_i x ASOF JOIN {out}_i y ON y.server_name = x.server_name AND y.alert_name = x.alert_name AND x.ts + INTERVAL '{seconds}' SECOND <= y.ts),
+{out}_w AS (SELECT server_name, alert_name, min(ts) AS ts FROM {out}_i GROUP BY 1, 2 UNION ALL SELECT n.server_name, n.alert_name, n.following FROM {out}_w w JOIN {out}_n n ON n.server_name = w.server_name AND n.alert_name = w.alert_name AND n.ts = w.ts),
+{out} AS (SELECT i.* FROM {out}_i i JOIN {out}_w w ON w.server_name = i.server_name AND w.alert_name = i.alert_name AND w.ts = i.ts)"""
+
+
+_DELIVERIES = ("ts < TIMESTAMP_NTZ '2024-01-10 00:00:00'", "ts >= TIMESTAMP_NTZ '2024-01-20 00:00:00'",
+               "ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00' AND ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'")
+
+
+@query("late_alerts", f"""
+WITH RECURSIVE {_MATCHED},
+due AS (SELECT server_name, alert_name, ts, event_id, ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AND ts <= (SELECT max(ts) FROM fx_alert_event) - INTERVAL '10' MINUTE AS late FROM matched WHERE delay_seconds > 0),
+punctual AS (SELECT * FROM due WHERE NOT late), {_walked("punctual", "given", 43200)},
+again AS (SELECT server_name, alert_name, ts, event_id FROM due WHERE late UNION ALL SELECT server_name, alert_name, ts, NULL FROM given), {_walked("again", "corrected", 43200)},
+all_keys AS (SELECT server_name, alert_name, count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS late FROM due GROUP BY 1, 2)
+SELECT *, (SELECT count(*) FROM given g WHERE g.server_name = k.server_name AND g.alert_name = k.alert_name) AS responses,
+  (SELECT count(event_id) FROM corrected c WHERE c.server_name = k.server_name AND c.alert_name = k.alert_name) AS corrections FROM all_keys k
+""")
+def late_alerts(t):
+    """Three deliveries of a stream, the last one late: rows on time, late rows, responses and corrections by alert."""
+    folder, path, checkpoint = (stage_path(t.spark, n) for n in ("deliveries", "late", "late-offsets"))
+    for part in _DELIVERIES:
+        t("events").where(part).write.mode("append").parquet(folder)
+        events = t.derive("fx_alert_event", {"events": read_files(t.spark, folder)})
+        alerts = _slower(a.alert_rule_match(events, a.standard_rules(t.spark)), 43200).where("delay_seconds > 0")
+        batches.route_late(alerts, "ts", path=path, checkpoint=checkpoint)
+    on_time, late = (batches.read_output(t.spark, path, n, alerts.schema) for n in ("on_time", "late"))
+    offsets = stage_path(t.spark, "throttle-offsets")
+    given = run_to_parquet(stateful.alert_throttle_stream(read_files(t.spark, f"{path}/on_time/*")), "throttle", checkpoint=offsets)
+    given = given.unionByName(stateful.throttle_tail(t.spark, offsets))
+    corrected = batches.late_corrections(given, late)
+    kinds = {"on_time": on_time, "late": late, "responses": given, "corrections": corrected}
+    counts = None
+    for name, rows in kinds.items():
+        one = rows.select(*a.ALERT, *[F.lit(int(name == k)).alias(k) for k in kinds])
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.groupBy(*a.ALERT).agg(*[F.sum(k).cast("bigint").alias(k) for k in kinds])
 
 
 @query("alert_occurrence_counter", f"""

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import events as e
 from fleetlens.plans.registry import query
+from fleetlens.session import stage_path
 from fleetlens.sources import shred
+from fleetlens.streaming import batches, rechecks
 from fleetlens.streaming import handlers as h
 from fleetlens.streaming.runs import read_files, run_to_parquet
 
@@ -170,6 +172,71 @@ def deadlock_events(t):
     return h.deadlock_events(_events(t))[0]
 
 
+def _together(name: str, where: str, alert: str, audit: str) -> str:
+    return f"""
+SELECT '{name} alert' AS output, server_name, event_id, post_time, {alert} AS text FROM ev WHERE {where}
+UNION ALL SELECT '{name} audit', server_name, event_id, post_time, {audit} FROM ev WHERE {where}"""
+
+
+@query("outputs_together", f"WITH {_EV} " + " UNION ALL ".join([
+    _together("deadlock", "event_type = 'DEADLOCK_GRAPH'", "html", "message_body"),
+    _together("deprecation", "event_type IN ('DEPRECATION_ANNOUNCEMENT', 'DEPRECATION_FINAL_SUPPORT') AND lower(database_name) <> 'msdb'", "html", "message_body"),
+    "SELECT 'quarantine', x.server_name, x.event_id, x.post_time, x.message_body FROM fx_server_event_xml x WHERE x.event_id % 97 = 13",
+]))
+def outputs_together(t):
+    """Five outputs of one read of the event stream: mails and audit rows of two families, and what could not be read."""
+    source = read_files(t.spark, f"{t.sf_dir}/events.parquet", files_per_trigger=4)
+    stream = shred.server_event_shred(t.derive("fx_server_event_xml", {"events": source}))
+
+    def outputs(batch, high):
+        deadlock, deprecation = h.deadlock_events(batch), h.deprecation_events(batch)
+        alert = lambda df: df.select("server_name", "event_id", "post_time", F.col("body").alias("text"))
+        audit = lambda df: df.select("server_name", "event_id", F.col("event_time").alias("post_time"), F.col("event_data").alias("text"))
+        return {
+            "deadlock alert": alert(deadlock[0]), "deadlock audit": audit(deadlock[1]),
+            "deprecation alert": alert(deprecation[0]), "deprecation audit": audit(deprecation[1]),
+            "quarantine": h.quarantined_events(batch).withColumnRenamed("message_body", "text"),
+        }
+
+    path = batches.run_together(stream, outputs)
+    rows = None
+    for name in ("deadlock alert", "deadlock audit", "deprecation alert", "deprecation audit", "quarantine"):
+        one = batches.read_output(t.spark, path, name, "server_name string, event_id bigint, post_time timestamp_ntz, text string")
+        one = one.select(F.lit(name).alias("output"), "*")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+_VERDICTS = "CASE WHEN state_desc = 'ONLINE' THEN 1 WHEN state_desc = '' THEN 2 WHEN state_desc IN ('OFFLINE', 'RECOVERY PENDING', 'SUSPECT', 'EMERGENCY') THEN 3 ELSE 0 END"
+_OUTCOMES = f"""
+WITH r AS (SELECT server_name, database_name, event_id, post_time, post_time + INTERVAL '2' DAY AS until FROM fx_restore_event WHERE event_type = 'AUDIT_BACKUP_RESTORE_EVENT' AND event_subclass = 2 AND command_text NOT ILIKE '%NORECOVERY%'),
+s AS (SELECT server_name, database_name, snapshot_time, max({_VERDICTS}) AS verdict FROM fx_database_state GROUP BY 1, 2, 3),
+m AS (SELECT r.event_id, min(snapshot_time) FILTER (verdict > 0) AS decided_at, arg_min(verdict, snapshot_time) FILTER (verdict > 0) AS verdict, count(snapshot_time) AS n
+  FROM r LEFT JOIN s ON s.server_name = r.server_name AND s.database_name = r.database_name AND s.snapshot_time BETWEEN r.post_time AND r.until GROUP BY 1),
+o AS (SELECT r.*, coalesce(decided_at, until) AS ended_at, CASE WHEN verdict = 1 THEN 'online' WHEN verdict = 2 THEN 'unknown' WHEN verdict = 3 THEN 'not online' WHEN n > 0 THEN 'unfinished' ELSE 'gone' END AS outcome FROM r JOIN m USING (event_id))
+SELECT server_name, database_name, event_id, post_time, outcome, ended_at, CASE outcome WHEN 'not online' THEN 'Restored database is not ONLINE:' WHEN 'unknown' THEN 'Database state is unknown:' WHEN 'gone' THEN 'Restored database no longer exists:'
+  WHEN 'unfinished' THEN 'Restore has not ended in time:' END AS reason FROM o
+"""
+
+
+@query("restore_outcomes", _OUTCOMES)
+def restore_outcomes(t):
+    """Restores followed through the snapshots of the database states."""
+    return rechecks.restore_outcomes(rechecks.followed_restores(t("fx_restore_event")), t("fx_database_state"), timeout="2 days")
+
+
+@query("restore_outcomes_stream", _OUTCOMES)
+def restore_outcomes_stream(t):
+    """The same as a stream of restores and one of snapshots; what is still open is judged by what the state holds."""
+    source = lambda: read_files(t.spark, f"{t.sf_dir}/events.parquet", files_per_trigger=4)
+    restores = rechecks.followed_restores(t.derive("fx_restore_event", {"events": source()}))
+    states = t.derive("fx_database_state", {"events": source()})
+    offsets = stage_path(t.spark, "restores-offsets")
+    stream = rechecks.restore_outcomes_stream(restores, states, timeout_seconds=2 * 86400)
+    ended = run_to_parquet(stream, "restores", checkpoint=offsets)
+    return ended.unionByName(rechecks.open_outcomes(t.spark, offsets, timeout="2 days"))
+
+
 @query("deadlock_audit", f"WITH {_EV} SELECT server_name, event_id, event_type AS event_name, message_body AS event_data, post_time AS event_time FROM ev WHERE event_type = 'DEADLOCK_GRAPH'")
 def deadlock_audit(t):
     return h.deadlock_events(_events(t))[1]

@@ -204,6 +204,20 @@ SELECT concat('srv', cast(event_id % 3 AS varchar(10))) AS server_name, event_id
 FROM {events}
 """
 
+# restores and state snapshots of 150 databases, from the event rows
+VIEWS["fx_restore_event"] = """
+SELECT concat('srv', cast(event_id % 3 AS varchar(10))) AS server_name, concat('db', cast(user_id % 50 AS varchar(10))) AS database_name, event_id, ts AS post_time, false AS corrupt,
+  CASE WHEN event_id % 28 = 1 THEN 'AUDIT_LOGIN' ELSE 'AUDIT_BACKUP_RESTORE_EVENT' END AS event_type, cast(CASE WHEN event_id % 20 = 5 THEN 1 ELSE 2 END AS int) AS event_subclass,
+  CASE WHEN event_id % 12 = 9 THEN 'RESTORE DATABASE x WITH NORECOVERY' ELSE 'restore database x' END AS command_text
+FROM {events} WHERE event_id % 4 = 1
+"""
+
+VIEWS["fx_database_state"] = """
+SELECT concat('srv', cast(event_id % 3 AS varchar(10))) AS server_name, concat('db', cast(user_id % 50 AS varchar(10))) AS database_name, date_trunc('minute', ts) AS snapshot_time,
+  CASE cast(floor(event_id / 4) AS bigint) % 9 WHEN 0 THEN 'ONLINE' WHEN 1 THEN 'OFFLINE' WHEN 2 THEN 'SUSPECT' WHEN 3 THEN '' WHEN 4 THEN 'RECOVERING' ELSE 'RESTORING' END AS state_desc
+FROM {events} WHERE event_id % 4 <> 1
+"""
+
 VIEWS["fx_server_event_xml"] = """
 SELECT server_name, event_id, post_time,
   CASE WHEN event_id % 97 = 13 THEN '<EVENT_INSTANCE><EventType>BROKEN' ELSE

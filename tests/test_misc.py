@@ -175,4 +175,4 @@ def test_forbidden_changes_first_match(spark, at):
 
     df = spark.createDataFrame([("s", 1, at("2024-01-01 00:00:00"), xml)], "server_name string, event_id bigint, post_time timestamp_ntz, message_body string")
     row = h.alter_database_policy(shred.server_event_shred(df), environment="test").first()
-    assert row.violation == "Altering the RECOVERY model is not permitted in test environments."
+    assert row.violation == f"Altering the RECOVERY model is not permitted in test environments.\r\n\r\n{text}"
