@@ -47,7 +47,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MIN_DOCS = 30
 FIRST = 6  # bytes of the first prefix
 MAP_BITS = 26  # the bit maps take 2**26 bits = 8 MiB
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 21
 BLOCK_ROWS = 100_000  # counts of a block of terms
 TILE = 128  # sources of a tile
 TOP = 50
