@@ -13,6 +13,8 @@ DB = ["server_name", "database_name"]
 REPORT_DATABASES = ("ReportServer", "ReportServerTempDB")
 # fixed values: databases whose modules are not examined, and module kinds
 SKIPPED_DATABASES = ("master", "model", "msdb", "tempdb", "SSISDB", "distribution")
+REFERENCED = ["referenced_server_name", "referenced_database_name", "referenced_schema_name", "referenced_entity_name"]
+NODE = ["server_name", "database_name", "schema_name", "object_name"]
 MODULE_TYPES = ("P", "FN", "IF", "TF", "V", "TR")
 
 
@@ -104,12 +106,49 @@ def dependency_union(dependencies: DataFrame, modules: DataFrame) -> DataFrame:
     """Expression dependencies of all databases, vendor objects left out."""
     own = modules.where("is_ms_shipped = 0").select(*DB, "schema_name", "object_name")
     return dependencies.join(own, [*DB, "schema_name", "object_name"], "left_semi").select(
-        *DB, "schema_name", "object_name", "referenced_database_name", "referenced_entity_name"
+        *DB, "schema_name", "object_name", *REFERENCED
     )
 
 
+def dependency_closure(dependencies: DataFrame, *, default_schema: str = "dbo") -> DataFrame:
+    """All objects that each object depends on, directly or through others.
+
+    A reference without a server, database or schema means that of the object, and the default
+    schema.  Names are compared without regard to case.  Returns the object (server_name,
+    database_name, schema_name, object_name), what it needs (needed_*), ``depth``, the fewest steps
+    to it, and ``in_cycle``, whether the object needs itself.  Every round extends only the pairs
+    that the round before found, so the work is bounded by the result times the references of an object,
+    and a pair on a cycle is found once.
+    """
+    own = lambda c, d: F.lower(F.coalesce(F.col(c), d))
+    source = [F.lower(c).alias(c) for c in NODE]
+    target = [
+        own("referenced_server_name", F.col("server_name")).alias("needed_server_name"),
+        own("referenced_database_name", F.col("database_name")).alias("needed_database_name"),
+        own("referenced_schema_name", F.lit(default_schema)).alias("needed_schema_name"),
+        F.lower("referenced_entity_name").alias("needed_object_name"),
+    ]
+    needed = [f"needed_{c}" for c in NODE]
+    edges = cut(dependencies.select(*source, *target).dropna().distinct())
+    step = edges.select(*[F.col(c).alias(f"needed_{c}") for c in NODE], *[F.col(c).alias(f"_{c}") for c in needed])
+    fresh = pairs = edges.withColumn("depth", F.lit(1))
+    depth = 1
+    while not fresh.isEmpty():
+        depth += 1
+        found = fresh.drop("depth").join(step, needed).select(*NODE, *[F.col(f"_{c}").alias(c) for c in needed]).distinct()
+        fresh = cut(found.join(pairs, [*NODE, *needed], "left_anti").withColumn("depth", F.lit(depth)))
+        pairs = pairs.unionByName(fresh)
+        if depth % 8 == 0:  # the union of many small parts is put together now and then
+            pairs = cut(pairs)
+    itself = F.lit(True)
+    for c in NODE:
+        itself = itself & (F.col(c) == F.col(f"needed_{c}"))
+    circles = pairs.where(itself).select(*NODE, F.lit(True).alias("_circle"))
+    return pairs.join(circles, NODE, "left").select(*NODE, *needed, "depth", F.coalesce("_circle", F.lit(False)).alias("in_cycle"))
+
+
 def referenced_entities_collect(references: DataFrame, read_only: DataFrame) -> DataFrame:
-    """Collected references without system and read-only databases.
+    """Collected references without system and read-only databases, column-level rows and flags included.
 
     Rows of a module that failed are dropped silently.
     """

@@ -71,17 +71,64 @@ def lead_blockers(t):
     return k.lead_blockers(_edges(t))
 
 
-@query("blocking_chain_metrics", f"""
-WITH RECURSIVE {_EDGES},
-walk AS (SELECT blocked_process_id AS lead_id, server_name, monitor_loop, vic_spid, duration_ms FROM flagged WHERE is_lead_blocker
-  UNION ALL SELECT w.lead_id, f.server_name, f.monitor_loop, f.vic_spid, f.duration_ms FROM walk w JOIN flagged f ON f.server_name = w.server_name AND f.monitor_loop = w.monitor_loop AND f.blk_spid = w.vic_spid WHERE NOT f.is_lead_blocker),
-sums AS (SELECT lead_id, count(*) AS spids_blocked, cast(sum(duration_ms) AS bigint) AS total_duration_ms FROM walk GROUP BY 1)
-SELECT f.*, s.spids_blocked, s.total_duration_ms, s.total_duration_ms // s.spids_blocked AS avg_duration_ms FROM flagged f JOIN sums s ON s.lead_id = f.blocked_process_id
-""")
+def _metrics(flagged: str) -> str:
+    """Recursive walk from every lead; a path that meets itself marks its lead."""
+    return f"""
+WITH RECURSIVE {flagged},
+walk AS (SELECT blocked_process_id AS lead_id, server_name, monitor_loop, vic_spid, duration_ms, [blk_spid, vic_spid] AS path, false AS again FROM flagged WHERE is_lead_blocker
+  UNION ALL SELECT w.lead_id, f.server_name, f.monitor_loop, f.vic_spid, f.duration_ms, list_append(w.path, f.vic_spid), list_contains(w.path, f.vic_spid) FROM walk w
+    JOIN flagged f ON f.server_name = w.server_name AND f.monitor_loop = w.monitor_loop AND f.blk_spid = w.vic_spid WHERE NOT f.is_lead_blocker AND NOT w.again),
+sums AS (SELECT lead_id, bool_or(again) AS again, count(*) AS n, cast(sum(duration_ms) AS bigint) AS total FROM walk GROUP BY 1)
+SELECT f.*, CASE WHEN NOT again THEN n END AS spids_blocked, CASE WHEN NOT again THEN total END AS total_duration_ms, CASE WHEN NOT again THEN total // n END AS avg_duration_ms,
+  CASE WHEN again THEN 'cycle' ELSE 'complete' END AS chain_status FROM flagged f JOIN sums s ON s.lead_id = f.blocked_process_id
+"""
+
+
+# edges that close circles on one server: from a victim back to its blocker, and over three sessions
+_LOOPED = _EDGES.replace("flagged AS", """
+planted AS (SELECT * FROM edges
+  UNION ALL SELECT server_name, -blocked_process_id, post_time, monitor_loop, vic_spid, blk_spid, 7 FROM edges WHERE server_name = 'srv1' AND blocked_process_id % 40 = 27
+  UNION ALL SELECT x.server_name, -1000000000 - x.blocked_process_id, x.post_time, x.monitor_loop, x.vic_spid, y.blk_spid, 9 FROM edges x JOIN edges y ON y.server_name = x.server_name AND y.monitor_loop = x.monitor_loop AND y.blocked_process_id = x.blocked_process_id + 1
+    WHERE x.server_name = 'srv1' AND x.blocked_process_id % 60 = 31 AND x.vic_spid <> y.blk_spid),
+flagged AS""").replace("FROM edges e)", "FROM planted e)").replace("SELECT v.vic_spid FROM edges v", "SELECT v.vic_spid FROM planted v")
+
+
+def _looped(t):
+    edges = _edges(t)
+    here = edges.where("server_name = 'srv1'")
+    back = here.where("blocked_process_id % 40 = 27").select(
+        "server_name", (-F.col("blocked_process_id")).alias("blocked_process_id"), "post_time", "monitor_loop",
+        F.col("vic_spid").alias("blk_spid"), F.col("blk_spid").alias("vic_spid"), F.lit(7).cast("bigint").alias("duration_ms"),
+    )
+    following = here.select("server_name", "monitor_loop", (F.col("blocked_process_id") - 1).alias("blocked_process_id"), F.col("blk_spid").alias("_to"))
+    around = here.where("blocked_process_id % 60 = 31").join(following, ["server_name", "monitor_loop", "blocked_process_id"]).where("vic_spid <> _to").select(
+        "server_name", (-1_000_000_000 - F.col("blocked_process_id")).alias("blocked_process_id"), "post_time", "monitor_loop",
+        F.col("vic_spid").alias("blk_spid"), F.col("_to").alias("vic_spid"), F.lit(9).cast("bigint").alias("duration_ms"),
+    )
+    return edges.unionByName(back).unionByName(around)
+
+
+@query("blocking_chain_metrics", _metrics(_EDGES))
 def blocking_chain_metrics(t):
     return k.blocking_chain_metrics(k.lead_blockers(_edges(t)))
 
 
+@query("blocking_chain_status", _metrics(_LOOPED))
+def blocking_chain_status(t):
+    """Chains with cycles on one server: its leads above them get a status, all others their figures."""
+    return k.blocking_chain_metrics(k.lead_blockers(_looped(t)))
+
+
+@query("blocking_cycles", f"""
+WITH RECURSIVE {_LOOPED},
+reach AS (SELECT server_name, monitor_loop, blk_spid AS a, vic_spid AS b FROM planted UNION SELECT r.server_name, r.monitor_loop, r.a, p.vic_spid FROM reach r JOIN planted p ON p.server_name = r.server_name AND p.monitor_loop = r.monitor_loop AND p.blk_spid = r.b),
+mutual AS (SELECT x.server_name, x.monitor_loop, x.a, x.b FROM reach x JOIN reach y ON y.server_name = x.server_name AND y.monitor_loop = x.monitor_loop AND y.a = x.b AND y.b = x.a)
+SELECT server_name, monitor_loop, min(b) AS cycle_id, count(*) AS sessions, a AS spid FROM mutual GROUP BY server_name, monitor_loop, a
+""")
+def blocking_cycles(t):
+    return k.blocking_cycles(_looped(t))
+
+
 _DEADLOCK = """
 SELECT server_name, event_id, object_name, cast(cast(ts AS date) AS timestamp) + INTERVAL '1' HOUR * cast(event_id % 10 AS int) + INTERVAL '30' MINUTE - INTERVAL '5' HOUR AS timestamp,
   regexp_extract(event_data, '<deadlock>.*</deadlock>') AS xml_deadlock_report,

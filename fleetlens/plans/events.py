@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import events as e
 from fleetlens.plans.registry import query
 from fleetlens.session import stage_path
-from fleetlens.sources import shred
+from fleetlens.sources import documents, shred
 from fleetlens.streaming import batches, rechecks
 from fleetlens.streaming import handlers as h
 from fleetlens.streaming.runs import read_files, run_to_parquet
@@ -40,6 +40,33 @@ def ring_buffer_explode(t):
     return shred.ring_buffer_explode(t("fx_ring_xml"))
 
 
+_DOCUMENTS = f"""
+SELECT 'srv' || ((event_id // 20) % 3) AS server_name, 'error_reported' AS object_name, cast(cast(ts AS date) AS timestamp) AS timestamp, event_type AS category, 'db' || (event_id % 50) AS database_name,
+  {_NUMBER} AS error_number, {_MESSAGE} AS message, {_SEVERITY} AS severity, event_id % 2 = 0 AS user_defined, 'u' || user_id AS username FROM events
+"""
+_DOCUMENT_COLUMNS = ["server_name", "object_name", "timestamp", "category", "database_name", "error_number", "message", "severity", "user_defined", "username"]
+
+
+def _exported(t) -> str:
+    """Ring-buffer documents as text files by server, as an export leaves them."""
+    folder = stage_path(t.spark, "exported")
+    t("fx_ring_xml").select("server_name", F.col("target_data").alias("value")).write.partitionBy("server_name").text(folder)
+    return folder
+
+
+@query("event_documents", _DOCUMENTS)
+def event_documents(t):
+    rows = documents.named_events(documents.event_documents(t.spark, _exported(t)))
+    return shred.error_event_shred(rows).select(*_DOCUMENT_COLUMNS)
+
+
+@query("event_documents_stream", _DOCUMENTS)
+def event_documents_stream(t):
+    """The same files as a stream, through a checkpointed sink."""
+    rows = documents.named_events(documents.event_documents(t.spark, _exported(t), stream=True, files_per_trigger=4))
+    return run_to_parquet(shred.error_event_shred(rows).select(*_DOCUMENT_COLUMNS), "documents")
+
+
 @query("error_event_filter", f"SELECT event_id, {_NUMBER} AS error_number, {_SEVERITY} AS severity FROM events WHERE 8 + event_id % 16 > 10 AND 18400 + event_id % 100 <> 18456")
 def error_event_filter(t):
     rows = shred.error_event_shred(t("fx_error_xml"))

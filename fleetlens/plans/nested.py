@@ -45,15 +45,29 @@ def dma_summary_headers(t):
 
 
 @query("dependency_union", """
-SELECT d.server_name, d.database_name, d.schema_name, d.object_name, d.referenced_database_name, d.referenced_entity_name FROM fx_dependency d
+SELECT d.server_name, d.database_name, d.schema_name, d.object_name, d.referenced_server_name, d.referenced_database_name, d.referenced_schema_name, d.referenced_entity_name FROM fx_dependency d
 WHERE EXISTS (SELECT 1 FROM fx_module m WHERE m.is_ms_shipped = 0 AND m.server_name = d.server_name AND m.database_name = d.database_name AND m.object_name = d.object_name)
 """)
 def dependency_union(t):
     return n.dependency_union(t("fx_dependency"), t("fx_module"))
 
 
+@query("dependency_closure", """
+WITH RECURSIVE e AS (SELECT DISTINCT server_name AS s, database_name AS d, schema_name AS c, object_name AS o, coalesce(referenced_server_name, server_name) AS s2, coalesce(referenced_database_name, database_name) AS d2,
+  coalesce(referenced_schema_name, 'dbo') AS c2, referenced_entity_name AS o2 FROM fx_object_reference),
+r AS (SELECT *, 1 AS depth FROM e UNION SELECT r.s, r.d, r.c, r.o, e.s2, e.d2, e.c2, e.o2, r.depth + 1 FROM r JOIN e ON e.s = r.s2 AND e.d = r.d2 AND e.c = r.c2 AND e.o = r.o2 WHERE r.depth < 40),
+m AS (SELECT s, d, c, o, s2, d2, c2, o2, min(depth) AS depth FROM r GROUP BY ALL)
+SELECT s AS server_name, d AS database_name, c AS schema_name, o AS object_name, s2 AS needed_server_name, d2 AS needed_database_name, c2 AS needed_schema_name, o2 AS needed_object_name, depth,
+  EXISTS (SELECT 1 FROM m x WHERE x.s = m.s AND x.d = m.d AND x.c = m.c AND x.o = m.o AND x.s2 = m.s AND x.d2 = m.d AND x.c2 = m.c AND x.o2 = m.o) AS in_cycle FROM m
+""")
+def dependency_closure(t):
+    """What every object depends on through others, over databases and servers."""
+    return n.dependency_closure(t("fx_object_reference"))
+
+
 @query("referenced_entities_collect", """
-SELECT server_name, database_name, schema_name, object_name, referenced_entity_name, referenced_database_name FROM fx_dependency d
+SELECT server_name, database_name, schema_name, object_name, referencing_minor_id, referenced_server_name, referenced_database_name, referenced_schema_name, referenced_entity_name, referenced_minor_name, referenced_id,
+  referenced_minor_id, referenced_class, referenced_class_desc, is_caller_dependent, is_ambiguous, is_selected, is_updated, is_select_all, is_all_columns_found, is_insert_all, is_incomplete FROM fx_dependency d
 WHERE NOT EXISTS (SELECT 1 FROM fx_databases b WHERE b.is_read_only = 1 AND b.server_name = d.server_name AND b.database_name = d.database_name)
   AND NOT EXISTS (SELECT 1 FROM fx_dependency f WHERE f.err_msg IS NOT NULL AND f.server_name = d.server_name AND f.database_name = d.database_name AND f.object_name = d.object_name)
 """)

@@ -476,10 +476,26 @@ FROM {region} JOIN {nation} ON n_regionkey = r_regionkey JOIN {supplier} ON s_na
 VIEWS["fx_dependency"] = """
 SELECT concat('srv', cast(l_suppkey % 3 AS varchar(10))) AS server_name, concat('db', cast(l_suppkey % 5 AS varchar(10))) AS database_name, 'dbo' AS schema_name, concat('o', cast(l_suppkey AS varchar(10))) AS object_name,
   concat('r', cast(l_partkey % 40 AS varchar(10))) AS referenced_entity_name, CASE WHEN l_partkey % 7 = 0 THEN 'other' ELSE NULL END AS referenced_database_name,
+  CASE WHEN l_partkey % 7 = 6 THEN 'link1' ELSE NULL END AS referenced_server_name, CASE WHEN l_partkey % 40 % 3 = 2 THEN NULL ELSE concat('s', cast(l_partkey % 40 % 2 AS varchar(10))) END AS referenced_schema_name,
+  cast(CASE WHEN l_partkey % 7 = 3 THEN 1 ELSE 0 END AS int) AS referencing_minor_id, cast(100 + l_partkey % 40 AS int) AS referenced_id,
+  cast(CASE WHEN l_partkey % 7 > 2 THEN l_partkey % 7 ELSE 0 END AS int) AS referenced_minor_id, CASE WHEN l_partkey % 7 > 2 THEN concat('c', cast(l_partkey % 7 AS varchar(10))) ELSE NULL END AS referenced_minor_name,
+  cast(CASE WHEN l_partkey % 40 = 11 THEN 6 ELSE 1 END AS int) AS referenced_class, CASE WHEN l_partkey % 40 = 11 THEN 'TYPE' ELSE 'OBJECT_OR_COLUMN' END AS referenced_class_desc,
+  l_partkey % 40 = 5 AS is_caller_dependent, l_partkey % 40 = 6 AS is_ambiguous, l_partkey % 7 <> 4 AS is_selected, l_partkey % 7 = 4 AS is_updated, l_partkey % 40 = 7 AS is_select_all,
+  l_partkey % 40 <> 8 AS is_all_columns_found, l_partkey % 40 = 9 AS is_insert_all, l_partkey % 40 = 10 AS is_incomplete,
   CASE WHEN l_suppkey % 9 = 4 AND l_partkey % 7 = 0 THEN 'cannot resolve' ELSE NULL END AS err_msg
 FROM {lineitem} GROUP BY l_suppkey, l_partkey % 40, l_partkey % 7
 """
 
+# every object refers to those with half and a third of its number, some over databases and servers; a few refer back
+VIEWS["fx_object_reference"] = """
+SELECT concat('srv', cast(k % 3 AS varchar(10))) AS server_name, concat('db', cast(k % 4 AS varchar(10))) AS database_name, 'dbo' AS schema_name, concat('o', cast(k AS varchar(10))) AS object_name,
+  CASE WHEN k % 3 = r % 3 THEN NULL ELSE concat('srv', cast(r % 3 AS varchar(10))) END AS referenced_server_name,
+  CASE WHEN k % 3 = r % 3 AND k % 4 = r % 4 THEN NULL ELSE concat('db', cast(r % 4 AS varchar(10))) END AS referenced_database_name,
+  CASE WHEN r % 5 = 0 THEN NULL ELSE 'dbo' END AS referenced_schema_name, concat('o', cast(r AS varchar(10))) AS referenced_entity_name
+FROM (SELECT p_partkey AS k, cast(floor(p_partkey / 2) AS bigint) AS r FROM {part} UNION SELECT p_partkey, cast(floor(p_partkey / 3) AS bigint) FROM {part} WHERE p_partkey % 2 = 1
+  UNION SELECT p_partkey, p_partkey * 2 FROM {part} WHERE p_partkey % 50 = 1) pairs WHERE r > 0
+"""
+
 VIEWS["fx_module"] = """
 SELECT concat('srv', cast(s_suppkey % 3 AS varchar(10))) AS server_name, concat('db', cast(s_suppkey % 5 AS varchar(10))) AS database_name, 'dbo' AS schema_name, concat('o', cast(s_suppkey AS varchar(10))) AS object_name,
   CASE s_suppkey % 8 WHEN 0 THEN 'P' WHEN 1 THEN 'FN' WHEN 2 THEN 'IF' WHEN 3 THEN 'TF' WHEN 4 THEN 'V' WHEN 5 THEN 'TR' WHEN 6 THEN 'U' ELSE NULL END AS type,
