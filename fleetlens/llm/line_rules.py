@@ -7,6 +7,9 @@ rejected.  Document statistics (words, symbols, repeated lines and repeated 3-wo
 windows) form the base verdict.  Everything is an expression over the row, so the
 operator is one scan without a shuffle.
 
+Words of a line are counted as those of the text, so a carriage return or a tab at either end
+changes no verdict.  A text of any length is read whole.
+
 Defined cases: a null, empty or blank text has no words and fails the base rules;
 repeated rows are judged alike; an empty table gives an empty result.
 """
@@ -41,7 +44,7 @@ def _count(text: Column, pattern: str) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line breaks one of the rules; a blank line never does."""
-    words = F.size(F.split(F.trim(line), r"[\x20\x09-\x0D]+"))
+    words = _count(line, WORD)
     bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
     shouts = _count(line, r"!!")
@@ -135,7 +138,7 @@ g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i +
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
 p AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM g WHERE n > 1) GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-f AS (SELECT doc_id, line, len(string_split_regex(trim(line), '[\x20\x09-\x0D]+')) AS nw,
+f AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw,
     len(line) - len(replace(line, '|', '')) AS bars, len(line) - len(translate(line, '{SYMBOLS}', '')) AS sym,
     len(regexp_extract_all(line, '!!')) AS sh FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 v AS (SELECT *, (bars >= 2 AND bars * 3 >= nw) OR (sym >= 3 AND sym * 2 >= nw) OR (sh >= 3 AND sh * 2 >= nw)

@@ -49,6 +49,20 @@ def test_verdicts_by_line(spark):
     assert rows[6].clean_text == prose and rows[7].n_words == 0
 
 
+def test_line_ends_and_tabs_change_no_verdict(spark):
+    line = " ".join(f"v{j}" for j in range(11))
+    twelve = line + " v11"
+    text = lambda one, end, lead: "".join(f"{lead}{one} n{i}x.{end}" if i < 9 else f"{lead}{one}{end}" for i in range(18))
+    rows = judged(spark, [text(one, end, lead) for one in (line, twelve) for end in ("\n", "\r\n", " \r\n") for lead in ("", "\t", " ")])
+    assert {r.n_failed_lines for r in rows[:9]} == {0} and {r.n_failed_lines for r in rows[9:]} == {9}
+
+
+def test_repeated_rows_are_judged_alike(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", 1)] * 3 + [(None, "a b c", "x", 1)], SCHEMA)
+    rows = q.judge_lines(df).drop("doc_id").collect()
+    assert len(rows) == 4 and len(set(rows)) == 1
+
+
 def test_empty_table(spark):
     assert judged(spark, ["x"])[0].base_failed
     assert q.judge_lines(spark.createDataFrame([], SCHEMA)).count() == 0
