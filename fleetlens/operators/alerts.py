@@ -123,15 +123,26 @@ def alert_occurrence_counter(alerts: DataFrame, responses: DataFrame, *, reset_a
     )
 
 
-def alert_notification_routing(servers: DataFrame, existing: DataFrame, alert_names: list[str], operators: list[str]) -> DataFrame:
-    """(server, alert, operator) that still lack a notification.
+def notified(name: Column) -> Column:
+    """Alerts that operators are told of: severities 17 to 25 and the read errors 823 to 825, by name."""
+    return name.between("17", "26") | name.between("Error 823", "Error 825")
 
-    The two lists are short configuration; each server row is exploded over them.
+
+def alert_notification_routing(alerts: DataFrame, existing: DataFrame, operators: dict[str, int]) -> DataFrame:
+    """What brings every wanted alert to every operator by the operator's method.
+
+    ``alerts`` (server_name, alert_name) are the alerts defined on the servers, ``existing`` (server_name,
+    alert_name, operator_name, method) the notifications there are, ``operators`` the wanted operators with
+    their method.  Returns server_name, alert_name, operator_name, method and action: 'add' where the
+    notification is missing, 'update' where it exists, since it may have another method.  Notifications
+    of other operators stay as they are and are not listed.
     """
-    wanted = servers.select("server_name").distinct().select(
-        "server_name", F.explode(F.array(*[F.lit(a) for a in alert_names])).alias("alert_name")
-    ).select("*", F.explode(F.array(*[F.lit(o) for o in operators])).alias("operator_name"))
-    return wanted.join(existing, ["server_name", "alert_name", "operator_name"], "left_anti")
+    people = F.array(*[F.struct(F.lit(o).alias("operator_name"), F.lit(m).alias("method")) for o, m in operators.items()])
+    wanted = alerts.where(notified(F.col("alert_name"))).select("server_name", "alert_name").distinct()
+    wanted = wanted.select("*", F.inline(people))
+    key = ["server_name", "alert_name", "operator_name"]
+    there = existing.select(*key).distinct().withColumn("_there", F.lit(True))
+    return wanted.join(there, key, "left").select(*key, "method", F.when(F.col("_there"), "update").otherwise("add").alias("action"))
 
 
 def notification_text(alerts: DataFrame, *, ignore_client: str | None = None) -> DataFrame:

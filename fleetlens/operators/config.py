@@ -30,22 +30,91 @@ CONFIG_ITEMS = (
 OPTIONAL_ITEM = "ALTER DATABASE - Temporary Allowed Logins"
 
 
+# fixed values: what an item is set to where a site says nothing else; {login}, {team}, {mail}, {host}, {domain},
+# {server} and {address} are filled in
+_YES = (
+    "Backup To Disk", "Database Mail Anonymous Authentication", "Alert Backup/Restore", "Alert Startup", "Alert Service Login Changed",
+    "Alert [sa] Login", "Cloned Server Check", "Alert DB Owner Changed", "Alert DBCC Command Issued", "Audit Security Events",
+    "Alert Security Events", "Backup To Disk - Archive", "Alert Instance Altered", "Alert Missing Backup Files",
+)
+_NO = ("Allow ALTER DATABASE", "Allow DROP DATABASE", "Allow Risky Server Roles", "Allow Risky Database Roles")
+_LOGIN_LISTS = (
+    "ALTER DATABASE - Allowed Logins", "DROP DATABASE - Allowed Logins", "ADD SERVER ROLE - Allowed Logins", "sp_addrolemember - Allowed Logins",
+)
+_FOLDERS = {"FULL": "Full", "DIFFERENTIAL": "Differential", "LOG": "Trx Log", "Archive": "Archive"}
+CONFIG_DEFAULTS = {
+    **dict.fromkeys(_YES, "1"), **dict.fromkeys(_NO, "0"), **dict.fromkeys(_LOGIN_LISTS, "{login}"),
+    **{f"Backup Path - {kind}": "\\\\{address}\\Backup Path\\{domain}\\{server}\\" + folder for kind, folder in _FOLDERS.items()},
+    **{f"Database Mail Address{profile}": "{mail}" for profile in ("", " - Default", " - DBA", " - Security")},
+    **{f"Database Mail Display Name{profile}": "{team}" for profile in ("", " - Default", " - DBA", " - Security")},
+    **{f"Database Mail Reply To Address{profile}": "{mail}" for profile in ("", " - Default", " - DBA", " - Security")},
+    "Backup File Keep Days": "27", "Available Disk Space Threshold": "2048", "Backup History Keep Days": "1120", "Job History Keep Days": "370",
+    "domain DBA Team Operator Name": "{team}", "domain DBA Team Operator Email": "{mail}", "Database Mail Server": "{host}",
+    "SQL DB Engine Login": "{login}", "SQL Agent Login": "{login}", "Trace Flags": "1118, 3226, 2371",
+    "Backup Retention Period Expression": "DATEADD(wk, -14, CURRENT_TIMESTAMP)", "Backup WITH ENCRYPTION": "{encryption}",
+    "Backup Encryption - Server Certificate": "{certificate}",
+}
+_FLAG = "(BIT) 1 = yes, 0 = no. "
+
+
+def describe(item: str) -> str:
+    """What an item means, in words; the kind of its value first."""
+    special = {
+        "Backup File Keep Days": "(INT) Days that backup files stay on disk.", "Available Disk Space Threshold": "(INT) Free megabytes of a drive below which an alert is sent.",
+        "Backup History Keep Days": "(INT) Days that backup history is kept.", "Job History Keep Days": "(INT) Days that job history is kept.",
+        "domain DBA Team Operator Name": "Operator that stands for the DBA team.", "domain DBA Team Operator Email": "Mail addresses of that operator, separated by semicolons.",
+        "Trace Flags": "csv list of the trace flags set at every start.", "Backup Retention Period Expression": "Expression of the time from which backup files are kept, archives excepted.",
+        "Backup Encryption - Server Certificate": "Certificate that encrypts backups.", "Database Mail Server": "Name or address of the mail server.",
+        "SQL DB Engine Login": "Logins of the engine service, with variations.", "SQL Agent Login": "Logins of the agent service, with variations.",
+    }
+    if item in special:
+        return special[item]
+    if item.startswith("Backup Path - "):
+        return f"Path where {item.removeprefix('Backup Path - ')} backups are written."
+    if item.endswith("Allowed Logins"):
+        return f"csv list of logins that may use {item.split(' - ')[0]}" + (" for a time." if "Temporary" in item else ".")
+    if item.startswith("Database Mail") and item in CONFIG_DEFAULTS and CONFIG_DEFAULTS[item] != "1":
+        field, _, profile = item.removeprefix("Database Mail ").partition(" - ")
+        return f"{field} of the mail account {profile or 'without a profile'}."
+    return _FLAG + item
+
+
+def config_items(items: tuple[str, ...] = CONFIG_ITEMS, defaults: dict[str, str] = CONFIG_DEFAULTS) -> list[tuple[str, str, str | None]]:
+    """(name, description, default) of every item; a default may hold names in braces."""
+    return [(i, describe(i), defaults.get(i)) for i in items]
+
+
 def config_seed(config: DataFrame, servers: DataFrame, *, items: tuple[str, ...] = CONFIG_ITEMS) -> DataFrame:
-    """The configuration with the items each server still lacks, as empty values.
+    """The configuration with the items each server still lacks, as empty values, all with their description.
 
-    The item list is short; every server row is exploded over its distinct names.
+    The item list is short; every server row is exploded over its distinct names.  Items off
+    the list keep their rows and have no description.
     """
     names = F.array_distinct(F.array(*[F.lit(i) for i in items]))
     wanted = servers.select("server_id").distinct().select("server_id", F.explode(names).alias("name"))
     missing = wanted.join(config, ["server_id", "name"], "left_anti").withColumn("value", F.lit(""))
-    return config.unionByName(missing)
+    words = F.create_map(*[F.lit(x) for i in dict.fromkeys(items) for x in (i, describe(i))])
+    return config.unionByName(missing).withColumn("description", words[F.col("name")])
+
 
+def config_fill(config: DataFrame, servers: DataFrame, *, site: dict[str, str], defaults: dict[str, str] = CONFIG_DEFAULTS) -> DataFrame:
+    """Empty values take the default of their item, others stay.
 
-def config_fill(config: DataFrame, defaults: dict[str, str]) -> DataFrame:
-    """Empty values take the default of their item, others stay."""
+    ``servers`` (server_id and one column for each name in braces that depends on the server) and
+    ``site`` (the other names) fill the braces of a default; a null there leaves the value empty.
+    The item of temporary logins has no default, so that a value set elsewhere is not lost.
+    """
     default = F.create_map(*[F.lit(x) for pair in defaults.items() for x in pair])[F.col("name")]
+    own = [c for c in servers.columns if c != "server_id"]
+    facts = servers.groupBy("server_id").agg(*[F.max(F.col(c).cast("string")).alias(f"_{c}") for c in own])
+    for name, value in [*[(c, F.col(f"_{c}")) for c in own], *[(k, F.lit(v)) for k, v in site.items()]]:
+        mark = F.lit("{" + name + "}")
+        default = F.replace(default, mark, F.coalesce(value, mark))
     empty = F.col("value").isNull() | (F.col("value") == "")
-    return config.withColumn("value", F.when(empty, F.coalesce(default, F.col("value"))).otherwise(F.col("value")))
+    known = config.join(facts, "server_id", "left").withColumn("_default", default)
+    # a name that is not known is still in braces
+    usable = F.nullif(F.regexp_replace("_default", r"^.*\{\w+\}.*$", ""), F.lit(""))
+    return known.withColumn("value", F.when(empty, F.coalesce(usable, F.col("value"))).otherwise(F.col("value"))).select(*config.columns)
 
 
 def config_gaps(config: DataFrame, *, optional: tuple[str, ...] = (OPTIONAL_ITEM,)) -> DataFrame:

@@ -138,20 +138,26 @@ def alert_occurrence_counter(t):
     return a.alert_occurrence_counter(alerts, a.alert_throttle(alerts), reset_at=ts("2024-01-20 00:00:00"))
 
 
-_NAMES = ["17-Insufficient Resources", "18-Nonfatal Internal Error", "19-Fatal Error in Resource", "Error 823", "Error 825"]
-_OPERATORS = ["DBA team", "Pager"]
+_OPERATORS = {"DBA team": 1, "Pager": 2}
 
 
 @query("alert_notification_routing", f"""
 WITH {_MATCHED},
-wanted AS (SELECT s.server_name, n.alert_name, o.operator_name FROM (SELECT DISTINCT server_name FROM fx_alert_event) s, (VALUES {', '.join(f"('{n}')" for n in _NAMES)}) n(alert_name), (VALUES ('DBA team'), ('Pager')) o(operator_name))
-SELECT * FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.server_name = w.server_name AND m.alert_name = w.alert_name AND w.operator_name = CASE WHEN m.description LIKE 'x CLIENT%' THEN 'Pager' ELSE 'DBA team' END AND m.event_class = 'DATA_FILE_AUTO_GROW')
+defined AS (SELECT DISTINCT s.server_name, r.alert_name FROM (SELECT DISTINCT server_name FROM fx_alert_event) s, rules r),
+known AS (SELECT DISTINCT server_name, alert_name, CASE WHEN description LIKE 'x CLIENT%' THEN 'Pager' WHEN event_id % 5 = 0 THEN 'Other' ELSE 'DBA team' END AS operator_name FROM matched WHERE event_id % 50 = 7 OR event_id % 5 = 0 AND event_id % 35 = 0)
+SELECT d.server_name, d.alert_name, o.operator_name, o.method, CASE WHEN k.alert_name IS NULL THEN 'add' ELSE 'update' END AS action
+FROM defined d JOIN (VALUES ('DBA team', 1), ('Pager', 2)) o(operator_name, method) ON true LEFT JOIN known k ON k.server_name = d.server_name AND k.alert_name = d.alert_name AND k.operator_name = o.operator_name
+WHERE substr(d.alert_name, 1, 2) IN ('17', '18', '19', '20', '21', '22', '23', '24', '25') OR d.alert_name = '26' OR substr(d.alert_name, 1, 9) IN ('Error 823', 'Error 824') OR d.alert_name = 'Error 825'
 """)
 def alert_notification_routing(t):
-    existing = _matched(t).where("event_class = 'DATA_FILE_AUTO_GROW'").select(
-        "server_name", "alert_name", F.when(F.col("description").like("x CLIENT%"), "Pager").otherwise("DBA team").alias("operator_name")
-    ).distinct()
-    return a.alert_notification_routing(t("fx_alert_event"), existing, _NAMES, _OPERATORS)
+    """All alerts of the rule set on every server, against notifications known from all kinds of alerts."""
+    rules = a.standard_rules(t.spark).select("alert_name").distinct()
+    defined = t("fx_alert_event").select("server_name").distinct().join(F.broadcast(rules))  # one row a server and rule
+    method = F.when(F.col("event_id") % 2 == 0, 1).otherwise(4)
+    name = F.when(F.col("description").like("x CLIENT%"), "Pager").when(F.col("event_id") % 5 == 0, "Other").otherwise("DBA team")
+    some = (F.col("event_id") % 50 == 7) | ((F.col("event_id") % 5 == 0) & (F.col("event_id") % 35 == 0))
+    known = _matched(t).where(some).select("server_name", "alert_name", name.alias("operator_name"), method.alias("method"))
+    return a.alert_notification_routing(defined, known, _OPERATORS)
 
 
 @query("notification_text", """

@@ -10,13 +10,26 @@ from fleetlens.plans.registry import query
 from fleetlens.session import stage_path
 from fleetlens.sources import files, shred
 
-_ITEMS = "items(name) AS (VALUES " + ", ".join("('" + i.replace("'", "''") + "')" for i in c.CONFIG_ITEMS) + ")"
+def _text(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+_ITEMS = "items(name, description, standard) AS (VALUES " + ", ".join(
+    "(" + ", ".join(_text(v) for v in item) + ")" for item in c.config_items()
+) + ")"
 _SEED = f"""{_ITEMS},
-seeded AS (SELECT server_id, name, value FROM fx_config UNION ALL SELECT s.c_custkey, i.name, '' FROM customer s JOIN items i ON true WHERE NOT EXISTS (SELECT 1 FROM fx_config f WHERE f.server_id = s.c_custkey AND f.name = i.name))
+seeded AS (SELECT f.server_id, f.name, f.value, i.description FROM fx_config f LEFT JOIN items i ON i.name = f.name
+  UNION ALL SELECT s.c_custkey, i.name, '', i.description FROM customer s JOIN items i ON true WHERE NOT EXISTS (SELECT 1 FROM fx_config f WHERE f.server_id = s.c_custkey AND f.name = i.name))
 """
-_DEFAULTS = {"Backup To Disk": "1", "Backup File Keep Days": "27", "Backup Path - FULL": "E:\\Backup", "Job History Keep Days": "370"}
+_SITE = {
+    "login": "dom\\DBA,dom\\admin", "team": "DBA Team", "mail": "dba@example.com", "host": "smtp.example.com", "domain": "DOM", "certificate": "BackupCertificate",
+}
+_FULL = "i.standard"
+for _name, _value in _SITE.items():
+    _FULL = f"replace({_FULL}, '{{{_name}}}', '{_value}')"
 _FILLED = f"""{_SEED},
-filled AS (SELECT server_id, name, CASE WHEN value IS NULL OR value = '' THEN coalesce(CASE name {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _DEFAULTS.items())} END, value) ELSE value END AS value FROM seeded)
+filled AS (SELECT e.server_id, e.name, CASE WHEN coalesce(e.value, '') <> '' THEN e.value ELSE coalesce(CASE WHEN s.c_custkey % 3 = 0 AND contains(i.standard, '{{address}}') THEN NULL
+    ELSE replace(replace(replace({_FULL}, '{{server}}', s.c_name), '{{address}}', '10.' || s.c_nationkey || '.0.1'), '{{encryption}}', cast(s.c_custkey % 2 AS varchar)) END, e.value) END AS value, e.description FROM seeded e LEFT JOIN items i ON i.name = e.name LEFT JOIN customer s ON s.c_custkey = e.server_id)
 """
 
 
@@ -24,6 +37,15 @@ def _seed(t):
     return c.config_seed(t("fx_config"), t("customer").select(F.col("c_custkey").alias("server_id")))
 
 
+def _fill(t):
+    servers = t("customer").select(
+        F.col("c_custkey").alias("server_id"), F.col("c_name").alias("server"),
+        F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("10."), "c_nationkey", F.lit(".0.1"))).alias("address"),
+        (F.col("c_custkey") % 2).alias("encryption"),
+    )
+    return c.config_fill(_seed(t), servers, site=_SITE)
+
+
 @query("config_seed", f"WITH {_SEED} SELECT * FROM seeded")
 def config_seed(t):
     return _seed(t)
@@ -31,12 +53,13 @@ def config_seed(t):
 
 @query("config_fill", f"WITH {_FILLED} SELECT * FROM filled")
 def config_fill(t):
-    return c.config_fill(_seed(t), _DEFAULTS)
+    return _fill(t)
 
 
 @query("config_gaps", f"WITH {_FILLED} SELECT * FROM filled WHERE coalesce(value, '') = '' AND name <> 'ALTER DATABASE - Temporary Allowed Logins'")
 def config_gaps(t):
-    return c.config_gaps(c.config_fill(_seed(t), _DEFAULTS))
+    """Backup paths stay empty where the address of a server is not known."""
+    return c.config_gaps(_fill(t))
 
 
 _ASKED = "CASE WHEN o_orderkey % 2 = 0 THEN 'Alert Security Events' ELSE 'Trace Flags' END"

@@ -154,12 +154,33 @@ def test_union_sources(spark, rows):
 
 
 def test_config_fill_and_gaps(spark, rows):
-    config = spark.createDataFrame([(1, "A", ""), (1, "B", None), (1, "C", "x"), (1, c.OPTIONAL_ITEM, "")], "server_id bigint, name string, value string")
-    filled = c.config_fill(config, {"A": "1", "C": "9"})
-    assert rows(filled) == sorted([(1, "A", "1"), (1, "B", None), (1, "C", "x"), (1, c.OPTIONAL_ITEM, "")], key=lambda r: tuple(map(str, r)))
-    assert rows(c.config_gaps(filled), "name") == [("B",)]
-    seeded = c.config_seed(config, config, items=("A", "Z", "Z"))
-    assert seeded.where("name = 'Z'").count() == 1
+    values = [(1, "A", ""), (1, "B", None), (1, "C", "x"), (1, "P", ""), (2, "P", ""), (1, c.OPTIONAL_ITEM, "")]
+    config = spark.createDataFrame(values, "server_id bigint, name string, value string")
+    servers = spark.createDataFrame([(1, "one"), (2, None), (3, "three")], "server_id bigint, server string")
+    filled = c.config_fill(config, servers, site={"host": "h"}, defaults={"A": "1", "C": "9", "P": "{host}/{server}"})
+    want = [(1, "A", "1"), (1, "B", None), (1, "C", "x"), (1, "P", "h/one"), (2, "P", ""), (1, c.OPTIONAL_ITEM, "")]
+    assert rows(filled) == sorted(want, key=lambda r: tuple(map(str, r)))
+    assert rows(c.config_gaps(filled), "name") == [("B",), ("P",)]
+    seeded = c.config_seed(config, config, items=("Trace Flags", "Z", "Z"))
+    assert rows(seeded.where("name IN ('Z', 'Trace Flags') AND server_id = 1"), "name", "description") == [
+        ("Trace Flags", "csv list of the trace flags set at every start."), ("Z", "(BIT) 1 = yes, 0 = no. Z")
+    ]
+
+
+def test_every_item_has_a_description_and_all_but_one_a_default():
+    items = c.config_items()
+    assert len(items) == len(set(i[0] for i in items)) == len(c.CONFIG_ITEMS) and all(i[1] for i in items)
+    assert [i[0] for i in items if i[2] is None] == [c.OPTIONAL_ITEM]
+
+
+def test_notifications_are_added_or_updated(spark, rows):
+    from fleetlens.operators import alerts as al
+
+    names = ["16-Other", "17-Low", "25-High", "26", "26-No", "Error 822", "Error 823", "Error 824", "Error 825", "Error 825x"]
+    alerts = spark.createDataFrame([("s", n) for n in names] * 2, "server_name string, alert_name string")
+    existing = spark.createDataFrame([("s", "17-Low", "DBA", 4), ("s", "17-Low", "Other", 1), ("t", "26", "DBA", 1)], "server_name string, alert_name string, operator_name string, method int")
+    got = rows(al.alert_notification_routing(alerts, existing, {"DBA": 1}), "alert_name", "method", "action")
+    assert got == [("17-Low", 1, "update"), ("25-High", 1, "add"), ("26", 1, "add"), ("Error 823", 1, "add"), ("Error 824", 1, "add"), ("Error 825", 1, "add")]
 
 
 def test_longest_prefix_wins(spark):
