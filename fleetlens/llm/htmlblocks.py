@@ -18,9 +18,13 @@ TAG = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-RAW = frozenset({"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "option", "button", "canvas", "audio", "video", "noframes", "xmp"})
+RAW = frozenset({"script", "style", "template", "textarea", "title", "iframe", "select", "option", "button", "noframes", "xmp"})
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "basefont", "frame"})
-INLINE = frozenset({"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img", "input", "nobr", "embed", "area", "picture", "source", "param", "track"})
+INLINE = frozenset({"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img", "input", "nobr", "embed", "area", "picture", "source", "param", "track", "svg", "math", "object", "audio", "video", "canvas"})
+# everything inside these belongs to the line they stand in
+FOREIGN = frozenset({"svg", "math"})
+# unless they are left open: these tags end them
+LEAVES = frozenset({"p", "div", "ul", "ol", "li", "dl", "dt", "dd", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main", "aside", "nav", "header", "footer", "form", "blockquote", "pre", "body"})
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset({"ul", "ol", "table", "dl", "div", "article", "section", "body", "main", "aside", "nav", "footer", "header", "form", "blockquote"})
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
@@ -44,14 +48,20 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], int]]:
     """(text, path, characters inside links) of every block that has text, in page order.
 
     A block is the text between two block tags; references are decoded and white space
-    becomes one space.
+    becomes one space.  Formulas, drawings and what stands in for media are text of their
+    block; text for readers without scripts is a block like any other.
     """
     out: list[tuple[str, tuple, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     seen: dict[tuple[str, str], tuple[str, ...]] = {}
     parts: list[str] = []
     path: tuple = ()
-    linked = links = at = 0
+    linked = links = at = foreign = 0
+
+    def close(i: int) -> None:
+        nonlocal foreign
+        foreign -= sum(t in FOREIGN for t, _ in stack[i:]) if foreign else 0
+        del stack[i:]
 
     def flush() -> None:
         nonlocal linked
@@ -85,33 +95,40 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], int]]:
         if not tag:
             continue
         tag = tag.lower()
+        if foreign and tag in LEAVES:
+            close(next(i for i, (t, _) in enumerate(stack) if t in FOREIGN))
         if m[1]:
-            if tag not in INLINE:
+            inside = foreign > 0
+            if tag not in INLINE and not inside:
                 flush()
             elif tag == "a" and links:
                 links -= 1
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if tag in INLINE and any(t not in INLINE for t, _ in stack[i:]):
+                    if tag in INLINE and not inside and any(t not in INLINE for t, _ in stack[i:]):
                         break  # an inline end tag does not close blocks
-                    del stack[i:]
+                    close(i)
                     break
+                if inside and tag not in FOREIGN and stack[i][0] in FOREIGN:
+                    break  # nor does one inside a formula close what is around it
             continue
         if tag in RAW:
-            if tag not in INLINE:
+            if tag not in INLINE and not foreign:
                 flush()
-            end = None if m[3].endswith("/") and tag in ("svg", "math", "object") else RAW_END[tag].search(page, at)
+            end = RAW_END[tag].search(page, at)
             if end:
                 at = end.end()
             elif not m[3].endswith("/") and tag in ("script", "style"):
                 at = len(page)
             continue
-        if tag in INLINE:
+        if tag in INLINE or foreign:
             if tag == "br":
                 parts.append(" ") if parts else None
-            if tag not in VOID:
+            empty = m[3].endswith("/") and (foreign or tag in FOREIGN)
+            if tag not in VOID and not empty:
                 if tag == "a":
                     links += 1
+                foreign += tag in FOREIGN
                 stack.append((tag, (tag,)))
             continue
         flush()
@@ -119,7 +136,7 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], int]]:
         closing = CLOSES_ITSELF.get(tag, {"p"})
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in closing or (stack[i][0] == "p"):
-                del stack[i:]
+                close(i)
                 if not (closing - {"p"}):
                     break
             elif stack[i][0] in SCOPE:

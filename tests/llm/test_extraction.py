@@ -89,3 +89,18 @@ def test_every_page_of_the_table(spark):
     assert len(got & want) >= 0.98 * len(want)
     assert {(None, ""), (900, "")} <= got
     assert x.main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<p>Energy <math>E = mc</math> holds</p>", ["Energy E = mc holds"]),
+    ("<p>a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> b</p><p>c</p>", ["a x=12 b", "c"]),
+    ('<p>see <svg width="3"/> here <svg><g><text>label</text></g></svg> ok</p><div>next</div>', ["see here label ok", "next"]),
+    ('<p>x <object data="f">fallback <b>text</b></object> y</p>', ["x fallback text y"]),
+    ("<p>v <video><source src=x>no video</video> <canvas>no canvas</canvas> w</p>", ["v no video no canvas w"]),
+    ("<noscript>No scripts here</noscript><p>z</p>", ["No scripts here", "z"]),
+    ("<p>a <math><mi>q b</p><p>c</p></math><div>d</div>", ["a q b", "c", "d"]),
+    ("<div><svg><g><text>open</div><p>rest", ["open", "rest"]),
+    ("<svg><title>t</title><style>p{}</style><g/><text>kept</text></svg><script>var a='<p>x</p>'</script><p>k</p>", ["kept", "k"]),
+])
+def test_formulas_and_media_stay_in_their_block(page, want):
+    assert texts(page) == want
