@@ -41,27 +41,51 @@ def error_html_rows(errors: DataFrame, cells: list[str], *, keep: list[str]) ->
     return errors.select(*keep, tx.html_row([cell(c) for c in cells]).alias("html"))
 
 
-# an element, its name without prefix, and what is inside it
-_CHILD = r"(?s)<(?:[\w.-]+:)?([\w.-]+)(?:\s[^<>]*?)?(?:/>|>(.*?)</(?:[\w.-]+:)?\1\s*>)"
 _ROOT = r"(?s)<(?:[\w.-]+:)?EVENT_INSTANCE(?:\s[^<>]*)?>(.*)</(?:[\w.-]+:)?EVENT_INSTANCE\s*>"
+_TAG = r"""<(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
+
+
+def _plain_markup(body: Column) -> Column:
+    """The document without comments, and with CDATA sections as escaped text."""
+    pieces = F.split(body, r"<!\[CDATA\[")
+    section = lambda p: F.concat(tx.html_escape(F.substring_index(p, "]]>", 1)), F.substr(p, F.length(F.substring_index(p, "]]>", 1)) + 4))
+    joined = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(section(p))), "")
+    text = F.when(F.contains(body, F.lit("<![CDATA[")), joined).otherwise(body)
+    return F.when(F.contains(text, F.lit("<!--")), F.regexp_replace(text, r"(?s)<!--.*?-->", "")).otherwise(text)
 
 
 def event_to_html(body: Column) -> Column:
     """Name and value table of all children of an event, in document order.
 
     ``body`` is the text of a readable event document.  The value of a child is its text
-    with that of everything below it; the references for <, > and & stay as they are,
-    so the cells are escaped.
+    with that of everything below it, also below children of its own name; the references
+    for <, > and & stay as they are, so the cells are escaped.  Comments give nothing, CDATA
+    sections are text.
     """
-    inner = F.regexp_extract(body, _ROOT, 1)
-    names = F.regexp_extract_all(inner, F.lit(_CHILD), F.lit(1))
-    values = F.regexp_extract_all(inner, F.lit(_CHILD), F.lit(2))
+    inner = F.regexp_extract(_plain_markup(body), _ROOT, 1)
+    texts = F.split(inner, _TAG)
+    # one walk over the tags, each with the text behind it
+    steps = F.transform(F.regexp_extract_all(inner, F.lit(_TAG), F.lit(0)), lambda t, i: F.struct(t.alias("tag"), F.get(texts, i + 1).alias("text")))
 
     def row(name: Column, value: Column) -> Column:
-        text = F.regexp_replace(F.coalesce(value, F.lit("")), "<[^>]*>", "")
-        text = F.replace(F.replace(text, F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'"))
+        text = F.replace(F.replace(value, F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'"))
         return F.concat(F.lit("<tr><td>"), name, F.lit("</td><td>"), text, F.lit("</td></tr>"))
 
-    rows = F.array_join(F.zip_with(names, values, row), "")
-    table = F.concat(F.lit('<table border="1">'), rows, F.lit("</table><br/>"))
+    def walk(state: Column, step: Column) -> Column:
+        tag, depth = step["tag"], state["depth"]
+        other = F.startswith(tag, F.lit("<?")) | F.startswith(tag, F.lit("<!"))
+        ends = F.startswith(tag, F.lit("</"))
+        empty = F.endswith(tag, F.lit("/>"))
+        name = F.regexp_extract(tag, r"^<(?:[\w.-]+:)?([\w.-]+)", 1)
+        top = depth == 0
+        return F.struct(
+            F.when(other | empty, depth).when(ends, depth - 1).otherwise(depth + 1).alias("depth"),
+            F.when(top & ~other & ~ends, name).otherwise(state["name"]).alias("name"),
+            F.when(top & ~other, step["text"]).otherwise(F.concat(state["text"], step["text"])).alias("text"),
+            F.when(ends & (depth == 1), F.concat(state["rows"], row(state["name"], state["text"])))
+            .when(empty & top, F.concat(state["rows"], row(name, F.lit("")))).otherwise(state["rows"]).alias("rows"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("name"), F.lit("").alias("text"), F.lit("").alias("rows"))
+    table = F.concat(F.lit('<table border="1">'), F.aggregate(steps, start, walk)["rows"], F.lit("</table><br/>"))
     return F.replace(table, F.lit(tx.CRLF), F.lit("<br/>"))

@@ -197,3 +197,20 @@ def test_forbidden_changes_first_match(spark, at):
     df = spark.createDataFrame([("s", 1, at("2024-01-01 00:00:00"), xml)], "server_name string, event_id bigint, post_time timestamp_ntz, message_body string")
     row = h.alter_database_policy(shred.server_event_shred(df), environment="test").first()
     assert row.violation == f"Altering the RECOVERY model is not permitted in test environments.\r\n\r\n{text}"
+
+
+@pytest.mark.parametrize(("inner", "cells"), [
+    ("<A><A>x</A><B>y</B></A><C/>", [("A", "xy"), ("C", "")]),
+    ("<A><![CDATA[1 < 2 & 3]]></A><!-- <D>no</D> --><p:B k='>'>b</p:B>", [("A", "1 &lt; 2 &amp; 3"), ("B", "b")]),
+    ("\n <A>one\r\ntwo</A> <B><E/><E>z</E>&quot;</B>\n", [("A", "one<br/>two"), ("B", 'z"')]),
+    ("<A><![CDATA[<!-- kept -->]]></A><A><![CDATA[]]></A>", [("A", "&lt;!-- kept --&gt;"), ("A", "")]),
+    ("", []),
+])
+def test_event_to_html(spark, inner, cells):
+    from pyspark.sql import functions as F
+
+    from fleetlens.operators.events import event_to_html
+
+    df = spark.createDataFrame([(f"<EVENT_INSTANCE>{inner}</EVENT_INSTANCE>",)], "body string")
+    want = "".join(f"<tr><td>{n}</td><td>{v}</td></tr>" for n, v in cells)
+    assert df.select(event_to_html(F.col("body"))).first()[0] == f'<table border="1">{want}</table><br/>'
