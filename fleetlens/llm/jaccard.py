@@ -23,10 +23,12 @@ ones among them is worked out from its whole set, and its tokens from further up
 looked up among the others.
 
 Candidates are verified exactly, after a bound from the counted tokens has ruled out most
-of the false ones.  First every index entry is compared with one hub per
-signature, the node with the fewest tokens of its own; its difference from the hub is kept
-as a bit map, which tells two copies with different changes apart without comparing them; then only nodes that share a signature and are still in different
-components are compared, so a group of copies costs one comparison a member.
+of the false ones.  First every index entry is compared with one hub per signature, the
+node with the fewest tokens of its own, so a group of copies costs one comparison a
+member.  Where different components still meet, entries whose own tokens rule every
+partner out go without a comparison (``narrowed``), and the rest is searched by
+prefixes of the differences from a common reference (``beyond_hubs``); no step pairs
+the members of a signature.
 
 Defined cases: null, empty and blank texts have no set and no links (their own
 component); fewer words than n make one token; a null doc_id takes part and is
@@ -198,12 +200,8 @@ def _plausible(percent: int):
     return rows
 
 
-def _compare(percent: int):
-    """Task function: whole sets of pairs in; whether they link, and how they differ, out.
-
-    The tokens that only one side has are marked in a map of 256 bits; ``excess`` counts
-    those that share a bit with another.
-    """
+def _compare(percent: int, apart_too: bool = False):
+    """Task function: whole sets of pairs in; whether they link, and the tokens only one has, out."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,42 +211,40 @@ def _compare(percent: int):
                 flat, at = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()
                 lists.append((flat, at - at[0]))
             (fa, oa), (fb, ob) = lists
-            linked, diff, excess, maps = [], [], [], np.zeros((batch.num_rows, 256), np.uint8)
+            linked, diffs = [], []
             for i in range(batch.num_rows):
                 a, b = fa[oa[i] : oa[i + 1]], fb[ob[i] : ob[i + 1]]
                 apart = np.setxor1d(a, b, assume_unique=True)
                 common = (len(a) + len(b) - len(apart)) // 2
                 linked.append(100 * common >= percent * (common + len(apart)))
-                maps[i, mixed(apart) >> np.uint64(56)] = 1
-                diff.append(len(apart))
-                excess.append(len(apart) - int(maps[i].sum()))
-            words = np.packbits(maps, axis=1).view(">i8").astype(np.int64).reshape(-1, 4)
+                diffs.append(apart)
+            out = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(diff, pa.int64()),
-                    pa.array(excess, pa.int64()), *[pa.array(words[:, k]) for k in range(4)],
-                ],
-                names=["a", "b", "linked", "diff", "excess", "m0", "m1", "m2", "m3"],
+                [*out, _lists(diffs)] if apart_too else out, names=["a", "b", "linked", *["apart"][: int(apart_too)]]
             )
 
     return rows
 
 
-_COMPARED = "a bigint, b bigint, linked boolean, diff bigint, excess bigint, m0 bigint, m1 bigint, m2 bigint, m3 bigint"
+def _held(n: Column, percent: int) -> Column:
+    """``counted`` as a column."""
+    need = n - F.floor((n * percent + 99) / 100) + 1
+    return F.least(n, F.floor(need * 3 / 2) + 8)
 
 
-def _may_differ_little(x: Column, y: Column, nx: Column, ny: Column, percent: int) -> Column:
-    """False for two sets whose differences from one and the same hub rule a link out.
+def _in_common(na: Column, nb: Column, percent: int) -> Column:
+    """How many tokens linked sets of these sizes have in common at least."""
+    return F.ceil((na + nb) * percent / (100 + percent) - 1e-9)
 
-    What two sets lack of each other is what either lacks of the hub or has beyond it, less
-    twice what their differences have in common; the bit maps bound that from above.
-    """
-    shared = F.least(x["excess"], y["excess"])
-    for k in range(4):
-        shared = shared + F.bit_count(x[f"m{k}"].bitwiseAND(y[f"m{k}"]))
-    most = nx + ny - 2 * F.ceil((nx + ny) * percent / (100 + percent) - 1e-9)
-    known = F.coalesce(x["home"] == y["home"], F.lit(False))
-    return ~known | (x["diff"] + y["diff"] - 2 * shared <= most)
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _still_open(entries: DataFrame) -> DataFrame:
+    """The entries of signatures in which several components meet."""
+    met = entries.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    return cut(entries.join(met.select("sig"), "sig", "left_semi"))
 
 
 def _candidates(na: Column, la: Column, nb: Column, lb: Column, percent: int) -> Column:
@@ -257,7 +253,7 @@ def _candidates(na: Column, la: Column, nb: Column, lb: Column, percent: int) ->
     A linked pair has at least percent / (100 + percent) of both sizes in common; a set
     lacks no more than the rest of it, and so many units and one of its prefix do.
     """
-    common = F.ceil((na + nb) * percent / (100 + percent) - 1e-9)
+    common = _in_common(na, nb, percent)
     return (la <= na - common) & (lb <= nb - common)
 
 
@@ -266,27 +262,39 @@ class _Join:
         self.k, self.percent = k, percent
         self.docs = docs.select("doc_id", "text")
         sets = self.docs.mapInArrow(_set_rows(k, percent, False), "doc_id bigint, n bigint, node bigint, tokens array<bigint>")
-        # doc_id may be of another integer type; the narrow table is read several times
-        self.rows = cut(sets)
+        # the narrow table is read several times; its row numbers are fixed once it is written
+        self.rows = cut(sets.withColumn("row", F.monotonically_increasing_id()))
         self.members = self.rows.select("doc_id", "n", "node")
-        nodes = self.members.where("n > 0").groupBy("node").agg(
-            F.min("doc_id").alias("label"), F.first("n").alias("n"), F.count("*").alias("_rows")
+        nodes = self.rows.where("n > 0").groupBy("node").agg(
+            F.min("doc_id").alias("label"), F.first("n").alias("n"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("head"),
         )
-        self.nodes = cut(nodes)
+        self.nodes = cut(nodes.select("node", "label", "n", F.col("head.row").alias("row")))
         # one row per node stands for it
-        chosen = small_side(self.nodes.select("node", "label"))
-        same = (self.rows["node"] == chosen["node"]) & self.rows["doc_id"].eqNullSafe(chosen["label"])
-        self.heads = self.rows.where("n > 0").join(chosen, same, "left_semi")
+        self.heads = self.rows.join(small_side(self.nodes.select("row")), "row", "left_semi")
+        self.repeated = cut(self.members.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+        self.ids_repeat = not self.repeated.isEmpty()
 
     def whole_sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, n, tokens) with the whole sets of the given nodes."""
-        wanted = small_side(cut(nodes.select("node").distinct().join(self.nodes, "node").select("node", "label")))
-        texts = self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["label"])).select(
-            F.col("node").alias("of"), "text"
-        )
-        sets = texts.mapInArrow(_set_rows(self.k, self.percent, True), "of bigint, n bigint, node bigint, tokens array<bigint>")
-        # a repeated doc_id brings other texts along, and equal ones more than once
-        return sets.where("of = node").select("node", "n", "tokens")
+        """(node, n, tokens) with the whole sets of the given nodes, each text worked on once."""
+        wanted = cut(nodes.select("node").distinct().join(self.nodes, "node").select("node", F.col("label").alias("_id")))
+        of, ids = small_side(wanted), small_side(wanted.select("_id").distinct())
+
+        def sets(docs: DataFrame) -> DataFrame:
+            texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+            found = texts.mapInArrow(
+                _set_rows(self.k, self.percent, True), "doc_id bigint, n bigint, node bigint, tokens array<bigint>"
+            )
+            mine = (found["node"] == of["node"]) & found["doc_id"].eqNullSafe(of["_id"])
+            return found.join(of, mine, "left_semi").select("node", "n", "tokens")
+
+        if not self.ids_repeat:
+            return sets(self.docs)
+        again = small_side(self.repeated)
+        same = self.docs["doc_id"].eqNullSafe(again["doc_id"])
+        # equal texts under one id come once each
+        once, more = (self.docs.join(again, same, how) for how in ("left_anti", "left_semi"))
+        return sets(once).union(sets(more).dropDuplicates(["node"]))
 
     def index(self) -> DataFrame:
         """(sig, node, n, level, solo): every signature that at least two nodes may share.
@@ -301,7 +309,7 @@ class _Join:
         spare = F.col("_often") > F.lit(0)
         per_node = shared.where("often").groupBy("node", "n").agg(F.count("*").alias("_often"))
         need = F.col("n") - F.floor((F.col("n") * self.percent + 99) / 100) + 1
-        held = F.least(F.col("n"), F.floor(need * 3 / 2) + 8)
+        held = _held(F.col("n"), self.percent)
         hard = cut(per_node.where(spare & (held - F.col("_often") < need)).select("node"))
         sets = cut(self.whole_sets(hard))
         found = sets.select("node", F.explode("tokens").alias("token")).join(often, "token").groupBy("node").agg(
@@ -332,21 +340,59 @@ class _Join:
         return pairs.join(left, "a").join(right, "b")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """Exact comparison of the pairs (a, b) that may link: ``_COMPARED``.
+        """Exact comparison of the pairs that may link: (a, b, linked).
 
         The counted tokens rule most pairs out; whole sets are moved for the rest.
         """
         pairs = cut(pairs)
-        ends = lambda df: df.select(F.col("a").alias("node")).union(df.select(F.col("b").alias("node"))).distinct()
-        counted_lists = self.heads.select("node", "n", "tokens").join(small_side(cut(ends(pairs))), "node", "left_semi")
+        counted_lists = self.heads.select("node", "n", "tokens").join(small_side(cut(_ends(pairs))), "node", "left_semi")
         pairs = cut(
             self._beside(pairs, counted_lists).select("a", "b", "na", "nb", "ta", "tb")
             .mapInArrow(_plausible(self.percent), "a bigint, b bigint").distinct()
         )
-        both = self._beside(pairs, cut(self.whole_sets(ends(pairs))))
-        compared = both.select("a", "b", "ta", "tb").mapInArrow(_compare(self.percent), _COMPARED)
+        both = self._beside(pairs, cut(self.whole_sets(_ends(pairs))))
+        compared = both.select("a", "b", "ta", "tb").mapInArrow(_compare(self.percent), "a bigint, b bigint, linked boolean")
         return cut(compared.dropDuplicates(["a", "b"]))
 
+    def narrowed(self, entries: DataFrame) -> DataFrame:
+        """Open entries (sig, node, n, comp, ...) without the nodes that can link with no other component there.
+
+        A token that no other open component holds is missing from every possible
+        partner.  Where a node has more of these than it may lack beside the smallest
+        node of the signature, the entry goes; with it others' tokens become their own,
+        so this repeats while it still helps.  Nothing is paired: a cluster of copies
+        that all lie beyond the limit, each with changes of its own, vanishes here.
+        """
+        counted_lists = self.heads.select("node", F.explode("tokens").alias("token"))
+        kept = self._narrowed(entries, counted_lists, F.least(F.col("n"), _held(F.col("n"), self.percent)))
+        return self._narrowed(kept, None, F.col("n"))
+
+    def _narrowed(self, entries: DataFrame, tokens: DataFrame | None, known: Column) -> DataFrame:
+        """Rounds of ``narrowed`` over ``tokens`` (whole sets if None), ``known`` of them a node."""
+        left = entries.count()
+        nodes = entries.select("node", "comp").distinct()
+        if tokens is None:
+            tokens = self.whole_sets(nodes).select("node", F.explode("tokens").alias("token"))
+        tokens = cut(tokens.join(small_side(cut(nodes)), "node"))
+        while left:
+            spread = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            shared = small_side(cut(spread.where("lo < hi").select("token")))
+            tokens = cut(tokens.join(shared, "token", "left_semi"))
+            common = small_side(cut(tokens.groupBy("node").agg(F.count("*").alias("_common"))))
+            least = small_side(cut(entries.groupBy("sig").agg(F.min("n").alias("_least"))))
+            other = F.greatest(F.col("_least"), F.ceil(F.col("n") * self.percent / 100 - 1e-9))
+            own = known - F.coalesce("_common", F.lit(0))
+            entries = _still_open(
+                entries.join(common, "node", "left").join(least, "sig")
+                .where(own <= F.col("n") - _in_common(F.col("n"), other, self.percent)).drop("_common", "_least")
+            )
+            now = entries.count()
+            if now > 0.9 * left:
+                break
+            left = now
+            tokens = tokens.join(small_side(cut(entries.select("node").distinct())), "node", "left_semi")
+        return entries
+
     def links(self) -> DataFrame:
         """Links enough to connect all that is connected: not each one inside a component."""
         index = cut(self.index())
@@ -356,36 +402,71 @@ class _Join:
         near = _candidates(F.col("n"), F.col("level"), F.col("hub.n"), F.col("hub.level"), self.percent)
         pairs = cut(
             entries.where((F.col("node") != F.col("hub.node")) & near)
-            .select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("hub.solo").alias("solo")).distinct()
+            .select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+        )
+        links = self.verify(pairs).where("linked").select("a", "b")
+        placed = entries.select("sig", "node", "n").join(small_side(components(links)), "node", "left").withColumn(
+            "comp", F.coalesce("comp", "node")
         )
-        compared = self.verify(pairs.select("a", "b"))
-        links = compared.where("linked").select("a", "b")
-        # the difference of each node from the best hub it was compared with
-        facts = ["diff", "excess", "m0", "m1", "m2", "m3"]
-        homes = compared.join(pairs, ["a", "b"]).groupBy(F.col("a").alias("node")).agg(
-            F.min(F.struct("solo", F.col("b").alias("home"), *facts)).alias("d")
+        return links.union(self.beyond_hubs(self.narrowed(_still_open(placed)), pairs))
+
+    def beyond_hubs(self, entries: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Links between components that still meet in a signature: (a, b).
+
+        Every signature takes one reference, of the hubs its nodes were compared with the
+        one that most nodes know, and D is a node's difference from it.  Two nodes differ by
+        |Da| + |Db| - 2 |Da and Db|, so a link needs (|Da| + |Db| - most) / 2 common
+        tokens in the differences.  What is not linked with the reference has a large
+        difference and needs a large overlap: it is searched by prefixes of D, rarest token
+        within the reference first, and against nodes that are linked with the reference
+        (one component, so not among each other) by prefixes of theirs.  Common passages
+        and the base of a cluster of copies are no part of D and form no pairs.
+        """
+        comp_of = small_side(cut(entries.select("node", "n", "comp").distinct()))
+        known = entries.select("node").distinct()
+        known = cut(
+            pairs.select(F.col("a").alias("node"), F.col("b").alias("ref")).join(small_side(cut(known)), "node")
+            .unionByName(known.withColumn("ref", F.col("node")))
         )
-        placed = entries.select("sig", "node", "n", "level").join(
-            small_side(components(links)), "node", "left"
-        ).withColumn("comp", F.coalesce("comp", "node")).join(small_side(cut(homes)), "node", "left")
-        # components that meet in a signature, by size, at their lowest levels
-        open_ = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        open_ = cut(placed.join(open_.select("sig"), "sig"))
-        lowest = open_.groupBy("sig", "comp", "n").agg(
-            F.min("level").alias("level"), F.when(F.count("*") == 1, F.first("d")).alias("d")
+        fame = known.groupBy("ref").agg(F.count("*").alias("fame"))
+        best = known.join(small_side(cut(fame)), "ref").groupBy("node").agg(F.max(F.struct("fame", "ref")).alias("ref"))
+        named = entries.join(small_side(cut(best)), "node")
+        refs = named.groupBy("sig").agg(F.max("ref").alias("ref"))
+        uses = cut(entries.join(refs, "sig").select(F.col("node").alias("a"), F.col("ref.ref").alias("b")).distinct())
+        both = self._beside(uses, cut(self.whole_sets(_ends(uses))))
+        compared = cut(both.select("a", "b", "ta", "tb").mapInArrow(
+            _compare(self.percent, True), "a bigint, b bigint, linked boolean, apart array<bigint>"
+        ).join(comp_of.withColumnRenamed("node", "a"), "a").withColumn("d", F.size("apart")))
+        found = compared.where("linked and a <> b").select("a", "b")
+        most = lambda n, other: n + other - 2 * _in_common(n, other, self.percent)
+        bounds = compared.groupBy("b").agg(
+            F.max("n").alias("_widest"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("_far")
+        ).where("_far is not null")
+        tokens = compared.select("a", "b", "n", "comp", "linked", "d", F.explode("apart").alias("token"))
+        held = cut(tokens.groupBy("b", "token").agg(F.count("*").alias("held")).where("held > 1"))
+        ordered = tokens.join(small_side(held), ["b", "token"]).groupBy("a", "b", "n", "comp", "linked", "d").agg(
+            F.array_sort(F.collect_list(F.struct("held", "token"))).alias("shared")  # at most the tokens of two texts
         )
-        other = lambda df: df.select("sig", *[F.col(c).alias(f"{c}2") for c in df.columns if c != "sig"])
-        both = _candidates(F.col("n"), F.col("level"), F.col("n2"), F.col("level2"), self.percent) & _may_differ_little(
-            F.col("d"), F.col("d2"), F.col("n"), F.col("n2"), self.percent
+        widest = F.least(F.col("_widest"), F.floor(F.col("n") * 100 / self.percent))
+        loosest = (F.col("n") + widest) * (100 - self.percent) / (100 + self.percent)  # never below ``most``
+        placed = ordered.join(small_side(cut(bounds)), "b").select(
+            "a", "b", "n", "comp", "linked", "d", F.posexplode("shared").alias("pos", "x"),
+            # tokens of no other node stand before the shared ones
+            (F.col("d") - F.size("shared")).alias("_alone"),
+            F.floor((F.col("d") - F.col("_far") + loosest) / 2 + 1e-9).alias("_last"),
+        ).withColumn("pos", F.col("pos") + F.col("_alone")).withColumn("token", F.col("x.token"))
+        placed = cut(placed.select("a", "b", "token", "n", "comp", "linked", "d", "pos", "_last"))
+        far = placed.where(~F.col("linked"))
+        near = placed.where(F.col("pos") <= F.col("_last"))
+        left, right = far.alias("l"), near.alias("r")
+        l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+        common = F.ceil((l("d") + r("d") - most(l("n"), r("n"))) / 2)
+        met = left.join(right, (l("b") == r("b")) & (l("token") == r("token"))).where(
+            (l("comp") != r("comp")) & (r("linked") | ((l("a") < r("a")) & (l("pos") <= l("_last"))))
+            & (l("pos") <= l("d") - common) & (r("pos") <= r("d") - common)
         )
-        meet = lowest.join(other(lowest), "sig").where((F.col("comp") < F.col("comp2")) & both)
-        meet = meet.drop("level", "level2", "d", "d2")
-        # then their members there
-        rest = meet.join(open_, ["sig", "comp", "n"]).join(other(open_), ["sig", "comp2", "n2"]).where(both)
-        rest = rest.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = self.verify(rest.join(done, ["a", "b"], "left_anti"))
-        return links.union(more.where("linked").select("a", "b"))
+        met = met.select(F.least(l("a"), r("a")).alias("a"), F.greatest(l("a"), r("a")).alias("b")).distinct()
+        return found.union(self.verify(met).where("linked").select("a", "b"))
 
 
 def near_equal(docs: DataFrame, *, k: int = 4, percent: int = 85) -> DataFrame:

@@ -91,3 +91,55 @@ def test_empty_table_and_clashing_columns(spark):
     kept = jaccard.one_of_each(df)
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == {1, 3}
+
+
+def edited(rng, base, m, fresh):
+    """A copy with m words at random places replaced; from a small set of words unless ``fresh``."""
+    doc = list(base)
+    for at in rng.sample(range(len(doc)), m):
+        doc[at] = f"x{rng.random()}" if fresh else f"y{rng.randrange(3)}"
+    return doc
+
+
+@pytest.mark.parametrize("seed,fresh", [(11, True), (12, False)])
+def test_clusters_just_beyond_the_limit(spark, rows, monkeypatch, seed, fresh):
+    """Copies that miss the hub by a little, some of them linked by copies of themselves."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    rng = random.Random(seed)
+    base, line = [f"v{i}" for i in range(120)], [f"common{i}" for i in range(30)]
+    data = [base]
+    for _ in range(60):
+        doc = edited(rng, base, rng.randrange(1, 6), fresh)
+        data.append(doc)
+        if rng.random() < 0.4:
+            data.append(edited(rng, doc, 1, fresh))
+        if rng.random() < 0.2:
+            data.append(doc[: rng.randrange(90, 120)])
+        if rng.random() < 0.3:
+            data.append(line + [f"z{rng.random()}" for _ in range(rng.randrange(3, 20))])
+    data = [(i, " ".join(d)) for i, d in enumerate(data)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = rows(jaccard.near_equal(df), "doc_id", "n_shingles", "component_id")
+    assert sorted(got) == brute_force(data, 4, 85)
+
+
+def test_null_and_repeated_ids_and_long_texts(spark, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", 2)
+    rng = random.Random(5)
+    base = [f"v{i}" for i in range(60)]
+    texts = [" ".join(edited(rng, base, rng.randrange(4), True)) for _ in range(30)]
+    long = [f"w{rng.randrange(9000)}" for _ in range(20000)]
+    data = [(None, t) for t in texts] + [(7, t) for t in texts[:10]] + [(7, texts[0])] * 3
+    data += [(100, " ".join(long)), (101, " ".join(edited(rng, long, 200, True)))]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    join = jaccard._Join(df, 4, 85)
+    whole = join.whole_sets(join.nodes)
+    assert whole.count() == join.nodes.count() == join.heads.count() == len({frozenset(token_set(t, 4)) for _, t in data})
+    number = [(i, t) for i, (_, t) in enumerate(data)]
+    groups = {}
+    for i, _, c in brute_force(number, 4, 85):
+        groups.setdefault(c, []).append(i)
+    lowest = {i: min((data[j][0] for j in g if data[j][0] is not None), default=None) for g in groups.values() for i in g}
+    want = sorted(((data[i][0], len(token_set(t, 4)), lowest[i]) for i, t in number), key=str)
+    got = rows(jaccard.near_equal(df), "doc_id", "n_shingles", "component_id")
+    assert sorted(got, key=str) == want
