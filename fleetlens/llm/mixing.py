@@ -7,8 +7,10 @@ starts another epoch.  Everything is DataFrame code, and the budget is met to th
 word: the document on the cut gives only its first words.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is
-a source of its own, last in order; repeated rows count as often as they occur
-(equal rows may swap their parts); an empty table gives an empty result.
+a source of its own, last in order; the key is drawn from id and whole text, so rows
+without an id or with a repeated one spread like others; repeated rows count as often
+as they occur (equal rows share a key and may swap their parts); a very long text
+counts whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,15 +62,18 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
     Reads ``doc_id``, ``text``, ``source``.  Sources in code point order (null last) get
     ``weights`` in turn.  Returns doc_id, source, size, source_size, weight, target,
     epochs (whole repeats of the source), part (words of the last, partial
-    epoch) and taken = epochs * size + part.
+    epoch), taken = epochs * size + part and text_key (a hash of the text).
     """
-    identity = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    identity = F.concat_ws(
+        ":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))
+    )
     rows = cut(docs.select(
         "doc_id", "source",
         F.col("source").isNull().alias("_null"),
         F.coalesce("source", F.lit("")).alias("_source"),
         word_count(F.col("text")).alias("size"),
         hash_key(identity).alias("_key"),
+        F.xxhash64("text").alias("text_key"),
     ))
     rank = F.row_number().over(Window.orderBy("_null", "_source")) - 1
     turn = F.array(*[F.lit(w) for w in weights])
@@ -85,11 +90,11 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
     placed = rows.join(small_side(cut(sources)), ["_null", "_source"]).withColumn(
         "_range", range_of(F.col("_key"), ranges(F.col("_rows")))
     )
-    run = running_before(placed, ["_null", "_source"], "_range", ["_key", "doc_id", "size"], "size", "_before")
+    run = running_before(placed, ["_null", "_source"], "_range", ["_key", "doc_id", "size", "text_key"], "size", "_before")
     part = F.greatest(F.least(F.col("size"), F.col("_rest") - F.col("_before")), F.lit(0))
     return run.withColumn("part", part.cast("long")).select(
         "doc_id", "source", "size", "source_size", "weight", "target", "epochs", "part",
-        (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
+        (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), "text_key",
     )
 
 
@@ -101,32 +106,44 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     most.  Documents without words take no budget and stay once.  Columns as given.
     """
     taken = mix(docs, **options).select(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_src"),
+        F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("text_key").alias("_text"),
         F.when(F.col("size") == 0, 1).otherwise(
             F.col("epochs") + F.when(2 * F.col("part") >= F.col("size"), 1).otherwise(0)
-        ).cast("int").alias("_copies"),
-    )
-    # rows that agree in id, source and size are interchangeable: their copies are pooled
-    key = ["_id", "_src", "_size"]
-    pooled = taken.groupBy(*key).agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_same"))
-    pooled = small_side(cut(pooled.where("_copies > 0")))
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src"))
-        & (sized["_size"] == pooled["_size"])
-    )
-    each = F.ceil(F.col("_copies") / F.col("_same")).cast("int")
-    return (
-        sized.join(pooled, same)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), each)))
-        .select(*[docs[c] for c in docs.columns])
+        ).alias("_copies"),
     )
+    # rows that agree in id, source and text are interchangeable: their copies are pooled
+    pools = cut(taken.groupBy("_id", "_src", "_text").agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_same")))
+    pools = pools.where("_copies > 0")
+    columns = [docs[c] for c in docs.columns]
+    text = F.xxhash64(docs["text"])
+
+    def drawn(pools: DataFrame, *more: str) -> DataFrame:
+        pools = small_side(pools)
+        same = docs["doc_id"].eqNullSafe(pools["_id"]) & docs["source"].eqNullSafe(pools["_src"]) & (text == pools["_text"])
+        return docs.join(pools, same).select(F.struct(*columns).alias("_row"), *more)
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))).select("_row.*")
+
+    out = repeated(drawn(pools.where("_same = 1").withColumn("_each", F.col("_copies")), "_each"))
+    shared = pools.where("_same > 1")
+    if shared.isEmpty():
+        return out
+    # equal rows get the whole part each, and the first ones of a pool, counted over partitions, one more
+    shared = shared.withColumn("_pool", F.xxhash64(F.col("_id").isNull(), "_id", F.col("_src").isNull(), "_src", "_text"))
+    rows = cut(drawn(shared, "_pool", "_copies", "_same").withColumns({
+        "_place": F.spark_partition_id(), "_tie": F.monotonically_increasing_id(), "_one": F.lit(1),
+    }))
+    rows = running_before(rows, ["_pool"], "_place", ["_tie"], "_one", "_number")
+    more = F.when(F.col("_number") < F.col("_copies") % F.col("_same"), 1).otherwise(0)
+    rows = rows.withColumn("_each", F.floor(F.col("_copies") / F.col("_same")) + more).where("_each > 0")
+    return out.unionByName(repeated(rows))
 
 
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-    substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13) AS k
+    substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13) AS k
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, [1, 2, 3][((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3)::INT + 1] AS weight FROM s),

@@ -109,7 +109,10 @@ def shard_documents(docs: DataFrame, *, tree: list[Leaf] | None = None) -> DataF
         F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"),
     )
     rows = place(rows, "_id", tree, "shard")
-    rows = cut(place(rows, "_id", grow(tree), "grown_shard").withColumn("_key", hash_key(F.col("_id"))).drop("_id"))
+    rows = cut(place(rows, "_id", grow(tree), "grown_shard").withColumn(
+        # the checksum spreads rows without an id, or with a repeated one, over the ranges of their shard
+        "_key", hash_key(F.concat_ws(":", "_id", F.col("text_crc32").cast("string")))
+    ).drop("_id"))
     counts = rows.groupBy("shard").agg(F.count("*").alias("_rows"))  # one row per shard
     ranged = rows.join(F.broadcast(counts), "shard").withColumn("_range", range_of(F.col("_key"), ranges(F.col("_rows"))))
     ranged = ranged.withColumn("_one", F.lit(1))
@@ -155,7 +158,7 @@ crc AS (SELECT doc_id, id, octet_length(b) + 16 AS size,
 {_descent_sql(base_tree(), 'now')},
 {_descent_sql(grow(base_tree()), 'grown')}
 SELECT c.doc_id, c.size::BIGINT AS size, c.text_crc32::BIGINT AS text_crc32, 'key' AS law, a.node::INT AS shard,
-  (row_number() OVER (PARTITION BY a.node ORDER BY substr(md5(c.id), 1, 13), c.doc_id, c.size, c.text_crc32) - 1)::BIGINT AS slot,
+  (row_number() OVER (PARTITION BY a.node ORDER BY substr(md5(c.id || ':' || c.text_crc32::BIGINT), 1, 13), c.doc_id, c.size, c.text_crc32) - 1)::BIGINT AS slot,
   g.node::INT AS grown_shard
 FROM crc c JOIN now_shard a ON a.id = c.id JOIN grown_shard g ON g.id = c.id
 """

@@ -60,3 +60,27 @@ def test_mixed_documents_keep_columns_and_repeat(spark):
     assert out.columns == df.columns
     counts = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
     assert counts["a"] == 60 and abs(counts["b"] - 160) <= 1
+
+
+@pytest.mark.parametrize("ids,texts", [("none", "equal"), ("none", "apart"), ("one", "equal"), ("one", "apart")])
+def test_rows_without_or_with_one_id_come_as_often_as_budgeted(spark, ids, texts):
+    """1,000 rows of two words that a third of the weights leave about 600 of."""
+    doc_id = None if ids == "none" else 9
+    rows = [(doc_id, "a b" if texts == "equal" else f"a b{i}", "a") for i in range(1000)]
+    rows += [(i, "c " * 10, "b") for i in range(100, 200)]
+    df = docs(spark, rows).repartition(6)
+    taken = {r.source: r.taken for r in m.mix(df, weights=(2, 3)).groupBy("source").sum("taken").withColumnRenamed("sum(taken)", "taken").collect()}
+    out = m.mixed_documents(df, weights=(2, 3))
+    assert out.columns == df.columns
+    counts = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
+    assert taken["a"] == 1200 and counts["a"] == 600
+    assert abs(counts["b"] * 10 - taken["b"]) <= 5
+
+
+def test_rows_without_an_id_spread_over_ranges(spark):
+    df = docs(spark, [(None, f"t{i}", "a") for i in range(6000)])
+    plan = m.mix(df)
+    assert plan.count() == 6000
+    keys = df.select(m.hash_key(m.F.concat_ws(":", m.F.lit("mix"), m.F.lit("null"), m.F.md5("text"))).alias("k"))
+    fullest = keys.groupBy(m.range_of(m.F.col("k"), m.F.lit(12))).count().agg({"count": "max"}).first()[0]
+    assert fullest < 1000
