@@ -305,6 +305,7 @@ class _Join:
         counts = tokens.groupBy("token").agg(F.count("*").alias("cnt")).where("cnt > 1")
         counts = cut(counts.select("token", (F.col("cnt") > FREQUENT).alias("often")))
         shared = cut(tokens.join(small_side(counts), "token"))
+        self.shared = shared.select("node", "token")
         often = small_side(cut(counts.where("often").select("token")))
         spare = F.col("_often") > F.lit(0)
         per_node = shared.where("often").groupBy("node", "n").agg(F.count("*").alias("_often"))
@@ -363,36 +364,33 @@ class _Join:
         so this repeats while it still helps.  Nothing is paired: a cluster of copies
         that all lie beyond the limit, each with changes of its own, vanishes here.
         """
-        counted_lists = self.heads.select("node", F.explode("tokens").alias("token"))
-        kept = self._narrowed(entries, counted_lists, F.least(F.col("n"), _held(F.col("n"), self.percent)))
-        return self._narrowed(kept, None, F.col("n"))
-
-    def _narrowed(self, entries: DataFrame, tokens: DataFrame | None, known: Column) -> DataFrame:
-        """Rounds of ``narrowed`` over ``tokens`` (whole sets if None), ``known`` of them a node."""
-        left = entries.count()
-        nodes = entries.select("node", "comp").distinct()
-        if tokens is None:
-            tokens = self.whole_sets(nodes).select("node", F.explode("tokens").alias("token"))
-        tokens = cut(tokens.join(small_side(cut(nodes)), "node"))
+        # first by the counted tokens, of which those of one node only are known; then by whole sets
+        entries = self._without_own(entries, self.shared, _held(F.col("n"), self.percent))
+        lists = cut(self.whole_sets(entries.select("node").distinct()).select("node", "tokens"))
+        tokens, left = lists.select("node", F.explode("tokens").alias("token")), entries.count()
         while left:
-            spread = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            shared = small_side(cut(spread.where("lo < hi").select("token")))
-            tokens = cut(tokens.join(shared, "token", "left_semi"))
-            common = small_side(cut(tokens.groupBy("node").agg(F.count("*").alias("_common"))))
-            least = small_side(cut(entries.groupBy("sig").agg(F.min("n").alias("_least"))))
-            other = F.greatest(F.col("_least"), F.ceil(F.col("n") * self.percent / 100 - 1e-9))
-            own = known - F.coalesce("_common", F.lit(0))
-            entries = _still_open(
-                entries.join(common, "node", "left").join(least, "sig")
-                .where(own <= F.col("n") - _in_common(F.col("n"), other, self.percent)).drop("_common", "_least")
-            )
+            entries = self._without_own(entries, tokens, F.col("n"))
             now = entries.count()
-            if now > 0.9 * left:
+            if 2 * now > left:
                 break
             left = now
-            tokens = tokens.join(small_side(cut(entries.select("node").distinct())), "node", "left_semi")
         return entries
 
+    def _without_own(self, entries: DataFrame, tokens: DataFrame, known: Column) -> DataFrame:
+        """One round of ``narrowed`` over ``tokens`` (node, token), which stand for ``known`` of a node."""
+        comps = small_side(cut(entries.select("node", "comp").distinct()))
+        tokens = tokens.join(comps, "node")
+        spread = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        shared = small_side(cut(spread.where("lo < hi").select("token")))
+        common = tokens.join(shared, "token", "left_semi").groupBy("node").agg(F.count("*").alias("_common"))
+        least = entries.groupBy("sig").agg(F.min("n").alias("_least"))
+        other = F.greatest(F.col("_least"), F.ceil(F.col("n") * self.percent / 100 - 1e-9))
+        own = known - F.coalesce("_common", F.lit(0))
+        return _still_open(
+            entries.join(common, "node", "left").join(least, "sig")
+            .where(own <= F.col("n") - _in_common(F.col("n"), other, self.percent)).drop("_common", "_least")
+        )
+
     def links(self) -> DataFrame:
         """Links enough to connect all that is connected: not each one inside a component."""
         index = cut(self.index())
@@ -422,15 +420,15 @@ class _Join:
         (one component, so not among each other) by prefixes of theirs.  Common passages
         and the base of a cluster of copies are no part of D and form no pairs.
         """
-        comp_of = small_side(cut(entries.select("node", "n", "comp").distinct()))
+        comp_of = entries.select("node", "n", "comp").distinct()
         known = entries.select("node").distinct()
         known = cut(
-            pairs.select(F.col("a").alias("node"), F.col("b").alias("ref")).join(small_side(cut(known)), "node")
+            pairs.select(F.col("a").alias("node"), F.col("b").alias("ref")).join(known, "node")
             .unionByName(known.withColumn("ref", F.col("node")))
         )
         fame = known.groupBy("ref").agg(F.count("*").alias("fame"))
-        best = known.join(small_side(cut(fame)), "ref").groupBy("node").agg(F.max(F.struct("fame", "ref")).alias("ref"))
-        named = entries.join(small_side(cut(best)), "node")
+        best = known.join(fame, "ref").groupBy("node").agg(F.max(F.struct("fame", "ref")).alias("ref"))
+        named = entries.join(best, "node")
         refs = named.groupBy("sig").agg(F.max("ref").alias("ref"))
         uses = cut(entries.join(refs, "sig").select(F.col("node").alias("a"), F.col("ref.ref").alias("b")).distinct())
         both = self._beside(uses, cut(self.whole_sets(_ends(uses))))
@@ -443,13 +441,13 @@ class _Join:
             F.max("n").alias("_widest"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("_far")
         ).where("_far is not null")
         tokens = compared.select("a", "b", "n", "comp", "linked", "d", F.explode("apart").alias("token"))
-        held = cut(tokens.groupBy("b", "token").agg(F.count("*").alias("held")).where("held > 1"))
-        ordered = tokens.join(small_side(held), ["b", "token"]).groupBy("a", "b", "n", "comp", "linked", "d").agg(
+        held = tokens.groupBy("b", "token").agg(F.count("*").alias("held")).where("held > 1")
+        ordered = tokens.join(held, ["b", "token"]).groupBy("a", "b", "n", "comp", "linked", "d").agg(
             F.array_sort(F.collect_list(F.struct("held", "token"))).alias("shared")  # at most the tokens of two texts
         )
         widest = F.least(F.col("_widest"), F.floor(F.col("n") * 100 / self.percent))
         loosest = (F.col("n") + widest) * (100 - self.percent) / (100 + self.percent)  # never below ``most``
-        placed = ordered.join(small_side(cut(bounds)), "b").select(
+        placed = ordered.join(bounds, "b").select(
             "a", "b", "n", "comp", "linked", "d", F.posexplode("shared").alias("pos", "x"),
             # tokens of no other node stand before the shared ones
             (F.col("d") - F.size("shared")).alias("_alone"),
