@@ -58,6 +58,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FREQUENT = 24
 CLASSES = 8
+SIDE_BYTES = 8 * 1024 * 1024  # many broadcast sides live at once here, and all pass the driver
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return small_side(df, limit=SIDE_BYTES)
 
 
 def allowed(n, percent: int):
@@ -271,14 +276,14 @@ class _Join:
         )
         self.nodes = cut(nodes.select("node", "label", "n", F.col("head.row").alias("row")))
         # one row per node stands for it
-        self.heads = self.rows.join(small_side(self.nodes.select("row")), "row", "left_semi")
+        self.heads = self.rows.join(_small(self.nodes.select("row")), "row", "left_semi")
         self.repeated = cut(self.members.groupBy("doc_id").count().where("count > 1").select("doc_id"))
         self.ids_repeat = not self.repeated.isEmpty()
 
     def whole_sets(self, nodes: DataFrame) -> DataFrame:
         """(node, n, tokens) with the whole sets of the given nodes, each text worked on once."""
         wanted = cut(nodes.select("node").distinct().join(self.nodes, "node").select("node", F.col("label").alias("_id")))
-        of, ids = small_side(wanted), small_side(wanted.select("_id").distinct())
+        of, ids = _small(wanted), _small(wanted.select("_id").distinct())
 
         def sets(docs: DataFrame) -> DataFrame:
             texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
@@ -290,7 +295,7 @@ class _Join:
 
         if not self.ids_repeat:
             return sets(self.docs)
-        again = small_side(self.repeated)
+        again = _small(self.repeated)
         same = self.docs["doc_id"].eqNullSafe(again["doc_id"])
         # equal texts under one id come once each
         once, more = (self.docs.join(again, same, how) for how in ("left_anti", "left_semi"))
@@ -306,7 +311,7 @@ class _Join:
         counts = cut(counts.select("token", (F.col("cnt") > FREQUENT).alias("often")))
         shared = cut(tokens.join(small_side(counts), "token"))
         self.shared = shared.select("node", "token")
-        often = small_side(cut(counts.where("often").select("token")))
+        often = _small(cut(counts.where("often").select("token")))
         spare = F.col("_often") > F.lit(0)
         per_node = shared.where("often").groupBy("node", "n").agg(F.count("*").alias("_often"))
         need = F.col("n") - F.floor((F.col("n") * self.percent + 99) / 100) + 1
@@ -321,8 +326,8 @@ class _Join:
         ))
         # tokens that hard nodes index from beyond the counted part, in the others' counted parts
         far = hard_sigs.where("beyond").select(F.col("sig").alias("token")).distinct().join(counts, "token", "left_anti")
-        looked_up = tokens.join(small_side(cut(far)), "token").withColumn("often", F.lit(False))
-        easy = shared.unionByName(looked_up).join(small_side(hard), "node", "left_anti")
+        looked_up = tokens.join(_small(cut(far)), "token").withColumn("often", F.lit(False))
+        easy = shared.unionByName(looked_up).join(_small(hard), "node", "left_anti")
         # place among the rare tokens = place minus the frequent ones before it
         before = easy.where("often").groupBy("node").agg(F.collect_list("pos").alias("_often_at"))
         rank = F.col("pos") - F.coalesce(F.size(F.filter("_often_at", lambda p: p < F.col("pos"))), F.lit(0))
@@ -330,7 +335,7 @@ class _Join:
             "level", F.when(F.col("_often_at").isNull(), F.col("pos")).otherwise(rank).cast("bigint")
         ).where(F.col("level") < need)
         entries = easy.select(F.col("token").alias("sig"), "node", "n", "level").union(hard_sigs.select("sig", "node", "n", "level"))
-        shares = small_side(cut(shared.groupBy("node").agg(F.count("*").alias("_shared"))))
+        shares = _small(cut(shared.groupBy("node").agg(F.count("*").alias("_shared"))))
         solo = (held - F.coalesce("_shared", F.lit(0))).cast("bigint")
         return entries.join(shares, "node", "left").select("sig", "node", "n", "level", solo.alias("solo"))
 
@@ -346,7 +351,7 @@ class _Join:
         The counted tokens rule most pairs out; whole sets are moved for the rest.
         """
         pairs = cut(pairs)
-        counted_lists = self.heads.select("node", "n", "tokens").join(small_side(cut(_ends(pairs))), "node", "left_semi")
+        counted_lists = self.heads.select("node", "n", "tokens").join(_small(cut(_ends(pairs))), "node", "left_semi")
         pairs = cut(
             self._beside(pairs, counted_lists).select("a", "b", "na", "nb", "ta", "tb")
             .mapInArrow(_plausible(self.percent), "a bigint, b bigint").distinct()
@@ -378,10 +383,10 @@ class _Join:
 
     def _without_own(self, entries: DataFrame, tokens: DataFrame, known: Column) -> DataFrame:
         """One round of ``narrowed`` over ``tokens`` (node, token), which stand for ``known`` of a node."""
-        comps = small_side(cut(entries.select("node", "comp").distinct()))
+        comps = _small(cut(entries.select("node", "comp").distinct()))
         tokens = tokens.join(comps, "node")
         spread = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        shared = small_side(cut(spread.where("lo < hi").select("token")))
+        shared = _small(cut(spread.where("lo < hi").select("token")))
         common = tokens.join(shared, "token", "left_semi").groupBy("node").agg(F.count("*").alias("_common"))
         least = entries.groupBy("sig").agg(F.min("n").alias("_least"))
         other = F.greatest(F.col("_least"), F.ceil(F.col("n") * self.percent / 100 - 1e-9))
@@ -403,7 +408,7 @@ class _Join:
             .select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
         )
         links = self.verify(pairs).where("linked").select("a", "b")
-        placed = entries.select("sig", "node", "n").join(small_side(components(links)), "node", "left").withColumn(
+        placed = entries.select("sig", "node", "n").join(_small(components(links)), "node", "left").withColumn(
             "comp", F.coalesce("comp", "node")
         )
         return links.union(self.beyond_hubs(self.narrowed(_still_open(placed)), pairs))
@@ -494,12 +499,12 @@ def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """
     found = cut(near_equal(docs, k=k, percent=percent).select("doc_id", "node", "component_id"))
     keep = found.where(F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = small_side(cut(keep.select(F.col("doc_id").alias("_id")).distinct()))
+    keep = _small(cut(keep.select(F.col("doc_id").alias("_id")).distinct()))
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
     repeated = cut(found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
     if repeated.isEmpty():
         return kept
-    repeated = small_side(repeated)
+    repeated = _small(repeated)
     again = kept["doc_id"].eqNullSafe(repeated["_id"])
     return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates())
 
