@@ -129,7 +129,7 @@ def ring_buffer_explode(buffers: DataFrame) -> DataFrame:
     data, action = F.col("e.data"), F.col("e.action")
     return rows.select(
         "server_name",
-        cast_to(_named(action, "session_id", "value"), "smallint").cast("int").alias("session_id"),
+        cast_to(_named(action, "session_id", "value"), "int").alias("session_id"),
         F.col("e._name").alias("event_name"),
         cast_to(F.col("e._timestamp"), "timestamp").alias("event_time"),
         cast_to(_named(data, "error_number", "value"), "int").alias("error_number"),

@@ -34,6 +34,13 @@ def test_ring_buffer_without_events(spark):
     assert shred.ring_buffer_explode(df).isEmpty()
 
 
+def test_ring_buffer_session_numbers_beyond_two_bytes(spark):
+    numbers = ["7", "32767", "32768", "2147483647", "2147483648", "x"]
+    events = "".join(f'<event name="e"><action name="session_id"><value>{n}</value></action></event>' for n in numbers)
+    df = spark.createDataFrame([("s", f"<RingBufferTarget>{events}</RingBufferTarget>")], "server_name string, target_data string")
+    assert [r.session_id for r in shred.ring_buffer_explode(df).collect()] == [7, 32767, 32768, 2147483647, None, None]
+
+
 def test_deadlock_with_one_process_and_without_any(spark, at):
     def doc(processes):
         return f'<event name="xml_deadlock_report" timestamp="2024-07-01T12:00:00Z"><data name="xml_report"><value><deadlock><process-list>{processes}</process-list></deadlock></value></data></event>'
