@@ -42,6 +42,10 @@ def error_html_rows(errors: DataFrame, cells: list[str], *, keep: list[str]) ->
 
 
 _ROOT = r"(?s)<(?:[\w.-]+:)?EVENT_INSTANCE(?:\s[^<>]*)?>(.*)</(?:[\w.-]+:)?EVENT_INSTANCE\s*>"
+# an element without markup inside; its name and text
+_LEAF = r"""<(?:[\w.-]+:)?([\w.-]+)(?:\s(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)?(?<!/)>([^<]*+)</[^<>]*+>"""
+# name and text of an element while a document is worked on: characters no XML document holds
+_NAME, _TEXT, _END = "\x01", "\x02", "\x03"
 _TAG = r"""<(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
 
 
@@ -62,14 +66,11 @@ def event_to_html(body: Column) -> Column:
     for <, > and & stay as they are, so the cells are escaped.  Comments give nothing, CDATA
     sections are text.
     """
-    inner = F.regexp_extract(_plain_markup(body), _ROOT, 1)
-    texts = F.split(inner, _TAG)
-    # one walk over the tags, each with the text behind it
-    steps = F.transform(F.regexp_extract_all(inner, F.lit(_TAG), F.lit(0)), lambda t, i: F.struct(t.alias("tag"), F.get(texts, i + 1).alias("text")))
-
+    # elements without markup inside are marked in one pass, so that the walk sees only the tags of the others
+    inner = F.regexp_replace(F.regexp_extract(_plain_markup(body), _ROOT, 1), _LEAF, f"{_NAME}$1{_TEXT}$2{_END}")
     def row(name: Column, value: Column) -> Column:
-        text = F.replace(F.replace(value, F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'"))
-        return F.concat(F.lit("<tr><td>"), name, F.lit("</td><td>"), text, F.lit("</td></tr>"))
+        text = F.when(F.contains(value, F.lit(_NAME)), F.regexp_replace(value, f"{_NAME}[^{_TEXT}]*+{_TEXT}|{_END}", "")).otherwise(value)
+        return F.concat(F.lit(_NAME), name, F.lit(_TEXT), text, F.lit(_END))
 
     def walk(state: Column, step: Column) -> Column:
         tag, depth = step["tag"], state["depth"]
@@ -77,15 +78,28 @@ def event_to_html(body: Column) -> Column:
         ends = F.startswith(tag, F.lit("</"))
         empty = F.endswith(tag, F.lit("/>"))
         name = F.regexp_extract(tag, r"^<(?:[\w.-]+:)?([\w.-]+)", 1)
-        top = depth == 0
+        top, opens = depth == 0, ~other & ~ends & ~empty
+        # behind a tag that leaves no child open, elements of the text are children
+        closed = (top & ~opens) | (ends & (depth == 1))
         return F.struct(
             F.when(other | empty, depth).when(ends, depth - 1).otherwise(depth + 1).alias("depth"),
-            F.when(top & ~other & ~ends, name).otherwise(state["name"]).alias("name"),
-            F.when(top & ~other, step["text"]).otherwise(F.concat(state["text"], step["text"])).alias("text"),
-            F.when(ends & (depth == 1), F.concat(state["rows"], row(state["name"], state["text"])))
-            .when(empty & top, F.concat(state["rows"], row(name, F.lit("")))).otherwise(state["rows"]).alias("rows"),
+            F.when(top & opens, name).otherwise(state["name"]).alias("name"),
+            F.when(top, step["text"]).otherwise(F.concat(state["text"], step["text"])).alias("text"),
+            F.when(ends & (depth == 1), F.concat(state["rows"], row(state["name"], state["text"]), step["text"]))
+            .when(empty & top, F.concat(state["rows"], row(name, F.lit("")), step["text"]))
+            .when(closed, F.concat(state["rows"], step["text"])).otherwise(state["rows"]).alias("rows"),
         )
 
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("name"), F.lit("").alias("text"), F.lit("").alias("rows"))
-    table = F.concat(F.lit('<table border="1">'), F.aggregate(steps, start, walk)["rows"], F.lit("</table><br/>"))
-    return F.replace(table, F.lit(tx.CRLF), F.lit("<br/>"))
+
+    def table(x: Column) -> Column:
+        # the tags, each with the text behind it; a first step holds the text before all tags
+        tags = F.concat(F.array(F.lit("<?>")), F.regexp_extract_all(x, F.lit(_TAG), F.lit(0)))
+        steps = F.zip_with(tags, F.split(x, _TAG), lambda t, behind: F.struct(t.alias("tag"), behind.alias("text")))
+        rows = F.regexp_extract(F.aggregate(steps, start, walk)["rows"], f"(?s).*{_END}", 0)
+        rows = F.regexp_replace(rows, f"[^{_NAME}]*+{_NAME}([^{_TEXT}]*+){_TEXT}([^{_END}]*+){_END}", "<tr><td>$1</td><td>$2</td></tr>")
+        rows = F.replace(F.replace(rows, F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'"))
+        return F.replace(F.concat(F.lit('<table border="1">'), rows, F.lit("</table><br/>")), F.lit(tx.CRLF), F.lit("<br/>"))
+
+    # a function of one element: what is used twice inside a function is worked out again each time, its argument is not
+    return F.get(F.transform(F.array(inner), table), F.lit(0))

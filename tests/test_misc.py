@@ -214,3 +214,19 @@ def test_event_to_html(spark, inner, cells):
     df = spark.createDataFrame([(f"<EVENT_INSTANCE>{inner}</EVENT_INSTANCE>",)], "body string")
     want = "".join(f"<tr><td>{n}</td><td>{v}</td></tr>" for n, v in cells)
     assert df.select(event_to_html(F.col("body"))).first()[0] == f'<table border="1">{want}</table><br/>'
+
+
+def test_event_to_html_of_a_document_with_many_children(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from fleetlens.operators.events import event_to_html
+
+    inner = "".join(f"<A{i}><B>x</B>\n<C/>y &quot;{i}</A{i}><D k=\"1>2\">{i} > 0</D> " for i in range(3000))
+    want = "".join(f'<tr><td>A{i}</td><td>x\ny "{i}</td></tr><tr><td>D</td><td>{i} > 0</td></tr>' for i in range(3000))
+    df = spark.createDataFrame([(f"<EVENT_INSTANCE>{inner}</EVENT_INSTANCE>",)], "body string")
+    start = time.monotonic()
+    assert df.select(event_to_html(F.col("body"))).first()[0] == f'<table border="1">{want}</table><br/>'
+    # lists of the document that are built again for every tag took over a minute
+    assert time.monotonic() - start < 20
