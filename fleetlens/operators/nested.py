@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import text as tx
+from fleetlens.functions.joins import reduced_side
 from fleetlens.session import cut
 from fleetlens.sources import schemas as s
 
@@ -116,9 +119,12 @@ def dependency_closure(dependencies: DataFrame, *, default_schema: str = "dbo")
     A reference without a server, database or schema means that of the object, and the default
     schema.  Names are compared without regard to case.  Returns the object (server_name,
     database_name, schema_name, object_name), what it needs (needed_*), ``depth``, the fewest steps
-    to it, and ``in_cycle``, whether the object needs itself.  Every round extends only the pairs
-    that the round before found, so the work is bounded by the result times the references of an object,
-    and a pair on a cycle is found once.
+    to it, and ``in_cycle``, whether the object needs itself.
+
+    The search runs on numbers of the objects.  Every round extends the pairs that the round
+    before found, less those of the two rounds before; pairs of all rounds are left out at depths 4, 8, 16, ...
+    and the fewest steps are taken at the end.  So the pairs found so far are moved a few times and not in
+    every round; what is found again in between, over ways of other lengths, ends at the next such depth.
     """
     own = lambda c, d: F.lower(F.coalesce(F.col(c), d))
     source = [F.lower(c).alias(c) for c in NODE]
@@ -130,21 +136,23 @@ def dependency_closure(dependencies: DataFrame, *, default_schema: str = "dbo")
     ]
     needed = [f"needed_{c}" for c in NODE]
     edges = cut(dependencies.select(*source, *target).dropna().distinct())
-    step = edges.select(*[F.col(c).alias(f"needed_{c}") for c in NODE], *[F.col(c).alias(f"_{c}") for c in needed])
-    fresh = pairs = edges.withColumn("depth", F.lit(1))
-    depth = 1
-    while not fresh.isEmpty():
-        depth += 1
-        found = fresh.drop("depth").join(step, needed).select(*NODE, *[F.col(f"_{c}").alias(c) for c in needed]).distinct()
-        fresh = cut(found.join(pairs, [*NODE, *needed], "left_anti").withColumn("depth", F.lit(depth)))
-        pairs = pairs.unionByName(fresh)
-        if depth % 8 == 0:  # the union of many small parts is put together now and then
-            pairs = cut(pairs)
-    itself = F.lit(True)
-    for c in NODE:
-        itself = itself & (F.col(c) == F.col(f"needed_{c}"))
-    circles = pairs.where(itself).select(*NODE, F.lit(True).alias("_circle"))
-    return pairs.join(circles, NODE, "left").select(*NODE, *needed, "depth", F.coalesce("_circle", F.lit(False)).alias("in_cycle"))
+    objects = edges.select(*NODE).union(edges.select(*needed)).distinct()
+    objects = cut(objects.withColumn("a", F.monotonically_increasing_id()))  # numbers stay as they are once cut
+    others = objects.select(F.col("a").alias("b"), *[F.col(c).alias(f"needed_{c}") for c in NODE])
+    edges = cut(edges.join(objects, NODE).join(others, needed).select("a", "b"))
+    step = edges.where("a <> b").select(F.col("a").alias("b"), F.col("b").alias("c"))
+    found = [edges]
+    while not found[-1].isEmpty():
+        depth = len(found) + 1
+        known = found if depth >= 4 and depth & (depth - 1) == 0 else found[-2:]
+        further = found[-1].join(step, "b").select("a", F.col("c").alias("b")).distinct()
+        found.append(cut(further.join(reduce(DataFrame.union, known), ["a", "b"], "left_anti")))
+    pairs = reduce(DataFrame.union, [rows.withColumn("depth", F.lit(i)) for i, rows in enumerate(found, 1)])
+    circles = pairs.where("a = b").select("a", F.lit(True).alias("_circle")).distinct()
+    # dealt by object once, for the fewest steps and for its names
+    pairs = pairs.repartition("a").groupBy("a", "b").agg(F.min("depth").alias("depth"))
+    named = pairs.join(objects, "a").join(reduced_side(circles), "a", "left").join(others, "b")
+    return named.select(*NODE, *needed, "depth", F.coalesce("_circle", F.lit(False)).alias("in_cycle"))
 
 
 def referenced_entities_collect(references: DataFrame, read_only: DataFrame) -> DataFrame:

@@ -33,6 +33,40 @@ def test_equals_a_search_from_every_object(spark):
     assert closure(spark, rows + rows[:9]) == want
 
 
+def test_circles_of_several_lengths_and_ways_of_other_lengths(spark):
+    """Pairs found again between the depths at which all pairs are left out; ends, and keeps the fewest steps."""
+    pairs = {(a, (a + 1) % 7) for a in range(7)} | {(10 + a, 10 + (a + 1) % 3) for a in range(3)}
+    pairs |= {(6, 10), (11, 20), (20, 20), (20, 21), (21, 22), (22, 20), (0, 22), (30, 31), (31, 30), (30, 0), (2, 21)}
+    below = {}
+    for a, b in pairs:
+        below.setdefault(a, set()).add(b)
+    want = {}
+    for a in below:
+        seen, level, depth = {}, below[a], 0
+        while level:
+            depth += 1
+            seen |= {b: depth for b in level}
+            level = {c for b in level for c in below.get(b, ())} - set(seen)
+        want |= {(f"o{a}", f"o{b}"): (k, a in seen) for b, k in seen.items()}
+    assert closure(spark, [("s", "d", "dbo", f"o{a}", None, None, None, f"o{b}") for a, b in pairs]) == want
+
+
+def test_rounds_keep_numbers_and_not_names(spark):
+    from pathlib import Path
+
+    from fleetlens.session import shared_dir
+
+    rng = random.Random(5)
+    names = [[rng.randbytes(200).hex() for _ in range(10)] for _ in range(9)]
+    rows = [("s", "d", "dbo", a, None, None, None, b) for i in range(8) for a in names[i] for b in names[i + 1]]
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    old = set(folder.rglob("part-*"))
+    got = n.dependency_closure(spark.createDataFrame(rows, SCHEMA))
+    written = sum(f.stat().st_size for f in set(folder.rglob("part-*")) - old)
+    # 3,600 pairs of two names of 400 bytes; 800 references and 90 objects are kept with their names
+    assert got.count() == 3600 and 0 < written < 1_500_000
+
+
 def test_a_long_chain(spark):
     rows = [("s", "d", "dbo", f"o{i}", None, None, None, f"o{i + 1}") for i in range(20)]
     got = closure(spark, rows)
