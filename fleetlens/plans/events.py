@@ -8,6 +8,8 @@ from fleetlens.operators import events as e
 from fleetlens.plans.registry import query
 from fleetlens.session import stage_path
 from fleetlens.sources import documents, shred
+from fleetlens.sources.fixtures import Fixtures
+from fleetlens.sources.tables import spread_small_scan
 from fleetlens.streaming import batches, rechecks
 from fleetlens.streaming import handlers as h
 from fleetlens.streaming.runs import read_files, run_to_parquet
@@ -212,8 +214,11 @@ UNION ALL SELECT '{name} audit', server_name, event_id, post_time, {audit} FROM
 ]))
 def outputs_together(t):
     """Five outputs of one read of the event stream: mails and audit rows of two families, and what could not be read."""
-    source = read_files(t.spark, f"{t.sf_dir}/events.parquet", files_per_trigger=4)
-    stream = shred.server_event_shred(t.derive("fx_server_event_xml", {"events": source}))
+    stream = read_files(t.spark, f"{t.sf_dir}/events.parquet", files_per_trigger=4)
+
+    def messages(batch):
+        here = Fixtures(batch.sparkSession, t.sf_dir)
+        return shred.server_event_shred(here.derive("fx_server_event_xml", {"events": spread_small_scan(batch)})).drop("event")
 
     def outputs(batch, high):
         deadlock, deprecation = h.deadlock_events(batch), h.deprecation_events(batch)
@@ -225,7 +230,7 @@ def outputs_together(t):
             "quarantine": h.quarantined_events(batch).withColumnRenamed("message_body", "text"),
         }
 
-    path = batches.run_together(stream, outputs)
+    path = batches.run_together(stream, outputs, prepare=messages)
     rows = None
     for name in ("deadlock alert", "deadlock audit", "deprecation alert", "deprecation audit", "quarantine"):
         one = batches.read_output(t.spark, path, name, "server_name string, event_id bigint, post_time timestamp_ntz, text string")

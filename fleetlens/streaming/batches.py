@@ -57,13 +57,16 @@ def read_output(spark: SparkSession, path: str, name: str, schema: T.StructType
 
 
 def run_together(
-    stream: DataFrame, outputs: Outputs, *, path: str | None = None, checkpoint: str | None = None, time: str | None = None
+    stream: DataFrame, outputs: Outputs, *, path: str | None = None, checkpoint: str | None = None, time: str | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> str:
     """Run a stream over all available input into several outputs; returns their folder.
 
     ``time`` names the event time whose highest value the ledger keeps.  A second run with the
     same ``path`` and ``checkpoint`` takes only new files, and first repeats a batch that a crash
     left unfinished.  The source bounds a batch (``files_per_trigger`` of ``read_files``).
+    ``prepare`` makes the rows that the outputs share from a batch, before they are held: there a
+    batch can be spread by its rows, which a stream cannot.
     """
     spark = stream.sparkSession
     path = path or stage_path(spark, "batches")
@@ -74,7 +77,7 @@ def run_together(
         before = ledger(here, path).agg(F.max("batch").alias("last"), F.max("high").alias("high")).first()
         if before["last"] is not None and before["last"] >= number:
             return  # the crash came after the ledger row
-        batch = batch.persist()
+        batch = (prepare(batch) if prepare else batch).persist()
         try:
             counts = {}
             for name, rows in outputs(batch, before["high"]).items():

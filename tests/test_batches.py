@@ -74,6 +74,19 @@ def test_a_batch_with_a_ledger_row_is_passed_over(spark, feed):
     assert batches.ledger(spark, path).count() == 1
 
 
+def test_a_batch_is_spread_before_it_is_held(spark, feed):
+    folder = feed(*[(i, "01 10:00:00") for i in range(400)])
+    seen = []
+
+    def outputs(batch, high):
+        seen.append([r["count"] for r in batch.groupBy(F.spark_partition_id()).count().collect()])
+        return {"all": batch}
+
+    path = batches.run_together(read_files(spark, folder), outputs, prepare=lambda b: b.repartition(4).withColumn("twice", F.col("id") * 2))
+    assert seen == [[100] * 4]
+    assert batches.read_output(spark, path, "all", f"{ROW}, twice bigint").agg(F.sum("twice")).first()[0] == 400 * 399
+
+
 def test_late_rows_are_kept(spark, feed):
     path, offsets = stage_path(spark, "late"), stage_path(spark, "late-offsets")
     deliveries = [
