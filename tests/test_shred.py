@@ -17,6 +17,20 @@ def test_blocked_report_bad_and_partial_documents(spark, rows, at):
     assert len(shred.blocked_process_shred(df).columns) == 8 + 21 + 31 + 2
 
 
+def test_blocked_reports_are_not_dealt_by_database(spark, at):
+    """The join with the databases is a broadcast, whatever size the planner takes their source for."""
+    report = "server_name string, database_id int, blocked_process_id bigint, post_time timestamp_ntz, duration_us bigint, index_id int, is_system boolean, session_login_name string, text_data string"
+    df = spark.createDataFrame([("s", i % 2, i, at("2024-01-01 00:00:00"), 1, 1, False, "u", "<TextData/>") for i in range(4)], report)
+    names = spark.range(3).selectExpr("'s' AS server_name", "cast(id AS int) AS database_id", "concat('d', id) AS database_name").distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = shred.blocked_process_shred(df, names)
+        assert sorted(r.database_name for r in out.collect()) == ["d0", "d0", "d1", "d1"]
+        assert "SortMergeJoin" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_error_event_nodes(spark):
     text = (
         '<event name="error_reported" timestamp="2024-01-01T10:00:00.123Z"><data name="severity"><value>16</value></data><data name="state"><value>x</value></data>'
