@@ -105,8 +105,10 @@ def blocking_chain_metrics(edges: DataFrame) -> DataFrame:
 
     The input is the flagged output of ``lead_blockers``.  A victim reached over
     two paths counts twice; paths are counted, never listed.  A lead whose chain runs into a
-    cycle has ``chain_status`` 'cycle' and no figures; all others are 'complete'.
+    cycle has ``chain_status`` 'cycle' and no figures; all others are 'complete'.  The rows are
+    read several times and therefore materialised first.
     """
+    edges = cut(edges)
     chained = edges.where(~F.col("is_lead_blocker")).select(*LOOP, "blk_spid", "vic_spid", "duration_ms")
     below = _chain_sums(chained)
     count = F.when(F.col("_below").isNull(), F.lit(1).cast("bigint")).otherwise(F.try_add(F.col("paths"), F.lit(1)))
@@ -129,6 +131,7 @@ def blocking_cycles(edges: DataFrame) -> DataFrame:
     the longest way inside a cycle and above it.  Cycles have no lead, so all edges count.
     """
     pairs = edges.where(F.col("blk_spid").isNotNull() & F.col("vic_spid").isNotNull() & (F.col("blk_spid") != F.col("vic_spid")))
+    pairs = cut(pairs.select(*LOOP, "blk_spid", "vic_spid"))  # read several times below
     endless = _chain_sums(pairs.select(*LOOP, "blk_spid", "vic_spid", F.lit(0).cast("bigint").alias("duration_ms")))
     endless = cut(endless.where("endless").select(*LOOP, F.col("vic_spid").alias("v")))
     arcs = pairs.select(*LOOP, F.col("blk_spid").alias("v"), F.col("vic_spid").alias("w")).distinct()
