@@ -20,7 +20,8 @@ signature of a higher level makes no candidate.
 
 Only the lowest tokens by hash are counted at first; a node that finds too few rare
 ones among them is worked out from its whole set, and its tokens from further up are
-looked up among the others.
+looked up among the others.  The counted tokens are moved once, as (node, place, token)
+with the row number as node, and those of one node only end there.
 
 Candidates are verified exactly, after a bound from the counted tokens has ruled out most
 of the false ones.  First every index entry is compared with one hub per signature, the
@@ -44,10 +45,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.joins import small_side
+from fleetlens.functions.joins import measured_bytes, small_side
 from fleetlens.llm.components import components
 from fleetlens.llm.registry import query, table
 from fleetlens.llm.textbytes import WordHasher, column_bytes, mixed, shingle_hashes
@@ -59,6 +60,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FREQUENT = 24
 CLASSES = 8
 SIDE_BYTES = 8 * 1024 * 1024  # many broadcast sides live at once here, and all pass the driver
+SAMPLE, CROWDED = 4096, 40  # nodes looked at, and those with one token among them that make it crowded
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -268,30 +270,38 @@ class _Join:
         self.docs = docs.select("doc_id", "text")
         sets = self.docs.mapInArrow(_set_rows(k, percent, False), "doc_id bigint, n bigint, node bigint, tokens array<bigint>")
         # the narrow table is read several times; its row numbers are fixed once it is written
-        self.rows = cut(sets.withColumn("row", F.monotonically_increasing_id()))
-        self.members = self.rows.select("doc_id", "n", "node")
-        nodes = self.rows.where("n > 0").groupBy("node").agg(
+        rows = cut(sets.withColumnRenamed("node", "print").withColumn("row", F.monotonically_increasing_id()))
+        self.members = cut(rows.select("doc_id", "n", "print"))
+        nodes = rows.where("n > 0").groupBy("print").agg(
             F.min("doc_id").alias("label"), F.first("n").alias("n"),
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("head"),
         )
-        self.nodes = cut(nodes.select("node", "label", "n", F.col("head.row").alias("row")))
-        # one row per node stands for it
-        self.heads = self.rows.join(_small(self.nodes.select("row")), "row", "left_semi")
+        # one row per node stands for it, and its number, which packs well, names the node
+        self.nodes = cut(nodes.select(F.col("head.row").alias("node"), "print", "label", "n"))
+        heads = self.nodes.select(F.col("node").alias("row"))
+        few = measured_bytes(heads) <= SIDE_BYTES
+        self.heads = rows.join(F.broadcast(heads) if few else heads, "row", "left_semi").select(
+            F.col("row").alias("node"), "n", "tokens"
+        )
+        if not few:  # else every reader would move all lists again
+            self.heads = cut(self.heads)
         self.repeated = cut(self.members.groupBy("doc_id").count().where("count > 1").select("doc_id"))
         self.ids_repeat = not self.repeated.isEmpty()
 
     def whole_sets(self, nodes: DataFrame) -> DataFrame:
         """(node, n, tokens) with the whole sets of the given nodes, each text worked on once."""
-        wanted = cut(nodes.select("node").distinct().join(self.nodes, "node").select("node", F.col("label").alias("_id")))
-        of, ids = _small(wanted), _small(wanted.select("_id").distinct())
+        wanted = self.nodes.select("node", "print", F.col("label").alias("_id"))
+        wanted = cut(nodes.select("node").distinct().join(wanted, "node"))
+        # ids that are not broadcast move all texts
+        of, ids = _small(wanted), small_side(wanted.select("_id").distinct())
 
         def sets(docs: DataFrame) -> DataFrame:
             texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
             found = texts.mapInArrow(
-                _set_rows(self.k, self.percent, True), "doc_id bigint, n bigint, node bigint, tokens array<bigint>"
+                _set_rows(self.k, self.percent, True), "doc_id bigint, n bigint, print bigint, tokens array<bigint>"
             )
-            mine = (found["node"] == of["node"]) & found["doc_id"].eqNullSafe(of["_id"])
-            return found.join(of, mine, "left_semi").select("node", "n", "tokens")
+            mine = (found["print"] == of["print"]) & found["doc_id"].eqNullSafe(of["_id"])
+            return found.join(of, mine).select("node", "n", "tokens")
 
         if not self.ids_repeat:
             return sets(self.docs)
@@ -301,22 +311,40 @@ class _Join:
         once, more = (self.docs.join(again, same, how) for how in ("left_anti", "left_semi"))
         return sets(once).union(sets(more).dropDuplicates(["node"]))
 
+    def shared_tokens(self, tokens: DataFrame) -> DataFrame:
+        """(node, pos, token, often) of the counted tokens that at least two nodes have.
+
+        Tokens are dealt out once and counted where they then lie.  Those that a sample of
+        nodes shows to be crowded would fill a task; they are counted by partial sums and
+        their rows are not dealt at all.  The sample picks the way only, all counts are exact.
+        """
+        every = max(1, self.nodes.count() // SAMPLE)
+        seen = tokens.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).groupBy("token").count()
+        crowded = _small(cut(seen.where(F.col("count") >= CROWDED).select("token")))
+        counts = tokens.join(crowded, "token", "left_semi").groupBy("token").agg((F.count("*") > FREQUENT).alias("often"))
+        crowds = tokens.join(_small(cut(counts)), "token")
+        rest = tokens.join(crowded, "token", "left_anti")
+        rest = rest.withColumn("cnt", F.count("*").over(Window.partitionBy("token"))).where("cnt > 1")
+        rest = rest.withColumn("often", F.col("cnt") > FREQUENT)
+        columns = ["node", "pos", "token", "often"]
+        return cut(rest.select(columns).union(crowds.select(columns)))
+
     def index(self) -> DataFrame:
         """(sig, node, n, level, solo): every signature that at least two nodes may share.
 
         ``solo`` counts the node's counted tokens that no other node has counted.
         """
-        tokens = self.heads.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
-        counts = tokens.groupBy("token").agg(F.count("*").alias("cnt")).where("cnt > 1")
-        counts = cut(counts.select("token", (F.col("cnt") > FREQUENT).alias("often")))
-        shared = cut(tokens.join(small_side(counts), "token"))
+        tokens = self.heads.select("node", F.posexplode("tokens").alias("pos", "token"))
+        shared = self.shared_tokens(tokens)
         self.shared = shared.select("node", "token")
-        often = _small(cut(counts.where("often").select("token")))
-        spare = F.col("_often") > F.lit(0)
-        per_node = shared.where("often").groupBy("node", "n").agg(F.count("*").alias("_often"))
-        need = F.col("n") - F.floor((F.col("n") * self.percent + 99) / 100) + 1
-        held = _held(F.col("n"), self.percent)
-        hard = cut(per_node.where(spare & (held - F.col("_often") < need)).select("node"))
+        often = _small(cut(shared.where("often").select("token").distinct()))
+        held, need = _held(F.col("n"), self.percent), F.col("n") - F.floor((F.col("n") * self.percent + 99) / 100) + 1
+        per_node = shared.groupBy("node").agg(F.count("*").alias("_shared"), F.count_if("often").alias("_often"))
+        sizes = cut(self.nodes.select("node", "n").join(per_node, "node", "left").select(
+            "node", "n", F.coalesce("_often", F.lit(0)).alias("_often"),
+            (held - F.coalesce("_shared", F.lit(0))).cast("bigint").alias("solo"),
+        ))
+        hard = cut(sizes.where((F.col("_often") > 0) & (held - F.col("_often") < need)).select("node"))
         sets = cut(self.whole_sets(hard))
         found = sets.select("node", F.explode("tokens").alias("token")).join(often, "token").groupBy("node").agg(
             F.collect_list("token").alias("often")  # at most the tokens of one text
@@ -325,19 +353,21 @@ class _Join:
             _signature_rows(self.percent), "sig bigint, node bigint, n bigint, beyond boolean, level bigint"
         ))
         # tokens that hard nodes index from beyond the counted part, in the others' counted parts
-        far = hard_sigs.where("beyond").select(F.col("sig").alias("token")).distinct().join(counts, "token", "left_anti")
-        looked_up = tokens.join(_small(cut(far)), "token").withColumn("often", F.lit(False))
+        beyond = cut(hard_sigs.where("beyond").select(F.col("sig").alias("token")).distinct())
+        known = shared.join(small_side(beyond), "token", "left_semi").select("token").distinct()
+        far = cut(beyond.join(known, "token", "left_anti"))
+        looked_up = tokens.join(small_side(far), "token").withColumn("often", F.lit(False))  # else all tokens move again
         easy = shared.unionByName(looked_up).join(_small(hard), "node", "left_anti")
         # place among the rare tokens = place minus the frequent ones before it
         before = easy.where("often").groupBy("node").agg(F.collect_list("pos").alias("_often_at"))
         rank = F.col("pos") - F.coalesce(F.size(F.filter("_often_at", lambda p: p < F.col("pos"))), F.lit(0))
         easy = easy.where(~F.col("often")).join(before, "node", "left").withColumn(
             "level", F.when(F.col("_often_at").isNull(), F.col("pos")).otherwise(rank).cast("bigint")
-        ).where(F.col("level") < need)
-        entries = easy.select(F.col("token").alias("sig"), "node", "n", "level").union(hard_sigs.select("sig", "node", "n", "level"))
-        shares = _small(cut(shared.groupBy("node").agg(F.count("*").alias("_shared"))))
-        solo = (held - F.coalesce("_shared", F.lit(0))).cast("bigint")
-        return entries.join(shares, "node", "left").select("sig", "node", "n", "level", solo.alias("solo"))
+        )
+        sizes = _small(sizes.select("node", "n", "solo"))
+        easy = easy.select(F.col("token").alias("sig"), "node", "level").join(sizes, "node").where(F.col("level") < need)
+        hard_sigs = hard_sigs.select("sig", "node", "level").join(sizes, "node")
+        return easy.union(hard_sigs).select("sig", "node", "n", "level", "solo")
 
     def _beside(self, pairs: DataFrame, lists: DataFrame) -> DataFrame:
         """Pairs with the sizes and token lists of both sides."""
@@ -351,7 +381,8 @@ class _Join:
         The counted tokens rule most pairs out; whole sets are moved for the rest.
         """
         pairs = cut(pairs)
-        counted_lists = self.heads.select("node", "n", "tokens").join(_small(cut(_ends(pairs))), "node", "left_semi")
+        # ends that are not broadcast move all lists
+        counted_lists = self.heads.select("node", "n", "tokens").join(small_side(cut(_ends(pairs))), "node", "left_semi")
         pairs = cut(
             self._beside(pairs, counted_lists).select("a", "b", "na", "nb", "ta", "tb")
             .mapInArrow(_plausible(self.percent), "a bigint, b bigint").distinct()
@@ -371,6 +402,7 @@ class _Join:
         """
         # first by the counted tokens, of which those of one node only are known; then by whole sets
         entries = self._without_own(entries, self.shared, _held(F.col("n"), self.percent))
+        del self.shared  # its files may go
         lists = cut(self.whole_sets(entries.select("node").distinct()).select("node", "tokens"))
         tokens, left = lists.select("node", F.explode("tokens").alias("token")), entries.count()
         while left:
@@ -402,6 +434,7 @@ class _Join:
         # the hub of a signature is the node with the fewest tokens of its own
         hubs = index.groupBy("sig").agg(F.min(F.struct("solo", "node", "n", "level")).alias("hub"), F.count("*").alias("m"))
         entries = cut(index.join(hubs.where("m > 1"), "sig").select("sig", "node", "n", "level", "hub"))
+        del index, hubs  # their files may go
         near = _candidates(F.col("n"), F.col("level"), F.col("hub.n"), F.col("hub.level"), self.percent)
         pairs = cut(
             entries.where((F.col("node") != F.col("hub.node")) & near)
@@ -482,8 +515,8 @@ def near_equal(docs: DataFrame, *, k: int = 4, percent: int = 85) -> DataFrame:
     comps = components(join.links())
     nodes = join.nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = nodes.groupBy("comp").agg(F.min("label").alias("component_id"))
-    named = nodes.join(lowest, "comp").select("node", "component_id")
-    rows = join.members.join(named, "node", "left")
+    named = nodes.join(lowest, "comp").select("node", "print", "component_id")
+    rows = join.members.join(named, "print", "left")
     return rows.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -499,8 +532,11 @@ def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """
     found = cut(near_equal(docs, k=k, percent=percent).select("doc_id", "node", "component_id"))
     keep = found.where(F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = _small(cut(keep.select(F.col("doc_id").alias("_id")).distinct()))
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
+    keep = keep.select(F.col("doc_id").alias("_id")).distinct()
+    # fewer go than stay, and a side that is not broadcast moves all texts
+    go = found.join(keep, found["doc_id"].eqNullSafe(keep["_id"]), "left_anti").select(F.col("doc_id").alias("_id"))
+    go = small_side(cut(go.distinct()))
+    kept = docs.join(go, docs["doc_id"].eqNullSafe(go["_id"]), "left_anti")
     repeated = cut(found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
     if repeated.isEmpty():
         return kept
