@@ -48,7 +48,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.joins import measured_bytes, small_side
+from fleetlens.functions.joins import small_side
 from fleetlens.llm.components import components
 from fleetlens.llm.registry import query, table
 from fleetlens.llm.textbytes import WordHasher, column_bytes, mixed, shingle_hashes
@@ -278,13 +278,9 @@ class _Join:
         )
         # one row per node stands for it, and its number, which packs well, names the node
         self.nodes = cut(nodes.select(F.col("head.row").alias("node"), "print", "label", "n"))
-        heads = self.nodes.select(F.col("node").alias("row"))
-        few = measured_bytes(heads) <= SIDE_BYTES
-        self.heads = rows.join(F.broadcast(heads) if few else heads, "row", "left_semi").select(
-            F.col("row").alias("node"), "n", "tokens"
-        )
-        if not few:  # else every reader would move all lists again
-            self.heads = cut(self.heads)
+        # written once: else every reader would move all lists again, or send this side through the driver
+        heads = rows.join(_small(self.nodes.select(F.col("node").alias("row"))), "row", "left_semi")
+        self.heads = cut(heads.select(F.col("row").alias("node"), "n", "tokens"))
         self.repeated = cut(self.members.groupBy("doc_id").count().where("count > 1").select("doc_id"))
         self.ids_repeat = not self.repeated.isEmpty()
 
