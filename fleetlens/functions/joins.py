@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.session import cut
+from fleetlens.session import cut, cut_measured
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def measured_bytes(df: DataFrame) -> int:
+def _bytes(df: DataFrame) -> Column:
     """Rough in-memory size: lengths of text, binary and nested values, 16 bytes for the rest."""
     row = F.lit(0).cast("bigint")
     for field in df.schema:
@@ -22,7 +22,12 @@ def measured_bytes(df: DataFrame) -> int:
             row = row + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 24
         else:
             row = row + 16
-    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+    return F.coalesce(F.sum(row), F.lit(0))
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """The rough in-memory size of ``df``."""
+    return df.agg(_bytes(df)).first()[0]
 
 
 def small_side(df: DataFrame, *, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -42,3 +47,9 @@ def reduced_side(df: DataFrame, *, limit: int = BROADCAST_BYTES) -> DataFrame:
     other side.  The rows are materialised once, measured, and broadcast if small.
     """
     return small_side(cut(df), limit=limit)
+
+
+def cut_side(df: DataFrame, *, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``small_side`` of ``df`` as it is materialised here; it is measured while it is written."""
+    found, size = cut_measured(df, _bytes(df))
+    return F.broadcast(found) if size <= limit else found

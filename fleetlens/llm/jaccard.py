@@ -48,11 +48,11 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.joins import small_side
+from fleetlens.functions.joins import cut_side, small_side
 from fleetlens.llm.components import components
 from fleetlens.llm.registry import query, table
 from fleetlens.llm.textbytes import WordHasher, column_bytes, mixed, shingle_hashes
-from fleetlens.session import cut
+from fleetlens.session import cut, cut_measured
 
 # executors need not have this package: the task functions travel by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -60,6 +60,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FREQUENT = 24
 CLASSES = 8
 SIDE_BYTES = 8 * 1024 * 1024  # many broadcast sides live at once here, and all pass the driver
+TASKS, TASK_ROWS = 12, 4096  # a table is written by no more tasks than its documents fill, or by the first number
 SAMPLE, CROWDED = 4096, 40  # nodes looked at, and those with one token among them that make it crowded
 
 
@@ -67,6 +68,10 @@ def _small(df: DataFrame) -> DataFrame:
     return small_side(df, limit=SIDE_BYTES)
 
 
+def _small_cut(df: DataFrame) -> DataFrame:
+    return cut_side(df, limit=SIDE_BYTES)
+
+
 def allowed(n, percent: int):
     """How many of n tokens a linked set may lack; also the extra entries of its prefix."""
     return n - (n * percent + 99) // 100
@@ -248,12 +253,6 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def _still_open(entries: DataFrame) -> DataFrame:
-    """The entries of signatures in which several components meet."""
-    met = entries.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    return cut(entries.join(met.select("sig"), "sig", "left_semi"))
-
-
 def _candidates(na: Column, la: Column, nb: Column, lb: Column, percent: int) -> Column:
     """Whether a common signature of levels ``la`` and ``lb`` makes two sets a candidate pair.
 
@@ -271,25 +270,35 @@ class _Join:
         sets = self.docs.mapInArrow(_set_rows(k, percent, False), "doc_id bigint, n bigint, node bigint, tokens array<bigint>")
         # the narrow table is read several times; its row numbers are fixed once it is written
         rows = cut(sets.withColumnRenamed("node", "print").withColumn("row", F.monotonically_increasing_id()))
-        self.members = cut(rows.select("doc_id", "n", "print"))
+        self.members, size = cut_measured(rows.select("doc_id", "n", "print"), F.count("*"))
+        # a shuffle may have many more partitions than the rows need; each of them would be a file here and three there
+        self.tasks = max(TASKS, -(-size // TASK_ROWS))
         nodes = rows.where("n > 0").groupBy("print").agg(
             F.min("doc_id").alias("label"), F.first("n").alias("n"),
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("head"),
         )
         # one row per node stands for it, and its number, which packs well, names the node
-        self.nodes = cut(nodes.select(F.col("head.row").alias("node"), "print", "label", "n"))
+        self.nodes, self.size = cut_measured(
+            nodes.select(F.col("head.row").alias("node"), "print", "label", "n").coalesce(self.tasks), F.count("*")
+        )
         # written once: else every reader would move all lists again, or send this side through the driver
         heads = rows.join(_small(self.nodes.select(F.col("node").alias("row"))), "row", "left_semi")
-        self.heads = cut(heads.select(F.col("row").alias("node"), "n", "tokens"))
-        self.repeated = cut(self.members.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-        self.ids_repeat = not self.repeated.isEmpty()
+        self.heads = cut(heads.select(F.col("row").alias("node"), "n", "tokens").coalesce(self.tasks))
+        repeated = self.members.groupBy("doc_id").count().where("count > 1").select("doc_id")
+        self.repeated, self.ids_repeat = cut_measured(repeated.coalesce(self.tasks), F.count("*"))
+
+    def _cut(self, df: DataFrame) -> DataFrame:
+        return cut(df.coalesce(self.tasks))
+
+    def _small_cut(self, df: DataFrame) -> DataFrame:
+        return _small_cut(df.coalesce(self.tasks))
 
     def whole_sets(self, nodes: DataFrame) -> DataFrame:
         """(node, n, tokens) with the whole sets of the given nodes, each text worked on once."""
         wanted = self.nodes.select("node", "print", F.col("label").alias("_id"))
-        wanted = cut(nodes.select("node").distinct().join(wanted, "node"))
-        # ids that are not broadcast move all texts
-        of, ids = _small(wanted), small_side(wanted.select("_id").distinct())
+        of = self._small_cut(nodes.select("node").distinct().coalesce(self.tasks).join(wanted, "node"))
+        # ids that are not broadcast move all texts; nodes have an id in common only where ids repeat
+        ids = small_side(of.select("_id").distinct() if self.ids_repeat else of.select("_id"))
 
         def sets(docs: DataFrame) -> DataFrame:
             texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
@@ -314,16 +323,16 @@ class _Join:
         nodes shows to be crowded would fill a task; they are counted by partial sums and
         their rows are not dealt at all.  The sample picks the way only, all counts are exact.
         """
-        every = max(1, self.nodes.count() // SAMPLE)
+        every = max(1, self.size // SAMPLE)
         seen = tokens.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).groupBy("token").count()
-        crowded = _small(cut(seen.where(F.col("count") >= CROWDED).select("token")))
+        crowded = self._small_cut(seen.where(F.col("count") >= CROWDED).select("token"))
         counts = tokens.join(crowded, "token", "left_semi").groupBy("token").agg((F.count("*") > FREQUENT).alias("often"))
-        crowds = tokens.join(_small(cut(counts)), "token")
+        crowds = tokens.join(self._small_cut(counts), "token")
         rest = tokens.join(crowded, "token", "left_anti")
         rest = rest.withColumn("cnt", F.count("*").over(Window.partitionBy("token"))).where("cnt > 1")
         rest = rest.withColumn("often", F.col("cnt") > FREQUENT)
         columns = ["node", "pos", "token", "often"]
-        return cut(rest.select(columns).union(crowds.select(columns)))
+        return self._cut(rest.select(columns).union(crowds.select(columns)))
 
     def index(self) -> DataFrame:
         """(sig, node, n, level, solo): every signature that at least two nodes may share.
@@ -333,34 +342,34 @@ class _Join:
         tokens = self.heads.select("node", F.posexplode("tokens").alias("pos", "token"))
         shared = self.shared_tokens(tokens)
         self.shared = shared.select("node", "token")
-        often = _small(cut(shared.where("often").select("token").distinct()))
+        often = self._small_cut(shared.where("often").select("token").distinct())
         held, need = _held(F.col("n"), self.percent), F.col("n") - F.floor((F.col("n") * self.percent + 99) / 100) + 1
         per_node = shared.groupBy("node").agg(F.count("*").alias("_shared"), F.count_if("often").alias("_often"))
-        sizes = cut(self.nodes.select("node", "n").join(per_node, "node", "left").select(
+        sizes = self._small_cut(self.nodes.select("node", "n").join(per_node.coalesce(self.tasks), "node", "left").select(
             "node", "n", F.coalesce("_often", F.lit(0)).alias("_often"),
             (held - F.coalesce("_shared", F.lit(0))).cast("bigint").alias("solo"),
         ))
-        hard = cut(sizes.where((F.col("_often") > 0) & (held - F.col("_often") < need)).select("node"))
-        sets = cut(self.whole_sets(hard))
+        hard = self._small_cut(sizes.where((F.col("_often") > 0) & (held - F.col("_often") < need)).select("node"))
+        sets = self._cut(self.whole_sets(hard))
         found = sets.select("node", F.explode("tokens").alias("token")).join(often, "token").groupBy("node").agg(
             F.collect_list("token").alias("often")  # at most the tokens of one text
         )
-        hard_sigs = cut(sets.join(found, "node", "left").mapInArrow(
+        hard_sigs = self._cut(sets.join(found.coalesce(self.tasks), "node", "left").mapInArrow(
             _signature_rows(self.percent), "sig bigint, node bigint, n bigint, beyond boolean, level bigint"
         ))
         # tokens that hard nodes index from beyond the counted part, in the others' counted parts
-        beyond = cut(hard_sigs.where("beyond").select(F.col("sig").alias("token")).distinct())
+        beyond = self._cut(hard_sigs.where("beyond").select(F.col("sig").alias("token")).distinct())
         known = shared.join(small_side(beyond), "token", "left_semi").select("token").distinct()
-        far = cut(beyond.join(known, "token", "left_anti"))
+        far = self._cut(beyond.join(known, "token", "left_anti"))
         looked_up = tokens.join(small_side(far), "token").withColumn("often", F.lit(False))  # else all tokens move again
-        easy = shared.unionByName(looked_up).join(_small(hard), "node", "left_anti")
+        easy = shared.unionByName(looked_up).join(hard, "node", "left_anti")
         # place among the rare tokens = place minus the frequent ones before it
         before = easy.where("often").groupBy("node").agg(F.collect_list("pos").alias("_often_at"))
         rank = F.col("pos") - F.coalesce(F.size(F.filter("_often_at", lambda p: p < F.col("pos"))), F.lit(0))
         easy = easy.where(~F.col("often")).join(before, "node", "left").withColumn(
             "level", F.when(F.col("_often_at").isNull(), F.col("pos")).otherwise(rank).cast("bigint")
         )
-        sizes = _small(sizes.select("node", "n", "solo"))
+        sizes = sizes.drop("_often")
         easy = easy.select(F.col("token").alias("sig"), "node", "level").join(sizes, "node").where(F.col("level") < need)
         hard_sigs = hard_sigs.select("sig", "node", "level").join(sizes, "node")
         return easy.union(hard_sigs).select("sig", "node", "n", "level", "solo")
@@ -376,16 +385,21 @@ class _Join:
 
         The counted tokens rule most pairs out; whole sets are moved for the rest.
         """
-        pairs = cut(pairs)
         # ends that are not broadcast move all lists
-        counted_lists = self.heads.select("node", "n", "tokens").join(small_side(cut(_ends(pairs))), "node", "left_semi")
-        pairs = cut(
+        ends = cut_side(_ends(pairs).coalesce(self.tasks))
+        counted_lists = self.heads.select("node", "n", "tokens").join(ends, "node", "left_semi")
+        pairs = self._cut(
             self._beside(pairs, counted_lists).select("a", "b", "na", "nb", "ta", "tb")
             .mapInArrow(_plausible(self.percent), "a bigint, b bigint").distinct()
         )
-        both = self._beside(pairs, cut(self.whole_sets(_ends(pairs))))
+        both = self._beside(pairs, self._cut(self.whole_sets(_ends(pairs))))
         compared = both.select("a", "b", "ta", "tb").mapInArrow(_compare(self.percent), "a bigint, b bigint, linked boolean")
-        return cut(compared.dropDuplicates(["a", "b"]))
+        return self._cut(compared.dropDuplicates(["a", "b"]))
+
+    def _still_open(self, entries: DataFrame) -> DataFrame:
+        """The entries of signatures in which several components meet."""
+        met = entries.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        return self._cut(entries.join(met.select("sig").coalesce(self.tasks), "sig", "left_semi"))
 
     def narrowed(self, entries: DataFrame) -> DataFrame:
         """Open entries (sig, node, n, comp, ...) without the nodes that can link with no other component there.
@@ -399,7 +413,7 @@ class _Join:
         # first by the counted tokens, of which those of one node only are known; then by whole sets
         entries = self._without_own(entries, self.shared, _held(F.col("n"), self.percent))
         del self.shared  # its files may go
-        lists = cut(self.whole_sets(entries.select("node").distinct()).select("node", "tokens"))
+        lists = self._cut(self.whole_sets(entries.select("node").distinct()).select("node", "tokens"))
         tokens, left = lists.select("node", F.explode("tokens").alias("token")), entries.count()
         while left:
             entries = self._without_own(entries, tokens, F.col("n"))
@@ -411,36 +425,38 @@ class _Join:
 
     def _without_own(self, entries: DataFrame, tokens: DataFrame, known: Column) -> DataFrame:
         """One round of ``narrowed`` over ``tokens`` (node, token), which stand for ``known`` of a node."""
-        comps = _small(cut(entries.select("node", "comp").distinct()))
-        tokens = tokens.join(comps, "node")
+        comps = self._small_cut(entries.select("node", "comp").distinct())
+        tokens = tokens.join(comps, "node").coalesce(self.tasks)
         spread = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        shared = _small(cut(spread.where("lo < hi").select("token")))
+        shared = self._small_cut(spread.where("lo < hi").select("token"))
         common = tokens.join(shared, "token", "left_semi").groupBy("node").agg(F.count("*").alias("_common"))
-        least = entries.groupBy("sig").agg(F.min("n").alias("_least"))
+        common = common.coalesce(self.tasks)
+        least = entries.groupBy("sig").agg(F.min("n").alias("_least")).coalesce(self.tasks)
         other = F.greatest(F.col("_least"), F.ceil(F.col("n") * self.percent / 100 - 1e-9))
         own = known - F.coalesce("_common", F.lit(0))
-        return _still_open(
+        return self._still_open(
             entries.join(common, "node", "left").join(least, "sig")
             .where(own <= F.col("n") - _in_common(F.col("n"), other, self.percent)).drop("_common", "_least")
+            .coalesce(self.tasks)
         )
 
     def links(self) -> DataFrame:
         """Links enough to connect all that is connected: not each one inside a component."""
-        index = cut(self.index())
+        index = self._cut(self.index())
         # the hub of a signature is the node with the fewest tokens of its own
         hubs = index.groupBy("sig").agg(F.min(F.struct("solo", "node", "n", "level")).alias("hub"), F.count("*").alias("m"))
-        entries = cut(index.join(hubs.where("m > 1"), "sig").select("sig", "node", "n", "level", "hub"))
+        entries = self._cut(index.join(hubs.where("m > 1").coalesce(self.tasks), "sig").select("sig", "node", "n", "level", "hub"))
         del index, hubs  # their files may go
         near = _candidates(F.col("n"), F.col("level"), F.col("hub.n"), F.col("hub.level"), self.percent)
-        pairs = cut(
+        pairs = self._cut(
             entries.where((F.col("node") != F.col("hub.node")) & near)
             .select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
         )
         links = self.verify(pairs).where("linked").select("a", "b")
-        placed = entries.select("sig", "node", "n").join(_small(components(links)), "node", "left").withColumn(
+        placed = entries.select("sig", "node", "n").join(_small(components(links, tasks=self.tasks)), "node", "left").withColumn(
             "comp", F.coalesce("comp", "node")
         )
-        return links.union(self.beyond_hubs(self.narrowed(_still_open(placed)), pairs))
+        return links.union(self.beyond_hubs(self.narrowed(self._still_open(placed.coalesce(self.tasks))), pairs))
 
     def beyond_hubs(self, entries: DataFrame, pairs: DataFrame) -> DataFrame:
         """Links between components that still meet in a signature: (a, b).
@@ -456,17 +472,20 @@ class _Join:
         """
         comp_of = entries.select("node", "n", "comp").distinct()
         known = entries.select("node").distinct()
-        known = cut(
+        known = self._cut(
             pairs.select(F.col("a").alias("node"), F.col("b").alias("ref")).join(known, "node")
             .unionByName(known.withColumn("ref", F.col("node")))
         )
         fame = known.groupBy("ref").agg(F.count("*").alias("fame"))
-        best = known.join(fame, "ref").groupBy("node").agg(F.max(F.struct("fame", "ref")).alias("ref"))
-        named = entries.join(best, "node")
-        refs = named.groupBy("sig").agg(F.max("ref").alias("ref"))
-        uses = cut(entries.join(refs, "sig").select(F.col("node").alias("a"), F.col("ref.ref").alias("b")).distinct())
-        both = self._beside(uses, cut(self.whole_sets(_ends(uses))))
-        compared = cut(both.select("a", "b", "ta", "tb").mapInArrow(
+        best = known.join(fame.coalesce(self.tasks), "ref").coalesce(self.tasks).groupBy("node").agg(
+            F.max(F.struct("fame", "ref")).alias("ref")
+        )
+        named = entries.join(best.coalesce(self.tasks), "node").coalesce(self.tasks)
+        refs = named.groupBy("sig").agg(F.max("ref").alias("ref")).coalesce(self.tasks)
+        uses = entries.join(refs, "sig").coalesce(self.tasks)
+        uses = self._cut(uses.select(F.col("node").alias("a"), F.col("ref.ref").alias("b")).distinct())
+        both = self._beside(uses, self._cut(self.whole_sets(_ends(uses))))
+        compared = self._cut(both.select("a", "b", "ta", "tb").mapInArrow(
             _compare(self.percent, True), "a bigint, b bigint, linked boolean, apart array<bigint>"
         ).join(comp_of.withColumnRenamed("node", "a"), "a").withColumn("d", F.size("apart")))
         found = compared.where("linked and a <> b").select("a", "b")
@@ -487,7 +506,7 @@ class _Join:
             (F.col("d") - F.size("shared")).alias("_alone"),
             F.floor((F.col("d") - F.col("_far") + loosest) / 2 + 1e-9).alias("_last"),
         ).withColumn("pos", F.col("pos") + F.col("_alone")).withColumn("token", F.col("x.token"))
-        placed = cut(placed.select("a", "b", "token", "n", "comp", "linked", "d", "pos", "_last"))
+        placed = self._cut(placed.select("a", "b", "token", "n", "comp", "linked", "d", "pos", "_last"))
         far = placed.where(~F.col("linked"))
         near = placed.where(F.col("pos") <= F.col("_last"))
         left, right = far.alias("l"), near.alias("r")
@@ -498,7 +517,7 @@ class _Join:
             & (l("pos") <= l("d") - common) & (r("pos") <= r("d") - common)
         )
         met = met.select(F.least(l("a"), r("a")).alias("a"), F.greatest(l("a"), r("a")).alias("b")).distinct()
-        return found.union(self.verify(met).where("linked").select("a", "b"))
+        return found.union(self.verify(self._cut(met)).where("linked").select("a", "b"))
 
 
 def near_equal(docs: DataFrame, *, k: int = 4, percent: int = 85) -> DataFrame:
@@ -508,10 +527,10 @@ def near_equal(docs: DataFrame, *, k: int = 4, percent: int = 85) -> DataFrame:
     doc_id reachable by links) and node (equal for equal sets; null without words).
     """
     join = _Join(docs, k, percent)
-    comps = components(join.links())
-    nodes = join.nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lowest = nodes.groupBy("comp").agg(F.min("label").alias("component_id"))
-    named = nodes.join(lowest, "comp").select("node", "print", "component_id")
+    comps = components(join.links(), tasks=join.tasks).coalesce(join.tasks)
+    nodes = join.nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).coalesce(join.tasks)
+    lowest = nodes.groupBy("comp").agg(F.min("label").alias("component_id")).coalesce(join.tasks)
+    named = nodes.join(lowest, "comp").select("node", "print", "component_id").coalesce(join.tasks)
     rows = join.members.join(named, "print", "left")
     return rows.select(
         "doc_id", F.col("n").alias("n_shingles"),
@@ -531,10 +550,11 @@ def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     keep = keep.select(F.col("doc_id").alias("_id")).distinct()
     # fewer go than stay, and a side that is not broadcast moves all texts
     go = found.join(keep, found["doc_id"].eqNullSafe(keep["_id"]), "left_anti").select(F.col("doc_id").alias("_id"))
-    go = small_side(cut(go.distinct()))
+    go = cut_side(go.distinct())
     kept = docs.join(go, docs["doc_id"].eqNullSafe(go["_id"]), "left_anti")
-    repeated = cut(found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
-    if repeated.isEmpty():
+    twice = found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    repeated, some = cut_measured(twice, F.count("*"))
+    if not some:
         return kept
     repeated = _small(repeated)
     again = kept["doc_id"].eqNullSafe(repeated["_id"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(
@@ -71,3 +71,11 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_measured(df: DataFrame, measure: Column) -> tuple[DataFrame, int]:
+    """``cut``, and an aggregate of the rows taken while they are written, without a job of its own."""
+    seen = Observation()
+    found = cut(df.observe(seen, measure.alias("measure")))
+    value = seen.get.get("measure")
+    return found, found.agg(measure).first()[0] if value is None else value
