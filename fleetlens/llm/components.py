@@ -28,7 +28,7 @@ def components(links: DataFrame, *, tasks: int) -> DataFrame:
         jumped = lowest.join(of, lowest["low"] == of["_n"], "left").select(
             "node", F.least(F.col("low"), F.coalesce("_c", "low")).alias("comp"), "_old"
         )
-        after, fell = cut_measured(jumped.coalesce(tasks), F.count_if("comp < _old"))
+        after, fell = cut_measured(jumped.coalesce(tasks), F.count_if(F.col("comp") < F.col("_old")))
         labels = after.select("node", "comp")
         if not fell:
             return labels

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+UNKNOWN_BYTES = 2**63 - 1  # spark.sql.defaultSizeInBytes
+
 
 def build_session(
     master: str | None = None, app: str = "fleetlens", **conf: str
@@ -70,7 +72,29 @@ def cut(df: DataFrame) -> DataFrame:
     executor costs one task and never the rounds that came before.
     """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _bounded(df.checkpoint(eager=True))
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """``df`` of a checkpoint with an estimated size of at most that of rows of unknown size.
+
+    A checkpoint hands on the estimate of its plan, and a join multiplies those of its sides.
+    Where rounds join what the round before wrote, the digits double every round, up to
+    numbers of megabytes that the driver multiplies again for every plan.  Smaller estimates
+    stay, so no join is planned in another way: both are far beyond every broadcast limit.
+    """
+    plan, spark = df._jdf.logicalPlan(), df.sparkSession
+    try:
+        if plan.stats().sizeInBytes() <= UNKNOWN_BYTES:
+            return df
+    except ValueError:  # more digits than Python reads
+        pass
+    option, session = spark._jvm.scala.Option, spark._jsparkSession
+    plan = plan.copy(
+        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(),
+        session, option.empty(), option.apply(plan.constraints()),
+    )
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, plan), spark)
 
 
 def cut_measured(df: DataFrame, measure: Column) -> tuple[DataFrame, int]:
