@@ -456,13 +456,16 @@ class _Join:
         placed = entries.select("sig", "node", "n").join(_small(components(links, tasks=self.tasks)), "node", "left").withColumn(
             "comp", F.coalesce("comp", "node")
         )
-        return links.union(self.beyond_hubs(self.narrowed(self._still_open(placed.coalesce(self.tasks))), pairs))
+        return links.union(self.beyond_hubs(self.narrowed(self._still_open(placed.coalesce(self.tasks))), pairs, links))
 
-    def beyond_hubs(self, entries: DataFrame, pairs: DataFrame) -> DataFrame:
+    def beyond_hubs(self, entries: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:
         """Links between components that still meet in a signature: (a, b).
 
-        Every signature takes one reference, of the hubs its nodes were compared with the
-        one that most nodes know, and D is a node's difference from it.  Two nodes differ by
+        Every signature takes one reference, and D is a node's difference from it.  A node
+        names the hub it is linked with, of several the one with most links, or else of those
+        it was compared with; the reference is the one most nodes of the signature name.  (A
+        hub that most know and few link with lies outside: what tells it from a cluster
+        would be in the D of all members, and they would meet in pairs.)  Two nodes differ by
         |Da| + |Db| - 2 |Da and Db|, so a link needs (|Da| + |Db| - most) / 2 common
         tokens in the differences.  What is not linked with the reference has a large
         difference and needs a large overlap: it is searched by prefixes of D, rarest token
@@ -472,16 +475,18 @@ class _Join:
         """
         comp_of = entries.select("node", "n", "comp").distinct()
         known = entries.select("node").distinct()
+        mine = pairs.join(links.withColumn("mine", F.lit(1)), ["a", "b"], "left")
+        mine = mine.select(F.col("a").alias("node"), F.col("b").alias("ref"), F.coalesce("mine", F.lit(0)).alias("mine"))
         known = self._cut(
-            pairs.select(F.col("a").alias("node"), F.col("b").alias("ref")).join(known, "node")
-            .unionByName(known.withColumn("ref", F.col("node")))
+            mine.join(known, "node").unionByName(known.select("node", F.col("node").alias("ref"), F.lit(0).alias("mine")))
         )
-        fame = known.groupBy("ref").agg(F.count("*").alias("fame"))
+        fame = known.groupBy("ref").agg(F.sum("mine").alias("near"), F.count("*").alias("fame"))
         best = known.join(fame.coalesce(self.tasks), "ref").coalesce(self.tasks).groupBy("node").agg(
-            F.max(F.struct("fame", "ref")).alias("ref")
+            F.max(F.struct("mine", "near", "fame", "ref")).alias("ref")
         )
         named = entries.join(best.coalesce(self.tasks), "node").coalesce(self.tasks)
-        refs = named.groupBy("sig").agg(F.max("ref").alias("ref")).coalesce(self.tasks)
+        votes = named.groupBy("sig", F.struct("ref.near", "ref.fame", "ref.ref").alias("ref")).agg(F.count("*").alias("votes"))
+        refs = votes.groupBy("sig").agg(F.max(F.struct("votes", "ref.near", "ref.fame", "ref.ref")).alias("ref")).coalesce(self.tasks)
         uses = entries.join(refs, "sig").coalesce(self.tasks)
         uses = self._cut(uses.select(F.col("node").alias("a"), F.col("ref.ref").alias("b")).distinct())
         both = self._beside(uses, self._cut(self.whole_sets(_ends(uses))))
